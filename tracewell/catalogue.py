@@ -1,0 +1,4 @@
+"""Queries over the test tables, with the SQL they are held against."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
