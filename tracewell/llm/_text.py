@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C15 | 1
@@ -168,3 +169,28 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
             x = _mix_int(x * _STEP + int(v))
         out[out_bounds[t]] = x
     return out, out_bounds
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000):
+    """The batch cut into runs of rows with at most so many bytes in a string column (a longer text comes alone)."""
+    if not batch.num_rows:
+        return
+    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    total, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        done = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k consecutive values, across the ends of texts too."""
+    if k == 1:
+        return hashes
+    n = max(len(hashes) - k + 1, 0)
+    out = np.zeros(n, dtype=U64)
+    for j in range(k):
+        out += mix(hashes[j : n + j] + U64(j + 1))
+        out *= U64(_STEP)
+    return mix(out)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, sharding, token_counts, topk, url_filter
+from . import bpe, chat, decontam, sharding, token_counts, topk, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_topk": topk.op3_topk,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op5_bpe": bpe.op5_bpe,
         "op6_chat_format": chat.op6_chat_format,
         "op7_sharding": sharding.op7_sharding,
         "op8_token_counts": token_counts.op8_token_counts,
+        "op9_decontam": decontam.op9_decontam,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return topk.ORACLE | url_filter.ORACLE | chat.ORACLE | token_counts.ORACLE
+    return topk.ORACLE | url_filter.ORACLE | chat.ORACLE | token_counts.ORACLE | decontam.ORACLE
