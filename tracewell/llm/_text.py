@@ -194,3 +194,41 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
         out += mix(hashes[j : n + j] + U64(j + 1))
         out *= U64(_STEP)
     return mix(out)
+
+
+SIEVE_BITS = 20
+
+
+def sieve(keys: np.ndarray) -> np.ndarray:
+    """Which low bits occur among some hashes: a test that most other hashes fail."""
+    out = np.zeros(1 << SIEVE_BITS, dtype=bool)
+    out[keys & U64((1 << SIEVE_BITS) - 1)] = True
+    return out
+
+
+def lookup(hashes: np.ndarray, keys: np.ndarray, sieved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the hashes that are among the sorted keys, and the place of each one's key."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    at = np.flatnonzero(sieved[hashes & U64((1 << SIEVE_BITS) - 1)])
+    key = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
+    same = keys[key] == hashes[at]
+    return at[same], key[same]
+
+
+def text_of(w: Words) -> np.ndarray:
+    """The number of the text that each word is in."""
+    return np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
+
+
+def stems(w: Words, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length in bytes: which words are longer, and hashes of their beginnings."""
+    out, size, total = [], w.ends - w.starts, np.zeros(len(w.starts), dtype=U64)
+    for j in range(max(lengths)):
+        here = np.minimum(w.starts + j, max(len(w.buffer) - 1, 0))
+        if len(here):
+            total += _VALUE[w.buffer[here]] * U64(pow(_STEP, j, 1 << 64))
+        if j + 1 in lengths:
+            longer = np.flatnonzero(size > j + 1)
+            out.append((longer, mix(total[longer] ^ U64((j + 1) << 32))))
+    return out

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import prepare, table
-from ._text import Words, grams, slices, words
+from ._text import Words, grams, lookup, sieve, slices, words
 
 WINDOW = 10
 #: Words of a shingle; windows of fewer words are one shingle.
@@ -84,34 +84,16 @@ class Windows:
             lists = [table_[int(x)] for x in keys]
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
             flat = np.array([p for x in lists for p in x], dtype=np.int64).reshape(-1, 2)
-            out[k] = (keys, _sieve(keys), bounds, flat)
+            out[k] = (keys, sieve(keys), bounds, flat)
         return out
 
 
-_BITS = 20
-
-
-def _sieve(keys: np.ndarray) -> np.ndarray:
-    """Which low bits occur among the keys: most other hashes end here."""
-    out = np.zeros(1 << _BITS, dtype=bool)
-    out[keys & np.uint64((1 << _BITS) - 1)] = True
-    return out
-
-
-def _found(hashes: np.ndarray, keys: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of hashes that are among the sorted keys, and which key."""
-    at = np.flatnonzero(sieve[hashes & np.uint64((1 << _BITS) - 1)])
-    key = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
-    same = keys[key] == hashes[at]
-    return at[same], key[same]
-
-
 def matches(w: Words, index: dict[int, tuple], windows: Windows) -> tuple[np.ndarray, np.ndarray]:
     """First words and windows of all occurrences in a batch of texts."""
     starts, which = [], []
     lengths = np.array([len(x) for x in windows.words], dtype=np.int64)
-    for k, (keys, sieve, bounds, flat) in index.items():
-        at, key = _found(grams(w.hashes, k), keys, sieve)
+    for k, (keys, sieved, bounds, flat) in index.items():
+        at, key = lookup(grams(w.hashes, k), keys, sieved)
         many = bounds[key + 1] - bounds[key]
         if not many.sum():
             continue
@@ -190,15 +172,15 @@ def _count(docs: DataFrame, text: str, wanted: list[dict[int, np.ndarray]]) -> d
     keys = {k: np.unique(np.concatenate([p[k] for p in wanted if k in p])) for k in {k for p in wanted for k in p}}
     if not keys:
         return {}
-    shared = docs.sparkSession.sparkContext.broadcast({k: (v, _sieve(v)) for k, v in keys.items()})
+    shared = docs.sparkSession.sparkContext.broadcast({k: (v, sieve(v)) for k, v in keys.items()})
 
     def work(batches):
         totals = {k: np.zeros(len(v), dtype=np.int64) for k, (v, _) in shared.value.items()}
         for batch in batches:
             for part in slices(batch, 0):
                 w = words(part.column(0), "alnum")
-                for k, (v, sieve) in shared.value.items():
-                    totals[k] += np.bincount(_found(grams(w.hashes, k), v, sieve)[1], minlength=len(v))
+                for k, (v, sieved) in shared.value.items():
+                    totals[k] += np.bincount(lookup(grams(w.hashes, k), v, sieved)[1], minlength=len(v))
         for k, v in totals.items():
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int64()), pa.array(v[at], pa.int64())], names=["k", "at", "n"])
