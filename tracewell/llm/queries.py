@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, sharding, token_counts, topk, toxicity, url_filter
+from . import bpe, chat, decontam, jaccard, sharding, token_counts, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -15,8 +15,9 @@ def queries() -> dict:
         "op7_sharding": sharding.op7_sharding,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_decontam": decontam.op9_decontam,
+        "op10_jaccard_join": jaccard.op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return topk.ORACLE | url_filter.ORACLE | chat.ORACLE | token_counts.ORACLE | decontam.ORACLE
+    return topk.ORACLE | url_filter.ORACLE | chat.ORACLE | token_counts.ORACLE | decontam.ORACLE | jaccard.ORACLE
