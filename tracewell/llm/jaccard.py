@@ -186,8 +186,9 @@ def _prefixes(docs: DataFrame, packed: np.ndarray, key: str, text: str, shingle:
                 tokens, bounds = sets_of(part.column(1), shingle)
                 n = np.diff(bounds)
                 level = _level_of(tokens, levels)
-                high = np.concatenate([[0], np.cumsum(mix(tokens))])
-                low = np.concatenate([[0], np.cumsum(mix(tokens ^ U64(0x5851F42D4C957F2D)))])
+                zero = np.zeros(1, dtype=U64)
+                high = np.concatenate([zero, np.cumsum(mix(tokens))])
+                low = np.concatenate([zero, np.cumsum(mix(tokens ^ U64(0x5851F42D4C957F2D)))])
                 lone = np.concatenate([[0], np.cumsum(level == 0)])
                 alone = lone[bounds[1:]] - lone[bounds[:-1]]
                 short = np.flatnonzero((n > 0) & (alone < n - -(-percent * n // 100) + 1))
@@ -197,7 +198,7 @@ def _prefixes(docs: DataFrame, packed: np.ndarray, key: str, text: str, shingle:
                     if len(s):
                         sigs[k] = s.view(np.int64)
                         texts[k] = zlib.compress(part.column(1)[k].as_py().encode("utf-8", "surrogatepass"), 1)
-                two = [pa.array((x[bounds[1:]] - x[bounds[:-1]]).astype(np.uint64).view(np.int64)) for x in (high, low)]
+                two = [pa.array((x[bounds[1:]] - x[bounds[:-1]]).view(np.int64)) for x in (high, low)]
                 cols = [part.column(0), pa.array(n, pa.int64()), *two, pa.array(sigs, pa.list_(pa.int64())), pa.array(texts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=[key, "n", "h1", "h2", "sigs", "said"])
 
