@@ -217,8 +217,8 @@ def decode(rows: DataFrame, path: str, pattern: str, key: str = "doc_id") -> Dat
     return rows.select(key, "ids").mapInArrow(work, f"{key} {rows.schema[key].dataType.simpleString()}, bytes binary")
 
 
-def round_trip(rows: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and digests of each row's ids and of the bytes that decoding the ids gives."""
+def round_trip(rows: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Counts and digests of each row's ids and of the bytes that decoding the ids gives, and on demand the ids."""
     name, shared = _share(rows.sparkSession, path, pattern)
 
     def work(batches):
@@ -226,16 +226,23 @@ def round_trip(rows: DataFrame, path: str, pattern: str, key: str = "doc_id", te
         digits = codec.digits.__getitem__
         for batch in batches:
             for part in slices(batch, 1):
-                counts, of_ids, of_bytes = [], [], []
+                counts, of_ids, of_bytes, every = [], [], [], []
                 for ids in codec.encode(part.column(1).to_pylist()):
                     counts.append(len(ids))
                     of_ids.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
                     of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                    if with_ids:
+                        every.append(pa.array(ids, pa.int32()))
                 cols = [part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, every)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(every)))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInArrow(work, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.select(key, text).mapInArrow(work, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

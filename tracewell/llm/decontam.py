@@ -127,12 +127,13 @@ def _parts(items: DataFrame, key: str, text: str) -> list[list[tuple]]:
     return out
 
 
-def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """For each document: n_words, hit spans of words [start, end) in order, and the ids of the items found."""
+def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """For each document: n_words, hit spans of words [start, end) in order, the ids of the items found, and the columns to carry."""
     sc = prepare(docs.sparkSession).sparkContext
     parts = [Windows(p, window, shingle) for p in _parts(items, item_key, "text")]
     rarity = _count(docs, text, [p.shingles for p in parts])
     shared = [sc.broadcast((p.prefixes(rarity), p)) for p in parts]
+    more = [c for c in carry if c != key]
 
     def work(batches):
         for batch in batches:
@@ -151,10 +152,12 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                 merged = [_merge(s) for s in spans]
                 cols.append(pa.array([[{"start": a, "end": b} for a, b in m] for m in merged], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
                 cols.append(pa.array([sorted(o) for o in owners], pa.list_(pa.string())))
-                yield pa.RecordBatch.from_arrays(cols, names=[key, "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([*cols, *part.columns[2:]], names=[key, "n_words", "spans", "items", *more])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(work, f"{key} {kind}, n_words long, spans array<struct<start: long, end: long>>, items array<string>")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
+    read = docs.select(key, F.col(text).alias("_text"), *more)
+    return read.mapInArrow(work, f"{key} {kind}, n_words long, spans array<struct<start: long, end: long>>, items array<string>{kept}")
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -198,6 +201,12 @@ def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents that hold no window of any item, with their columns."""
+    columns = ("doc_id", "text", "lang", "source", "n_chars")
+    return find_items(docs, items, carry=columns).where(F.size("items") == 0).select(*columns)
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 

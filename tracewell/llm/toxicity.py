@@ -249,10 +249,11 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, key: str = "doc_id",
     return Model(keys, np.log((df[-1] + 1) / (df[:-1] + 0.5)) + 1e-3, examples)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """Key, score, predicted and the ids of the nearest examples (evidence) of every row."""
+def score(docs: DataFrame, model: Model, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Key, score, predicted and the ids of the nearest examples (evidence) of every row, and the columns to carry."""
     shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
+    more = [c for c in carry if c != key]
 
     def work(batches):
         m = shared.value
@@ -262,9 +263,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
                 p = [x for x, _ in found]
                 cols = [part.column(0), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())]
                 cols.append(pa.array([e for _, e in found], pa.list_(part.column(0).type)))
-                yield pa.RecordBatch.from_arrays(cols, names=[key, "score", "predicted", "evidence"])
+                yield pa.RecordBatch.from_arrays([*cols, *part.columns[2:]], names=[key, "score", "predicted", "evidence", *more])
 
-    return docs.select(key, "text").mapInArrow(work, f"{key} {kind}, score double, predicted int, evidence array<{kind}>")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
+    return docs.select(key, F.col("text").alias("_text"), *more).mapInArrow(work, f"{key} {kind}, score double, predicted int, evidence array<{kind}>{kept}")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -272,6 +274,13 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels, fold("doc_id") != 0))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that aren't predicted toxic, with their columns."""
+    columns = ("doc_id", "text", "lang", "source", "n_chars")
+    scored = score(docs, fit(docs, labels, fold("doc_id") != 0), carry=columns)
+    return scored.where("predicted = 0").select(*columns)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted", "evidence")
