@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, jaccard, sharding, token_counts, topk, toxicity, url_filter
+from . import bpe, brown, chat, decontam, jaccard, sharding, token_counts, topk, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_brown": brown.op2_brown,
         "op3_topk": topk.op3_topk,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_bpe": bpe.op5_bpe,
