@@ -40,11 +40,11 @@ class Artifact:
         c = F.coalesce(col(content), F.lit(""))
         every = F.split(c, "\n")
         rest = F.slice(every, 2, F.greatest(F.size(every), F.lit(1)))
-        close = F.when(F.element_at(every, 1) == "---", F.array_position(F.transform(rest, F.trim), "---")).otherwise(F.lit(0))
+        close = F.when(F.element_at(every, 1) == "---", F.array_position(F.transform(rest, lambda x: F.trim(x)), "---")).otherwise(F.lit(0))
         head = F.when(close > 0, F.slice(rest, F.lit(1), F.greatest(close.cast("int") - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
         tail = F.slice(rest, F.greatest(close.cast("int") + 1, F.lit(1)), F.size(rest) + 1)
         body = F.when(close > 0, F.regexp_replace(F.array_join(tail, "\n"), r"\A\n+", "")).otherwise(c)
-        return Artifact(c, head, F.array_join(head, "\n"), body, F.split(body, "\n"), F.transform(F.regexp_extract_all(body, F.lit(HEADING), F.lit(1)), F.trim), F.split(body, HEADING))
+        return Artifact(c, head, F.array_join(head, "\n"), body, F.split(body, "\n"), F.transform(F.regexp_extract_all(body, F.lit(HEADING), F.lit(1)), lambda x: F.trim(x)), F.split(body, HEADING))
 
     def field(self, name: str) -> Column:
         """A frontmatter field's value without quotes (of several lines the last); null if there is none."""

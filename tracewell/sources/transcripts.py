@@ -133,7 +133,7 @@ def decoded(rows: DataFrame) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str, glob: str, cap: int = FILE_CAP) -> DataFrame:
     """Whole files as (path, value, err); larger ones than the cap are errors and aren't parsed."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(path)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     rows = rows.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("_size"))
     large = F.col("_size") > cap
     return rows.select("path", F.when(~large, F.col("value")).alias("value"), F.when(large, "too_large").alias("err"))
