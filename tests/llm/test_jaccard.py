@@ -2,7 +2,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 
 from tracewell.llm import jaccard
 from tracewell.llm.components import components
@@ -68,10 +67,37 @@ def test_large_groups_of_near_copies(spark):
     assert run(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 2])
-def test_any_number_of_hub_rounds_gives_the_same(spark, rounds):
-    rows = corpus(3, 6, 30, lambda rnd: rnd.choice([20, 60]))
-    assert run(spark, rows, rounds=rounds) == brute(rows)
+def test_copies_of_copies(spark):
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows, now = [], base
+    for i in range(120):
+        now = list(now if i % 3 else rnd.choice([base, now]))
+        for _ in range(rnd.choice([1, 1, 2, 3])):
+            now[rnd.randrange(len(now))] = rnd.choice(["zig", "zag"]) + str(rnd.randrange(40))
+        rows.append((i, " ".join(now)))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_pairs_of_one_hub_that_link_share_a_place_in_their_differences():
+    rnd = np.random.default_rng(11)
+    for _ in range(3000):
+        n = int(rnd.integers(20, 90))
+        universe = np.unique(rnd.integers(0, 2**63, n + 60).astype(np.uint64))
+        level = rnd.integers(0, 4, len(universe)).astype(np.uint8)
+        picks = []
+        for _ in range(3):
+            drop = int(rnd.integers(0, n // 6))
+            more = rnd.choice(np.arange(n, n + 20), int(rnd.integers(0, n // 6)), replace=True)
+            picks.append(np.unique(np.concatenate([np.delete(np.arange(n), rnd.choice(n, drop, replace=False)), more])))
+        hub, x, y = picks
+        level[np.intersect1d(x, y)] = np.maximum(level[np.intersect1d(x, y)], 1)
+        both = len(np.intersect1d(x, y))
+        (near_x, dx, tx, px), (near_y, dy, ty, py) = (jaccard.difference(universe[k], level[k], universe[hub]) for k in (x, y))
+        assert near_x == (100 * len(np.intersect1d(x, hub)) >= 90 * len(np.union1d(x, hub)))
+        if 100 * both >= 90 * len(np.union1d(x, y)) and not (near_x and near_y) and dx and dy:
+            need = -((jaccard.allowed(len(x) + len(y)) - dx - dy) // 2)
+            assert any(a == b and p + need <= dx and q + need <= dy for a, p in zip(tx, px) for b, q in zip(ty, py))
 
 
 def test_nothing(spark):

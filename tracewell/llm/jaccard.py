@@ -19,10 +19,15 @@ each executor gets is a table of 2 bits for each of 2**27 slots (the highest lev
 tokens), whatever the input's size: with more tokens levels are too high for some, which makes
 prefixes less sharp and never loses a link.
 
-Documents of one set are one class, so copies need no pairs. Candidates of a signature are first
-the pairs with one hub; when links are known, only pairs whose ends are in different components
-are left, and for them further hubs and at last all remaining pairs are taken. Every candidate
-is verified on the whole texts. Components are those of all links.
+Documents of one set are one class, so copies need no pairs. The documents of a signature are
+not paired with each other but with one hub, that with the fewest tokens of its own, and described
+by how they differ from it: for two documents x and y of one hub, the symmetric difference of x and y is
+that of their differences, which are small where copies are near. Documents that link with the
+hub are in one component. For any other pair (sizes differ by no more than the differences do) the
+differences must overlap, by an amount that the sizes give, so a second prefix index, over the differences of each hub's documents (added
+tokens first, rare ones before frequent ones, then removed ones) with bounds on size and
+position, finds all pairs that may link. These are verified on the whole texts. Components are
+those of all links.
 
 Edge cases: null and empty texts and texts without words have the empty set, link with nothing
 and are components of their own; a text of fewer words than a shingle has one shingle; repeated
@@ -174,9 +179,8 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -
     return np.unique(np.concatenate(found))
 
 
-def _prefixes(docs: DataFrame, packed: np.ndarray, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, shared, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     """Of each row its set's size and hash, and where it has signatures those and the compressed text."""
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches):
@@ -199,76 +203,109 @@ def _prefixes(docs: DataFrame, packed: np.ndarray, key: str, text: str, shingle:
                         sigs[k] = s.view(np.int64)
                         texts[k] = zlib.compress(part.column(1)[k].as_py().encode("utf-8", "surrogatepass"), 1)
                 two = [pa.array((x[bounds[1:]] - x[bounds[:-1]]).view(np.int64)) for x in (high, low)]
-                cols = [part.column(0), pa.array(n, pa.int64()), *two, pa.array(sigs, pa.list_(pa.int64())), pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=[key, "n", "h1", "h2", "sigs", "said"])
+                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(alone, pa.int64()), *two, pa.array(sigs, pa.list_(pa.int64())), pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "n", "alone", "h1", "h2", "sigs", "said"])
 
-    return docs.select(key, text).mapInArrow(work, f"{key} {kind}, n long, h1 long, h2 long, sigs array<long>, said binary")
+    return docs.select(key, text).mapInArrow(work, f"{key} {kind}, n long, alone long, h1 long, h2 long, sigs array<long>, said binary")
+
+
+def _texts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the compressed texts of both."""
+    named = lambda c: sets.select(F.col("node").alias(c), F.col("said").alias(f"_{c}"))
+    return pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "_a", "_b")
+
+
+def _each_pair(batch: pa.RecordBatch, shingle: int):
+    """Parts of a batch of ``_texts``, where the sets of each row's two texts are, and all sets' tokens."""
+    for at in range(0, batch.num_rows, 500):
+        part = batch.slice(at, 500)
+        said: dict[bytes, int] = {}
+        places = [[said.setdefault(x, len(said)) for x in part.column(c).to_pylist()] for c in (2, 3)]
+        tokens, bounds = sets_of(pa.array([zlib.decompress(x).decode("utf-8", "surrogatepass") for x in said], pa.large_string()), shingle)
+        yield part, [(slice(bounds[x], bounds[x + 1]), slice(bounds[y], bounds[y + 1])) for x, y in zip(*places, strict=True)], tokens
+
+
+def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x (both sorted, not empty) are in y."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts' sets link."""
-    named = lambda c: sets.select(F.col("node").alias(c), F.col("said").alias(f"_{c}"))
-    joined = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "_a", "_b")
 
     def work(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                said: dict[bytes, int] = {}
-                places = [[said.setdefault(x, len(said)) for x in part.column(c).to_pylist()] for c in (2, 3)]
-                tokens, bounds = sets_of(pa.array([zlib.decompress(x).decode("utf-8", "surrogatepass") for x in said], pa.large_string()), shingle)
-                own = [tokens[bounds[k] : bounds[k + 1]] for k in range(len(said))]
+            for part, places, tokens in _each_pair(batch, shingle):
                 good = []
-                for x, y in zip(*places, strict=True):
-                    both = len(np.intersect1d(own[x], own[y], assume_unique=True))
-                    good.append(100 * both >= percent * (len(own[x]) + len(own[y]) - both))
+                for x, y in places:
+                    both = int(_held(tokens[x], tokens[y]).sum())
+                    good.append(100 * both >= percent * (x.stop - x.start + y.stop - y.start - both))
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in part.columns[:2]], names=["a", "b"])
 
-    return joined.mapInArrow(work, "a long, b long")
+    return _texts(pairs, sets).mapInArrow(work, "a long, b long")
+
+
+def allowed(total: int, percent: int = PERCENT) -> int:
+    """How many tokens two linked sets of so many together may not share, at most."""
+    return (100 - percent) * total // (100 + percent)
+
 
+def difference(x: np.ndarray, levels: np.ndarray, hub: np.ndarray, percent: int = PERCENT) -> tuple[bool, int, np.ndarray, np.ndarray]:
+    """Whether x links with its hub, how many tokens differ, and the prefix of the difference: tokens and places.
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, range_bits: int = RANGE_BITS, rounds: int = 4) -> DataFrame:
+    A prefix holds all of the difference if x links with the hub, else as many tokens as linked
+    sets may differ by, and one; of these those are given that other documents may have.
+    """
+    extra, lost = ~_held(x, hub), ~_held(hub, x)
+    added, rarity = x[extra], levels[extra]
+    n, near = len(added) + int(lost.sum()), allowed(len(x) + len(hub), percent)
+    most = allowed(len(x) + 100 * len(x) // percent, percent)  # with any set that x may link with
+    order = np.lexsort((added, rarity))
+    tokens = np.concatenate([added[order], hub[lost]])
+    shared = np.concatenate([rarity[order] > 0, np.ones(n - len(added), dtype=bool)])
+    place = np.flatnonzero(shared[: n if n <= near else most + 1])
+    return n <= near, n, tokens[place], place
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, shared, shingle: int, percent: int) -> DataFrame:
+    """Of each (hub a, document b) the ``difference``."""
+
+    def work(batches):
+        for batch in batches:
+            for part, places, tokens in _each_pair(batch, shingle):
+                level = _level_of(tokens, shared.value)
+                done = [difference(tokens[y], level[y], tokens[x], percent) for x, y in places]
+                cols = [pa.array([d[k] for d in done], t) for k, t in ((0, pa.bool_()), (1, pa.int64()))]
+                cols.append(pa.array([d[2].view(np.int64) for d in done], pa.list_(pa.int64())))
+                cols.append(pa.array([d[3] for d in done], pa.list_(pa.int64())))
+                size = pa.array([y.stop - y.start for _, y in places], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], size, *cols], names=["hub", "node", "n", "near", "differ", "tokens", "places"])
+
+    return _texts(pairs, sets).mapInArrow(work, "hub long, node long, n long, near boolean, differ long, tokens array<long>, places array<long>")
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, range_bits: int = RANGE_BITS) -> DataFrame:
     """Key, n_shingles and component_id of every row."""
-    prepare(docs.sparkSession)
-    packed = _counts(docs, text, shingle, range_bits)
-    rows = _prefixes(docs, packed, key, text, shingle, percent)
+    sc = prepare(docs.sparkSession).sparkContext
+    shared = sc.broadcast(_counts(docs, text, shingle, range_bits))
+    rows = _prefixes(docs, shared, key, text, shingle, percent)
     rows = cut(rows.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("h1", "h2", "n"))))
-    sets = cut(rows.where(F.col("sigs").isNotNull()).groupBy("node").agg(F.max(F.struct("n", "said", "sigs")).alias("_")).select("node", "_.n", "_.said", "_.sigs"))
-    entries = sets.select("node", "n", F.explode("sigs").alias("sig"))
-    shared = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("sig")
-    entries = cut(entries.join(shared, "sig"))
-    near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    links, tried, roots = None, None, None
-    for turn in range(rounds + 1):
-        if turn:
-            joined = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            held = joined.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("_m"))
-            open_ = held.groupBy("sig").agg(F.sum("_m").alias("_m"), F.sum(F.col("_m") * F.col("_m")).alias("_q"), F.count(F.lit(1)).alias("_r")).where("_r > 1")
-            left = cut(joined.join(open_.select("sig", "_m", "_q"), "sig"))
-            size, todo = left.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("_m") - F.col("_q") / F.col("_m")) / 2), F.lit(0.0))).first()
-            if not size:
-                break
-        else:
-            left = entries.withColumn("root", F.col("node"))
-            size = todo = float("inf")
-        if turn == rounds or todo <= 4 * size:  # few enough: all pairs between components
-            x, y = left.select("sig", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "root")]), left.select("sig", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "root")])
-            pairs = x.join(y, "sig").where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & near(F.col("n_x"), F.col("n_y")))
-            pairs, last = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), True
-        else:
-            hub = left.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_"), "node", "n", "root")).alias("hub"))
-            pairs = left.join(hub, "sig").where((F.col("node") != F.col("hub.node")) & (F.col("root") != F.col("hub.root")) & near(F.col("n"), F.col("hub.n")))
-            pairs, last = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")), False
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = _verified(pairs, sets, shingle, percent)
-        links = cut(found if links is None else links.union(found))
-        roots = components(links)
-        if last:
-            break
-        tried = pairs if tried is None else cut(tried.union(pairs))
+    sets = cut(rows.where(F.col("sigs").isNotNull()).groupBy("node").agg(F.max(F.struct("n", "alone", "said", "sigs")).alias("_")).select("node", "_.n", "_.alone", "_.said", "_.sigs"))
+    entries = sets.select("node", "alone", F.explode("sigs").alias("sig"))
+    hubs = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct("alone", "node"))["node"].alias("a")).where("_m > 1").select("sig", "a")
+    pairs = entries.join(hubs, "sig").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    differ = cut(_differences(pairs, sets, shared, shingle, percent))
+    parts = F.explode(F.arrays_zip("tokens", "places")).alias("_")
+    each = differ.select("hub", "node", "n", "near", "differ", parts).select("hub", "node", "n", "near", "differ", F.col("_.tokens").alias("token"), F.col("_.places").alias("place"))
+    x, y = (each.select("hub", "token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "near", "differ", "place")]) for side in "xy")
+    c = F.col
+    most = F.floor((100 - percent) * (c("n_x") + c("n_y")) / (100 + percent))
+    overlap = F.ceil((c("differ_x") + c("differ_y") - most) / 2)
+    fits = (c("place_x") + overlap <= c("differ_x")) & (c("place_y") + overlap <= c("differ_y"))
+    found = x.join(y, ["hub", "token"]).where((c("node_x") < c("node_y")) & ~(c("near_x") & c("near_y")) & fits)
+    found = found.select(c("node_x").alias("a"), c("node_y").alias("b")).distinct()
+    links = differ.where("near").select(c("hub").alias("a"), c("node").alias("b")).union(_verified(found, sets, shingle, percent))
+    roots = components(links)
     first = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("_first"))
     named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Only nodes with links share a root; the others keep their own first id.
