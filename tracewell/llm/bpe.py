@@ -37,7 +37,7 @@ KEPT_LENGTH = 64
 CORPUS = 1_000_000
 
 #: White space as Unicode defines it (fixed values).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
