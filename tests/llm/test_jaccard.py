@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tracewell.llm import jaccard
 from tracewell.llm.components import components
@@ -10,13 +11,13 @@ LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOC = "doc_id long, text string, lang string, n long, sig string"
 
 
-def set_of(text):
+def set_of(text, k=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-def brute(rows):
-    sets = [set_of(t) for _, t in rows]
+def brute(rows, k=3, percent=90):
+    sets = [set_of(t, k) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(k):
@@ -26,7 +27,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 up[root(i)] = root(j)
     low = {}
     for k, (i, _) in enumerate(rows):
@@ -65,6 +66,7 @@ def test_matches_brute_force(spark):
 def test_large_groups_of_near_copies(spark):
     rows = corpus(2, 3, 90, lambda rnd: 60)
     assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, shingle=5, percent=80) == brute(rows, 5, 80)
 
 
 def test_copies_of_copies(spark):
@@ -105,21 +107,23 @@ def test_nothing(spark):
     assert run(spark, [(1, None), (2, "")]) == [("1", 0, "1"), ("2", 0, "2")]
 
 
-def test_linked_sets_share_a_signature_whatever_the_levels():
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_signature_whatever_the_levels(percent):
     rnd = np.random.default_rng(7)
+    most = (100 - percent) / 100
     for _ in range(4000):
         n = int(rnd.integers(1, 120))
         universe = rnd.integers(0, 2**63, n + 40).astype(np.uint64)
         universe = np.unique(universe)
         level = rnd.choice(4, len(universe), p=rnd.dirichlet([0.5, 0.3, 0.3, 1.0])).astype(np.uint8)
         x = np.arange(len(universe))[:n]
-        drop = int(rnd.integers(0, n // 10 + 1))
-        y = np.concatenate([np.delete(x, rnd.choice(len(x), drop, replace=False)), np.arange(n, min(n + int(rnd.integers(0, n // 10 + 1)), len(universe)))])
+        drop = int(rnd.integers(0, int(n * most) + 1))
+        y = np.concatenate([np.delete(x, rnd.choice(len(x), drop, replace=False)), np.arange(n, min(n + int(rnd.integers(0, int(n * most) + 1)), len(universe)))])
         both = len(np.intersect1d(x, y))
-        if 100 * both >= 90 * (len(x) + len(y) - both):
+        if 100 * both >= percent * (len(x) + len(y) - both):
             level[np.setxor1d(x, y)] = rnd.integers(0, 4, len(np.setxor1d(x, y)))
             level[np.intersect1d(x, y)] = np.maximum(level[np.intersect1d(x, y)], 1)  # two sets hold them
-            a, b = (jaccard.signatures(universe[k], level[k]) for k in (x, y))
+            a, b = (jaccard.signatures(universe[k], level[k], percent) for k in (x, y))
             assert len(np.intersect1d(a, b)), (n, drop)
 
 

@@ -33,7 +33,7 @@ def test_stages_match_brute_force(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
 
     left = [(i, t) for i, t in docs if not re.search("vilest", t or "")]
-    comps = groups(left)
+    comps = groups(left, 5, 80)
     left = [(i, t) for i, t in dict(reversed(left)).items() if any(str(i) == c == x for x, _, c in comps)]
     bad = {i for i, *_, hit in hits(left, items) if hit}
     want = sorted((i, t or "") for i, t in left if i not in bad)

@@ -59,7 +59,7 @@ RANGE_BITS = 12
 #: Sets below this size index single tokens only; above, one sub-class for each so many tokens.
 SMALL = 16
 #: Tokens that a worker gathers before it sends counts.
-GATHERED = 4_000_000
+GATHERED = 2_000_000
 
 
 def sets_of(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -314,14 +314,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     return rows.select(key, "n", "node").join(named, "node", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col(key)).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+#: What the pipeline's stage takes for near copies.
+STAGE_SHINGLE, STAGE_PERCENT = 5, 80
+
+
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: int = STAGE_PERCENT) -> DataFrame:
     """Of each component's documents that with the smallest id (of repeated rows one), with all columns.
 
     Rows are told apart by their number in the input, which has to be one that reads alike each
     time, as a Parquet table does.
     """
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = join(numbered, key="_row").select("_row", F.col("component_id").alias("_group"))
+    groups = join(numbered, "_row", shingle=shingle, percent=percent).select("_row", F.col("component_id").alias("_group"))
     named = groups.join(numbered.select("_row", "doc_id"), "_row")
     kept = named.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row"))["_row"].alias("_row")).select("_row")
     return numbered.join(kept, "_row", "left_semi").drop("_row")
