@@ -61,7 +61,7 @@ def test_chunks_and_ranges_change_nothing(spark, monkeypatch):
     key = lambda out: sorted((r.doc_id, round(r.score, 6), round(r.base_score, 6)) for r in out)
     whole = key(run(spark, rows))
     monkeypatch.setattr(brown, "CHUNK", 300)
-    assert key(run(spark, rows, range_bits=3)) == whole
+    assert key(run(spark, rows, ranges=3)) == whole
 
 
 def test_nothing_to_learn_from(spark):

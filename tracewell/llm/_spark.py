@@ -39,6 +39,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def range_bits(df: DataFrame, least: int, each: int, most: int) -> int:
+    """Into how many ranges of hashes (as bits) to deal what a table's texts hold: about ``each`` bytes of input a range.
+
+    The table's size is the optimiser's estimate, which costs no job; where it has none, ``least``.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return least
+    return min(most, max(least, (size // each).bit_length()))
+
+
 def fold(doc_id: Column | str) -> Column:
     """crc32 of the id's decimal digits, mod 5: the split between learning and held-out rows.
 

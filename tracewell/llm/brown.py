@@ -35,15 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, fold, prepare, table
+from ._spark import cut, fold, prepare, range_bits, table
 from ._text import U64, slices, words
 
 SHARE = 1 / 2000
 CLASSES = 64
 SWEEPS = 12
 CHUNK = 1_500_000
-#: Ranges of word hashes, as bits.
-RANGE_BITS = 8
+#: Ranges of word hashes, as bits, at least; more of them for inputs above 2**8 * RANGE_BYTES.
+RANGE_BITS, RANGE_BYTES = 8, 120_000_000
 #: Weight of the next lower order in class transitions: bigrams, trigrams.
 LOWER = (5.0, 20.0)
 END = 0x0123456789ABCDEF
@@ -365,21 +365,22 @@ def transitions(counts: np.ndarray) -> np.ndarray:
     return np.log10((counts + LOWER[1] * p2) / (counts.sum(2, keepdims=True) + LOWER[1]))
 
 
-def score_texts(docs: DataFrame, trains: Column, key: str = "doc_id", text: str = "text", share: float = SHARE, classes: int = CLASSES, range_bits: int = RANGE_BITS) -> DataFrame:
+def score_texts(docs: DataFrame, trains: Column, key: str = "doc_id", text: str = "text", share: float = SHARE, classes: int = CLASSES, ranges: int | None = None) -> DataFrame:
     """Key, n_tokens, n_known, train_tokens, base_score and score of every row, learning from the rows for which ``trains`` holds."""
     spark = prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
+    bits = range_bits(docs, RANGE_BITS, RANGE_BYTES, 16) if ranges is None else ranges
     chunks = cut(chunked(docs, trains, key, text))
     n = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = np.sort(np.array(frequent_words(chunks, max(share * n, 2), range_bits), dtype=np.uint64))
+    known = np.sort(np.array(frequent_words(chunks, max(share * n, 2), bits), dtype=np.uint64))
     pairs = pair_counts(chunks, known)
     of = exchange(pairs, classes)
-    answers = cut(_answers(chunks, known, of, pairs, range_bits))
+    answers = cut(_answers(chunks, known, of, pairs, bits))
     wide = int(of.max()) + 3 if len(of) else 3
     tokens, distinct = np.zeros(wide, dtype=np.int64), np.zeros(wide, dtype=np.int64)
     for r in answers.where("chunk IS NULL").groupBy("part").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).collect():
         tokens[r.part], distinct[r.part] = r.n, r.distinct
-    classed = cut(_classed(chunks, answers, tokens, distinct, range_bits, kind))
+    classed = cut(_classed(chunks, answers, tokens, distinct, bits, kind))
 
     def count(batches):
         total = np.zeros(wide**3, dtype=np.int64)

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, prepare, table
+from ._spark import cut, prepare, range_bits, table
 from ._text import U64, mix, shingles, slices, words
 from .components import components
 
@@ -54,8 +54,8 @@ PERCENT = 90
 LEVELS = (2, 4, 16)
 FREQUENT = 3
 SLOT_BITS = 27
-#: Ranges of token hashes that are counted together; more for larger inputs.
-RANGE_BITS = 12
+#: Ranges of token hashes that are counted together, at least; more of them for inputs above 2**12 * RANGE_BYTES.
+RANGE_BITS, RANGE_BYTES = 12, 9_000_000
 #: Sets below this size index single tokens only; above, one sub-class for each so many tokens.
 SMALL = 16
 #: Tokens that a worker gathers before it sends counts.
@@ -73,17 +73,17 @@ def sets_of(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.searchsorted(text[first], np.arange(len(bounds)))
 
 
-def _counts(docs: DataFrame, text: str, shingle: int, range_bits: int) -> np.ndarray:
+def _counts(docs: DataFrame, text: str, shingle: int, bits: int) -> np.ndarray:
     """Of each slot the highest level of its tokens, 2 bits each, four to a byte."""
-    low = U64(64 - range_bits - 32)
-    own_bits = SLOT_BITS - range_bits
+    low = U64(64 - bits - 32)
+    own_bits = SLOT_BITS - bits
 
     def gather(batches):
         held, size = [], 0
 
         def send():
             tokens, n = np.unique(np.concatenate(held) >> low, return_counts=True)
-            edges = np.searchsorted(tokens, np.arange((1 << range_bits) + 1, dtype=np.uint64) << U64(32))
+            edges = np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=np.uint64) << U64(32))
             parts, single, many, often = [], [], [], []
             for k in np.flatnonzero(np.diff(edges)).tolist():
                 t, c = tokens[edges[k] : edges[k + 1]].astype(np.uint32), n[edges[k] : edges[k + 1]]
@@ -284,10 +284,11 @@ def _differences(pairs: DataFrame, sets: DataFrame, shared, shingle: int, percen
     return _texts(pairs, sets).mapInArrow(work, "hub long, node long, n long, near boolean, differ long, tokens array<long>, places array<long>")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, range_bits: int = RANGE_BITS) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, ranges: int | None = None) -> DataFrame:
     """Key, n_shingles and component_id of every row."""
     sc = prepare(docs.sparkSession).sparkContext
-    shared = sc.broadcast(_counts(docs, text, shingle, range_bits))
+    bits = range_bits(docs, RANGE_BITS, RANGE_BYTES, SLOT_BITS - 3) if ranges is None else ranges
+    shared = sc.broadcast(_counts(docs, text, shingle, bits))
     rows = _prefixes(docs, shared, key, text, shingle, percent)
     rows = cut(rows.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("h1", "h2", "n"))))
     sets = cut(rows.where(F.col("sigs").isNotNull()).groupBy("node").agg(F.max(F.struct("n", "alone", "said", "sigs")).alias("_")).select("node", "_.n", "_.alone", "_.said", "_.sigs"))
