@@ -598,3 +598,116 @@ def stream_incremental_scan(spark, d):
     from .streaming.incremental import stream_sessions
 
     return stream_sessions(spark, d)
+
+
+# --- dialects: transcripts made of the tables, parsed again
+
+
+def _lines(rows: DataFrame, path: str, seq: Column, value: Column) -> DataFrame:
+    from .sources.transcripts import decoded
+
+    return decoded(rows.select(F.col(path).cast("string").alias("path"), seq.alias("seq"), F.to_json(value).alias("value")))
+
+
+@query(f"""SELECT CAST(conv_id AS VARCHAR) AS session, count(*) FILTER (WHERE role IN ('user', 'assistant')) AS message_count, count(*) FILTER (WHERE {HUMAN}) AS human_turns,
+  CAST(sum(length(text)) AS BIGINT) AS chars, CAST(min(turn) AS BIGINT) AS first FROM conversations GROUP BY conv_id""")
+def parse_dialect_a_messages(spark, d):
+    from .sources.transcripts import claude
+
+    block = F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
+    rows = talk(spark, d)
+    plain = _lines(rows.where("turn % 2 = 0"), "conv_id", F.col("turn"), F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message"), F.col("conv_id").cast("string").alias("sessionId")))
+    blocks = _lines(rows.where("turn % 2 <> 0"), "conv_id", F.col("turn"), F.struct(F.col("role").alias("type"), F.struct("role", block.alias("content")).alias("message"), F.col("conv_id").cast("string").alias("sessionId")))
+    events = claude(plain.unionByName(blocks))
+    return events.groupBy(F.col("session_id").alias("session")).agg(
+        F.count_if(signals.is_message("type")).alias("message_count"), F.count_if(signals.human_turn("type", "text", F.col("is_meta"), F.col("synthetic"))).alias("human_turns"),
+        F.sum(F.length("text")).cast("long").alias("chars"), F.min("seq").alias("first"),
+    )
+
+
+def _called(events: DataFrame) -> DataFrame:
+    """Calls of parsed events with whether they failed."""
+    from .plans.scan import tool_calls
+
+    results = events.select("session_key", F.explode("tool_results").alias("_r")).select("session_key", F.col("_r.tool_use_id").alias("id"), F.col("_r.is_error").alias("is_error"))
+    done = signals.errored_calls(tool_calls(events), results, "session_key", "id", "is_error")
+    return done.select(F.col("session_key").alias("session"), "id", "name", "command", "file_path", "errored")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS session, 'c' || event_id AS id, event_type AS name, props AS command, CASE WHEN event_type = 'view' THEN 'src/a.py' END AS file_path, value > 60 AS errored FROM events""")
+def parse_dialect_a_calls(spark, d):
+    from .sources.transcripts import claude
+
+    call_id = F.concat(F.lit("c"), F.col("event_id").cast("string"))
+    inputs = F.struct(F.col("props").alias("command"), F.when(F.col("event_type") == "view", "src/a.py").alias("file_path"))
+    use = F.array(F.struct(F.lit("tool_use").alias("type"), call_id.alias("id"), F.col("event_type").alias("name"), inputs.alias("input")))
+    done = F.array(F.struct(F.lit("tool_result").alias("type"), call_id.alias("tool_use_id"), (F.col("value") > 60).alias("is_error")))
+    rows = table(spark, d, "events")
+    line = lambda role, content, k: _lines(rows, "user_id", F.col("event_id") * 2 + k, F.struct(F.lit(role).alias("type"), F.struct(content.alias("content")).alias("message")))
+    return _called(claude(line("assistant", use, 0).unionByName(line("user", done, 1))))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS session, 'c' || event_id AS id, 'Bash' AS name, 'run ' || event_type AS command, CAST(NULL AS VARCHAR) AS file_path, CAST(floor(value) AS BIGINT) % 3 <> 0 AS errored FROM events""")
+def parse_dialect_b_calls(spark, d):
+    from .sources.transcripts import codex
+
+    call_id = F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("call_id")
+    use = F.struct(F.lit("function_call").alias("type"), F.lit("exec_command").alias("name"), F.to_json(F.struct(F.concat(F.lit("run "), "event_type").alias("cmd"))).alias("arguments"), call_id)
+    done = F.struct(F.lit("function_call_output").alias("type"), call_id, F.concat(F.lit("Process exited with code "), (F.floor("value") % 3).cast("string"), F.lit("\nok")).alias("output"))
+    rows = table(spark, d, "events")
+    line = lambda payload, k: _lines(rows, "user_id", F.col("event_id") * 2 + k, F.struct(F.lit("response_item").alias("type"), payload.alias("payload")))
+    return _called(codex(line(use, 0).unionByName(line(done, 1))))
+
+
+def _files(rows: DataFrame, message: Column) -> DataFrame:
+    """One list of messages for each user, as a file's text."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", message.alias("m")))), lambda x: x["m"])
+    return rows.groupBy("user_id").agg(listed.alias("_m")).select(F.concat(F.lit("/tasks/t"), F.col("user_id").cast("string"), F.lit("/f.json")).alias("path"), F.to_json("_m").alias("value"), F.lit(None).cast("string").alias("err"))
+
+
+CALLS_C = """SELECT '{p}' || user_id AS session, count(*) AS events, count(*) FILTER (WHERE event_type = 'click') AS bash, count(*) FILTER (WHERE event_type = 'view') AS reads,
+  count(*) FILTER (WHERE value > 60) AS errors FROM events GROUP BY user_id"""
+
+
+def _summed(events: DataFrame) -> DataFrame:
+    named = lambda n: F.coalesce(F.sum(F.size(F.filter("tool_uses", lambda u: u["name"] == n))), F.lit(0)).alias({"Bash": "bash", "Read": "reads"}[n])
+    errors = F.coalesce(F.sum(F.size(F.filter("tool_results", lambda r: r["is_error"]))), F.lit(0)).alias("errors")
+    return events.groupBy(F.col("session_id").alias("session")).agg(F.count(F.lit(1)).alias("events"), named("Bash"), named("Read"), errors)
+
+
+def _tool(click: str, view: str) -> Column:
+    return F.when(F.col("event_type") == "click", click).when(F.col("event_type") == "view", view).otherwise(F.col("event_type"))
+
+
+@query(CALLS_C.format(p="t"))
+def parse_dialect_c_sessions(spark, d):
+    from .sources.transcripts import cline, cline_rows
+
+    call_id = F.col("event_id").cast("string")
+    use = F.struct(F.lit("tool_use").alias("type"), call_id.alias("id"), _tool("execute_command", "read_file").alias("name"), F.struct(F.col("props").alias("command"), F.lit("a.py").alias("path")).alias("input"), F.lit(None).cast("string").alias("tool_use_id"), F.lit(None).cast("boolean").alias("is_error"))
+    done = F.struct(F.lit("tool_result").alias("type"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<command: string, path: string>").alias("input"), call_id.alias("tool_use_id"), (F.col("value") > 60).alias("is_error"))
+    message = F.struct(F.lit("assistant").alias("role"), F.array(use, done).alias("content"))
+    return _summed(cline(cline_rows(_files(table(spark, d, "events"), message))))
+
+
+@query(CALLS_C.format(p="f"))
+def parse_dialect_d_sessions(spark, d):
+    from .sources.transcripts import gemini, gemini_rows
+
+    tool = F.struct(F.col("event_id").cast("string").alias("id"), _tool("run_shell_command", "read_file").alias("name"), F.struct(F.col("props").alias("command")).alias("args"), F.when(F.col("value") > 60, "failed").otherwise("success").alias("status"))
+    files = _files(table(spark, d, "events"), F.struct(F.lit("gemini").alias("type"), F.lit("text").alias("content"), F.array(tool).alias("toolCalls")))
+    files = files.withColumn("path", F.regexp_replace("path", r"^/tasks/t(\d+)/f\.json$", "/chats/f$1.json"))
+    return _summed(gemini(gemini_rows(files)))
+
+
+@query(CALLS_C.format(p="s"))
+def parse_dialect_e_sessions(spark, d):
+    from .sources.transcripts import opencode
+
+    rows = table(spark, d, "events")
+    session, key = F.concat(F.lit("s"), F.col("user_id").cast("string")), F.col("event_id").cast("string")
+    messages = rows.select(key.alias("id"), session.alias("session_id"), F.col("event_id").alias("time_created"), F.lit('{"role":"assistant"}').alias("data"))
+    state = F.struct(F.when(F.col("value") > 60, "error").otherwise("completed").alias("status"), F.struct(F.col("props").alias("command")).alias("input"))
+    part = F.to_json(F.struct(F.lit("tool").alias("type"), _tool("bash", "read").alias("tool"), key.alias("callID"), state.alias("state")))
+    parts = rows.select(key.alias("id"), key.alias("message_id"), F.col("event_id").alias("time_created"), part.alias("data"))
+    return _summed(opencode(messages, parts))

@@ -232,7 +232,12 @@ CLINE_FILES = ["read_file", "write_to_file", "replace_in_file"]
 
 
 def cline_files(spark: SparkSession, path: str, cap: int = FILE_CAP) -> DataFrame:
-    return _messages(read_files(spark, path, "api_conversation_history.json", cap), F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"))
+    return cline_rows(read_files(spark, path, "api_conversation_history.json", cap))
+
+
+def cline_rows(files: DataFrame) -> DataFrame:
+    """Messages of (path, value, err)."""
+    return _messages(files, F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"))
 
 
 def cline(rows: DataFrame) -> DataFrame:
@@ -260,8 +265,11 @@ GEMINI_FILES = ["read_file", "write_file", "replace"]
 
 
 def gemini_files(spark: SparkSession, path: str, cap: int = FILE_CAP) -> DataFrame:
-    """An object with messages, a bare list, or lines of which the last with messages wins (lines that don't parse are left out)."""
-    files = read_files(spark, path, "*.json*", cap)
+    return gemini_rows(read_files(spark, path, "*.json*", cap))
+
+
+def gemini_rows(files: DataFrame) -> DataFrame:
+    """Messages of (path, value, err): an object with messages, a bare list, or lines of which the last with messages wins (lines that don't parse are left out)."""
     whole = F.try_parse_json("value")
     lines = F.filter(F.transform(F.filter(F.split("value", "\n"), lambda x: filled(x)), lambda x: F.try_parse_json(x)), lambda x: is_object(x))
     files = files.withColumns({"_whole": whole, "_lines": F.when(whole.isNull(), lines)})
