@@ -216,3 +216,15 @@ def test_stream_equals_batch(spark, tmp_path):
     events = rows(spark, data, "user_id int, value double, ts timestamp")
     events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert sorted(map(tuple, stream_sessions(spark, str(tmp_path)).collect())) == sorted(map(tuple, tool_counts(events).collect()))
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from tracewell.streaming.incremental import stream_counts
+
+    events = rows(spark, [(i % 3, float(i * 10), datetime(2026, 1, 1, 0, i)) for i in range(12)], "user_id int, value double, ts timestamp")
+    source = str(tmp_path / "in")
+    run = lambda: stream_counts(spark, spark.readStream.schema(events.schema).parquet(source), str(tmp_path / "out"))
+    events.where("value < 60").write.parquet(source)
+    assert sum(r.tool_count for r in run().collect()) == 6
+    events.where("value >= 60").write.mode("append").parquet(source)
+    assert sorted(map(tuple, run().collect())) == sorted(map(tuple, tool_counts(events).collect()))

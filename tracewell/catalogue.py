@@ -593,7 +593,7 @@ def scan_summary(spark, d):
     return table(spark, d, "documents").agg(F.countDistinct("source").alias("projects"), F.count_if(F.col("n_chars") > 1000).alias("tier2"), F.max("n_chars").alias("longest"))
 
 
-@query()
+@query("SELECT user_id, count(*) AS tool_count, count(*) FILTER (WHERE value > 60) AS errors, max(ts) AS last_seen FROM events GROUP BY user_id")
 def stream_incremental_scan(spark, d):
     from .streaming.incremental import stream_sessions
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CACHE_DAYS
 from ..operators.relate import cache_split
-from ..plans.session import cut
+from ..plans.session import cut, shared_folder
 
 KEYS = ["key", "stamp", "version"]
 
@@ -55,16 +55,32 @@ class Store:
 
 
 def tool_counts(events: DataFrame) -> DataFrame:
-    """Streaming counts of a session's calls and failures, kept by session."""
+    """A session's calls and failures."""
     return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("tool_count"), F.count_if(F.col("value") > 60).alias("errors"), F.max("ts").alias("last_seen"))
 
 
+def merged(parts: DataFrame) -> DataFrame:
+    """Counts of several batches as one."""
+    return parts.groupBy("user_id").agg(F.sum("tool_count").alias("tool_count"), F.sum("errors").alias("errors"), F.max("last_seen").alias("last_seen"))
+
+
+def stream_counts(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over all that is there; each batch's counts go to a folder of the batch's number, so a batch that runs again replaces itself."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        tool_counts(batch).write.mode("overwrite").parquet(f"{folder}/batches/{number}")
+
+    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return merged(spark.read.parquet(f"{folder}/batches/*"))
+
+
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events through a stream that ends when it has read what is there; the counts equal a batch's."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    name = f"sessions_{uuid.uuid4().hex}"
-    folder = sf_dir.rstrip("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/events.parquet*")
-    query = tool_counts(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = cut(stream_counts(spark, stream, folder))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return out
