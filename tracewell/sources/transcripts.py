@@ -127,7 +127,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def decoded(rows: DataFrame) -> DataFrame:
     """``value`` parsed to ``v``; what isn't an object is an error."""
     rows = rows.withColumn("v", F.try_parse_json("value"))
-    err = F.when(F.col("v").isNull(), "undecodable").when(~is_object(F.col("v")), "not_an_object")
+    err = F.when(F.col("v").isNull(), "undecodable").when(~is_object(F.col("v")), "not_an_object").when(~F.col("value").rlike(r"\}\s*$"), "undecodable")
     return rows.select("path", "seq", F.when(err.isNull(), F.col("v")).alias("v"), err.alias("err"))
 
 
@@ -270,8 +270,11 @@ def gemini_files(spark: SparkSession, path: str, cap: int = FILE_CAP) -> DataFra
 
 def gemini_rows(files: DataFrame) -> DataFrame:
     """Messages of (path, value, err): an object with messages, a bare list, or lines of which the last with messages wins (lines that don't parse are left out)."""
-    whole = F.try_parse_json("value")
-    lines = F.filter(F.transform(F.filter(F.split("value", "\n"), lambda x: filled(x)), lambda x: F.try_parse_json(x)), lambda x: is_object(x))
+    each = F.filter(F.split("value", "\n"), lambda x: filled(x))
+    # The parser stops after a first value, so what begins with a line that parses alone is lines.
+    many = (F.size(each) > 1) & F.try_parse_json(F.try_element_at(each, F.lit(1))).isNotNull()
+    whole = F.when(~F.coalesce(many, F.lit(False)), F.try_parse_json("value"))
+    lines = F.filter(F.transform(each, lambda x: F.try_parse_json(x)), lambda x: is_object(x))
     files = files.withColumns({"_whole": whole, "_lines": F.when(whole.isNull(), lines)})
     files = files.withColumn("_last", F.try_element_at(F.filter("_lines", lambda x: list_at(x, "$.messages").isNotNull()), F.lit(-1)))
     listed = F.coalesce(list_at(F.col("_whole"), "$.messages"), list_at(F.col("_whole"), "$"), list_at(F.col("_last"), "$.messages"), F.when(F.size("_lines") > 0, F.col("_lines")))
