@@ -32,7 +32,7 @@ def whole_words(alternatives: str, ignore_case: bool = True) -> str:
 
 def filled(text: Column | str) -> Column:
     """Whether a text has more than white space."""
-    return F.coalesce(F.trim(F.regexp_replace(col(text), BREAKS, " ")) != "", F.lit(False))
+    return F.coalesce(col(text).rlike("[^" + BREAKS[1:-1]), F.lit(False))
 
 
 def is_correction(text: Column | str) -> Column:
