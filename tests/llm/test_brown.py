@@ -64,6 +64,18 @@ def test_chunks_and_ranges_change_nothing(spark, monkeypatch):
     assert key(run(spark, rows, ranges=3)) == whole
 
 
+def test_words_without_frequent_neighbours_get_classes_of_their_own(spark):
+    rnd = random.Random(2)
+    often = lambda k: [f"often{c}{k}" for c in "abcde"]
+    rare = lambda k, draw: [often(k)[0], *(f"rare{c}{k}x{draw()}" for c in "bcd"), often(k)[-1]]
+    rows = [(i, " ".join(often(i % 2) if i % 4 < 2 else rare(i % 2, lambda: rnd.randrange(20)))) for i in range(4000)]
+    # The words rarec have rare neighbours only: those of the same kind of text, or of the other one.
+    own = [(10_000 + i, " ".join(rare(i % 2, lambda: 1))) for i in range(40)]
+    mixed = [(20_000 + i, t.replace(f"rarec{i % 2}", f"rarec{1 - i % 2}")) for i, (_, t) in enumerate(own)]
+    got = {r.doc_id: r.score - r.base_score for r in run(spark, rows + own + mixed, share=1 / 50, classes=10) if not trains(r.doc_id)}
+    assert min(got[i] for i, _ in own if i in got) > max(got[i] for i, _ in mixed if i in got) + 0.5
+
+
 def test_nothing_to_learn_from(spark):
     assert run(spark, []) == []
     out = [r for i in range(40) if not trains(i) for r in [i]][:2]

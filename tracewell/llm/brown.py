@@ -9,9 +9,13 @@ model is a proper distribution over training tokens and "unknown".
 
 Classes come from the exchange algorithm. Words that make up at least ``SHARE`` of all training
 tokens (at most 1 / SHARE of them exist, whatever the corpus) are moved between classes until no
-move raises the likelihood; every other word that occurs twice or more is then moved, in parallel
-over ranges of word hashes, into the class that its own neighbours in the whole training corpus
-make likeliest.
+move raises the likelihood. Every other word that occurs twice or more is then exchanged in rounds,
+in parallel over ranges of word hashes: it moves into the class that its own neighbours in the
+whole training corpus make likeliest, given the classes that all words have at the round's start
+and the class counts of the whole corpus under them. The first round knows no class of these words
+yet; in the others one word in ``TURNS`` has its turn. Rounds go on until fewer than ``FEW`` of
+these words move while each has a turn, or until that has not raised the likelihood, and then
+the classes of the highest likelihood stay; so they always end.
 
 The corpus is tokenised once, into chunks of some million tokens that hold their distinct words
 (64-bit hashes) and numbers into them, and written to the shared checkpoint folder. Counts and
@@ -28,6 +32,8 @@ would count as one.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -41,6 +47,10 @@ from ._text import U64, slices, words
 SHARE = 1 / 2000
 CLASSES = 64
 SWEEPS = 12
+#: Rounds end when a smaller share of the words that aren't frequent moves.
+FEW = 0.1
+#: In each round after the first one word in so many has its turn, so that few neighbours move at once.
+TURNS = 2
 CHUNK = 1_500_000
 #: Ranges of word hashes, as bits, at least; more of them for inputs above 2**8 * RANGE_BYTES.
 RANGE_BITS, RANGE_BYTES = 8, 120_000_000
@@ -49,12 +59,15 @@ LOWER = (5.0, 20.0)
 END = 0x0123456789ABCDEF
 
 
+_SHUT, _OPENED = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+    return _SHUT.compress(np.ascontiguousarray(x))
 
 
 def _open(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), dtype=kind)
+    return np.frombuffer(_OPENED.decompress(blob), dtype=kind)
 
 
 # --- chunks
@@ -102,7 +115,7 @@ def chunked(docs: DataFrame, trains: Column, key: str, text: str) -> DataFrame:
 
 def _ranges(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts words by range and otherwise keeps it, and each range's bounds in it."""
-    part = (hashes >> U64(64 - bits)).astype(np.int64)
+    part = (hashes >> U64(64 - bits)).astype(np.uint16)  # numpy sorts 16 bits by radix
     return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << bits))])
 
 
@@ -228,93 +241,224 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
 # --- all other words
 
 
-def _answers(chunks: DataFrame, known: np.ndarray, of: np.ndarray, pairs: np.ndarray, bits: int) -> DataFrame:
-    """For each chunk and hash range the corpus counts and classes of the chunk's words there (n is null);
-    and for each range by class the tokens and distinct words (chunk is null)."""
-    k = int(of.max()) + 1 if len(of) else 1
-    other, end, wide = k, k + 1, k + 2
-    every = np.append(of, [other, end]) if len(of) else np.array([other, end])
-    into = np.zeros((len(pairs), wide))
-    into[np.arange(len(pairs)), every] = 1
-    between = into.T @ pairs @ into + 0.5
+def likelihood(pairs: np.ndarray) -> float:
+    """Log likelihood of the class bigrams and of words in their classes, up to a term that classes don't change."""
+    return float(_h(pairs).sum() - _h(pairs.sum(0)).sum() - _h(pairs.sum(1)).sum())
+
+
+def _best(whose: np.ndarray, near: np.ndarray, held: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The class that each word's neighbours make likeliest, which is the one it has (``held``, if not negative) unless another is likelier.
+
+    ``near`` has for each token of word number ``whose`` the class before * classes + the class after.
+    """
+    wide = len(pairs)
+    k, between = wide - 2, pairs + 0.5
     # Up to what is the same for all classes: log P(class | left) + log P(right | class) - log N(class).
-    size = between.sum(1)
-    fit = np.log(between[:, :k])[:, None, :] + (np.log(between[:k]) - np.log(size[:k])[:, None]).T[None, :, :] - np.log(size[:k])
-    fit = fit.reshape(wide * wide, k).astype(np.float32)
-    kinds = k + 2  # classes, then once-seen and unknown words, then the end
+    size = np.log(between.sum(1)[:k])
+    before, after = np.log(between[:, :k]), np.log(between[:k]).T - 2 * size
+    out = np.zeros(len(held), dtype=np.int64)
+    for lo in range(0, len(held), 50_000):
+        m = min(50_000, len(held) - lo)
+        some = (whose >= lo) & (whose < lo + m) if m < len(held) else slice(None)
+        w, code = (whose[some] - lo) * wide, near[some].astype(np.int64)
+        left, right = (np.bincount(w + side, minlength=m * wide).reshape(m, wide) for side in (code // wide, code % wide))
+        fit = np.round(left @ before + right @ after, 6)  # so that ties don't hang on the order of sums
+        best, own = np.argmax(fit, axis=1), held[lo : lo + m]
+        stays = (own >= 0) & (fit[np.arange(m), np.maximum(own, 0)] >= fit[np.arange(m), best])
+        out[lo : lo + m] = np.where(stays, own, best)
+    return out
 
-    def send(batches):
+
+def _by_word(row: dict, answers: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus counts and classes of a chunk's words, from the answers of all ranges."""
+    h = _open(row["words"], np.uint64)
+    order, at = _ranges(h, answers["bits"])
+    total, cls = np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.uint8)
+    for p, c, k in zip(answers["part"], answers["counts"], answers["classes"], strict=True):
+        where = order[at[p] : at[p + 1]]
+        total[where], cls[where] = _open(c, np.uint64).astype(np.int64), _open(k, np.uint8)
+    return total, cls
+
+
+SENT = "chunk long, part int, words binary, counts binary, old binary, near binary"
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """A stable order of 32-bit numbers, by two halves that numpy sorts by radix."""
+    low = np.argsort(x.astype(np.uint16), kind="stable")
+    return low[np.argsort((x >> 16).astype(np.uint16)[low], kind="stable")]
+
+
+def _sent(row: dict, symbols: np.ndarray, moves: np.ndarray, bits: int, wide: int, old: bool) -> pa.RecordBatch:
+    """What a chunk sends to each range: its words, their counts, their classes if they have one (``old``), and the classes
+    beside each training token of the words that move; and, as part -1, the chunk's pairs of classes."""
+    bounds, train = _open(row["bounds"], np.int64), _open(row["train"], np.uint8).astype(bool)
+    h, n, tokens = _open(row["words"], np.uint64), _open(row["counts"], np.uint32), _open(row["tokens"], np.uint32)
+    symbol, learnt = symbols.astype(np.uint16)[tokens], np.repeat(train, np.diff(bounds))  # wide is at most 256
+    before = _before(symbol, bounds, wide - 1) * np.uint16(wide)
+    times = np.bincount((before + symbol)[learnt], minlength=wide * wide)
+    pair, code = np.flatnonzero(times), before
+    code[:-1] += symbol[1:]  # an end token, which has no right neighbour, is never looked at
+    mine = moves[tokens] & learnt
+    order, at = _ranges(h, bits)
+    place = np.empty(len(h), dtype=np.uint32)
+    place[order] = np.arange(len(h), dtype=np.uint32)
+    where = place[tokens[mine]]
+    codes = code[mine][_order(where)]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(h)))])
+    parts = np.flatnonzero(np.diff(at))
+    pick = [order[at[p] : at[p + 1]] for p in parts]
+    cols = [pa.array(np.full(len(parts) + 1, row["chunk"]), pa.int64()), pa.array([*parts, -1], pa.int32())]
+    cols += [pa.array([*[h[x].tobytes() for x in pick], None], pa.binary()), pa.array([*[_pack(n[x]) for x in pick], _pack(times[pair])], pa.binary())]
+    cols.append(pa.array([*[_pack(symbols[x].astype(np.uint8)) if old else None for x in pick], None], pa.binary()))
+    cols.append(pa.array([*[_pack(codes[ends[at[p]] : ends[at[p + 1]]]) for p in parts], _pack(pair)], pa.binary()))
+    return pa.RecordBatch.from_arrays(cols, names=["chunk", "part", "words", "counts", "old", "near"])
+
+
+def first_sent(chunks: DataFrame, known: np.ndarray, of: np.ndarray, wide: int, bits: int) -> DataFrame:
+    """What chunks send when only the frequent words have classes."""
+    every = np.append(of, [wide - 2, wide - 1]).astype(np.int64)
+
+    def work(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                bounds, train = _open(row["bounds"], np.int64), _open(row["train"], np.uint8).astype(bool)
-                h, n, tokens = _open(row["words"], np.uint64), _open(row["counts"], np.uint32), _open(row["tokens"], np.uint32)
-                number = _numbered(h, known, len(known), len(known) + 1)
-                symbol = every[number][tokens]
-                code = _before(symbol, bounds, end) * wide
-                code[:-1] += symbol[1:]  # an end token, which has no right neighbour, is never looked at
-                mine = (number == len(known))[tokens] & np.repeat(train, np.diff(bounds))
-                order, at = _ranges(h, bits)
-                place = np.empty(len(h), dtype=np.int64)
-                place[order] = np.arange(len(h))
-                where = place[tokens[mine]]
-                by_word = np.argsort(where, kind="stable")
-                codes = code[mine][by_word].astype(np.uint16)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(h)))])
-                parts = np.flatnonzero(np.diff(at))
-                pick = [order[at[p] : at[p + 1]] for p in parts]
-                cols = [pa.array(np.full(len(parts), row["chunk"]), pa.int64()), pa.array(parts, pa.int32())]
-                cols += [pa.array([h[x].tobytes() for x in pick], pa.binary()), pa.array([_pack(n[x]) for x in pick], pa.binary())]
-                cols.append(pa.array([_pack(codes[ends[at[p]] : ends[at[p + 1]]]) for p in parts], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=["chunk", "part", "words", "counts", "near"])
+                number = _numbered(_open(row["words"], np.uint64), known, len(known), len(known) + 1)
+                yield _sent(row, every[number], number == len(known), bits, wide, False)
+
+    return chunks.select("chunk", "train", "bounds", "tokens", "words", "counts").mapInArrow(work, SENT)
+
+
+def next_sent(chunks: DataFrame, answers: DataFrame, known: np.ndarray, wide: int, bits: int, turn: int) -> DataFrame:
+    """What chunks send when all words have classes, and words whose hash is ``turn`` modulo ``TURNS`` may move."""
+    turns = TURNS
+
+    def work(left, right):
+        if not left.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in (("chunk", pa.int64()), ("part", pa.int32()), *((b, pa.binary()) for b in ("words", "counts", "old", "near")))})
+        row = left.to_pylist()[0]
+        total, cls = _by_word(row, right.select(["part", "counts", "classes"]).to_pydict() | {"bits": bits})
+        h = _open(row["words"], np.uint64)
+        moves = (_numbered(h, known, len(known), len(known) + 1) == len(known)) & (total >= 2) & (h % U64(turns) == U64(turn))
+        return pa.Table.from_batches([_sent(row, cls, moves, bits, wide, True)])
+
+    given = answers.where("chunk IS NOT NULL").select("chunk", "part", "counts", "classes").groupBy("chunk")
+    return chunks.select("chunk", "train", "bounds", "tokens", "words", "counts").groupBy("chunk").cogroup(given).applyInArrow(work, SENT)
+
+
+def class_pairs(sent: DataFrame, wide: int) -> np.ndarray:
+    """How often each pair of classes is adjacent in training texts."""
+
+    def work(batches):
+        for batch in batches:
+            for near, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_open(near, np.int64)), pa.array(_open(counts, np.int64))], names=["code", "n"])
+
+    got = sent.where("part = -1").select("near", "counts").mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(wide * wide)
+    out[got.column("code").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(wide, wide)
+
+
+def _answers(sent: DataFrame, known: np.ndarray, of: np.ndarray, pairs: np.ndarray, turn: int | None = None) -> DataFrame:
+    """For each chunk and hash range the corpus counts and classes of the chunk's words there (n is null);
+    and for each range by class the tokens and distinct words, and as part -1 the words that moved and that could (chunk is null)."""
+    k, turns = len(pairs) - 2, TURNS
+    kinds = k + 2  # classes, then once-seen and unknown words, then the end
+    fixed = np.append(of, [k, k + 1]).astype(np.int64)
 
     def answer(group):
         chunk = group.column("chunk").to_numpy()
         hs = [np.frombuffer(x, dtype=np.uint64) for x in group.column("words").to_pylist()]
-        ns = [_open(x, np.uint32) for x in group.column("counts").to_pylist()]
+        ns = np.concatenate([_open(x, np.uint32) for x in group.column("counts").to_pylist()])
         h, number = np.unique(np.concatenate(hs), return_inverse=True)
-        total = np.bincount(number, weights=np.concatenate(ns)).astype(np.int64)
+        total = np.bincount(number, weights=ns).astype(np.int64)
         found = _numbered(h, known, len(known), len(known) + 1)
-        cls = np.append(of, [k, k + 1])[found].astype(np.int64) if len(of) else np.where(found == len(known), k, k + 1)
+        cls = fixed[found]
+        moves = repeated = (found == len(known)) & (total >= 2)
+        held = np.full(len(h), -1, dtype=np.int64)
+        if turn is not None:
+            held[number] = np.concatenate([_open(x, np.uint8) for x in group.column("old").to_pylist()])
+            cls = np.where(repeated, held, cls)
+            moves = repeated & (h % U64(turns) == U64(turn))
         near = np.concatenate([_open(x, np.uint16) for x in group.column("near").to_pylist()])
-        # Words that aren't frequent sent as many neighbours as they have training tokens, in order.
-        whose = np.repeat(number, np.where(found[number] == len(known), np.concatenate(ns), 0))
-        again = total[whose] >= 2
-        whose, near = whose[again], near[again]
-        order = np.argsort(whose, kind="stable")
-        whose, near = whose[order], near[order]
-        begins = np.flatnonzero(np.diff(whose, prepend=-1))
-        for first in range(0, len(begins), 20_000):
-            some = begins[first : first + 20_000]
-            stop = begins[first + 20_000] if first + 20_000 < len(begins) else len(whose)
-            lo = some[0]
-            while lo < stop:  # a word's neighbours are summed in pieces of bounded size
-                hi = min(stop, lo + 200_000)
-                inside = some[(some >= lo) & (some < hi)]
-                cuts = inside if len(inside) and inside[0] == lo else np.concatenate([[lo], inside]).astype(np.int64)
-                sums = np.add.reduceat(fit[near[lo:hi]].astype(np.float64), cuts - lo, axis=0)
-                if lo == some[0]:
-                    kept = {}
-                for w, s in zip(whose[cuts].tolist(), sums, strict=True):
-                    kept[w] = kept[w] + s if w in kept else s
-                lo = hi
-            at = np.fromiter(kept, dtype=np.int64)
-            cls[at] = np.argmax(np.stack(list(kept.values())), axis=1)
+        # Words sent as many neighbours as they have training tokens, in order; at first also those that are seen once.
+        whose = np.repeat(number, np.where((found == len(known) if turn is None else moves)[number], ns, 0))
+        at = np.flatnonzero(moves)
+        among = np.full(len(h), -1, dtype=np.int64)
+        among[at] = np.arange(len(at))
+        whose = among[whose]
+        cls[at] = _best(whose[whose >= 0], near[whose >= 0], held[at], pairs)
         seen = total > 0
         tokens, distinct = np.bincount(cls, weights=total, minlength=kinds), np.bincount(cls[seen], minlength=kinds)
         edge = np.concatenate([[0], np.cumsum([len(x) for x in hs])])
         mine = [number[edge[j] : edge[j + 1]] for j in range(len(hs))]
-        rows = len(hs)
+        rows, more = len(hs), kinds + 1
         return pa.table({
-            "chunk": pa.array([*chunk.tolist(), *[None] * kinds], pa.int64()),
-            "part": pa.array([*group.column("part").to_pylist(), *range(kinds)], pa.int32()),
-            "counts": pa.array([*[_pack(total[x].astype(np.uint64)) for x in mine], *[None] * kinds], pa.binary()),
-            "classes": pa.array([*[_pack(cls[x].astype(np.uint8)) for x in mine], *[None] * kinds], pa.binary()),
-            "n": pa.array([*[None] * rows, *tokens.astype(np.int64).tolist()], pa.int64()),
-            "distinct": pa.array([*[None] * rows, *distinct.tolist()], pa.int64()),
+            "chunk": pa.array([*chunk.tolist(), *[None] * more], pa.int64()),
+            "part": pa.array([*group.column("part").to_pylist(), *range(kinds), -1], pa.int32()),
+            "counts": pa.array([*[_pack(total[x].astype(np.uint64)) for x in mine], *[None] * more], pa.binary()),
+            "classes": pa.array([*[_pack(cls[x].astype(np.uint8)) for x in mine], *[None] * more], pa.binary()),
+            "n": pa.array([*[None] * rows, *tokens.astype(np.int64).tolist(), int((cls != held)[at].sum())], pa.int64()),
+            "distinct": pa.array([*[None] * rows, *distinct.tolist(), int(repeated.sum())], pa.int64()),
         })
 
-    sent = chunks.select("chunk", "train", "bounds", "tokens", "words", "counts").mapInArrow(send, "chunk long, part int, words binary, counts binary, near binary")
-    return sent.groupBy("part").applyInArrow(answer, "chunk long, part int, counts binary, classes binary, n long, distinct long")
+    return sent.where("part >= 0").groupBy("part").applyInArrow(answer, "chunk long, part int, counts binary, classes binary, n long, distinct long")
+
+
+class Rounds:
+    """The rounds over all words that aren't frequent: ``run`` gives the last answers, ``told`` each round's words that moved
+    and that could, and the likelihood before it. What rounds write goes when it isn't needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.told, self.held = spark, [], {}
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        self.held[name] = cut(df)
+        del df
+        self._release()
+        return self.held[name]
+
+    def _release(self) -> None:
+        gc.collect()  # what Python doesn't hold any more, the JVM can let go, and with it the shuffled files
+        self.spark._jvm.System.gc()
+
+    def delete(self, *names: str) -> None:
+        """Delete the files of these results, or of all."""
+        for name in names or list(self.held):
+            file = self.held.pop(name)._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+            if file.isDefined():
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(file.get())
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._release()
+
+    def run(self, chunks: DataFrame, known: np.ndarray, of: np.ndarray, pairs: np.ndarray, bits: int) -> DataFrame:
+        wide = int(of.max()) + 3 if len(of) else 3
+        into = np.zeros((len(pairs), wide))
+        into[np.arange(len(pairs)), np.append(of, [wide - 2, wide - 1]).astype(np.int64)] = 1
+        answers = self._kept(_answers(first_sent(chunks, known, of, wide, bits), known, of, into.T @ pairs @ into), "0")
+        best, at, k = -np.inf, 0, 0  # the highest likelihood and the round it is that of
+        while True:
+            moved, movable = answers.where("chunk IS NULL AND part = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+            self.told.append((moved, movable, best))
+            if wide == 3 or not movable or (k >= TURNS and sum(m for m, *_ in self.told[-TURNS:]) <= FEW * movable):
+                break
+            sent = self._kept(next_sent(chunks, answers, known, wide, bits, k % TURNS), f"sent{k}")
+            between = class_pairs(sent, wide)
+            now = likelihood(between)
+            if now > best:
+                if k > at:
+                    self.delete(str(at))
+                best, at = now, k
+            elif k - at >= TURNS:
+                answers = self.held[str(at)]
+                break
+            following = self._kept(_answers(sent, known, of, between, k % TURNS), str(k + 1))
+            if k > at:
+                self.delete(str(k))
+            answers = following
+            self.delete(f"sent{k}")
+            k += 1
+        return answers
 
 
 def _classed(chunks: DataFrame, answers: DataFrame, tokens: np.ndarray, distinct: np.ndarray, bits: int, kind: str) -> DataFrame:
@@ -329,18 +473,13 @@ def _classed(chunks: DataFrame, answers: DataFrame, tokens: np.ndarray, distinct
     def work(left, right):
         if not left.num_rows:
             return pa.table({c: pa.array([], t) for c, t in (("ids", left.schema.field("ids").type), *((b, pa.binary()) for b in ("train", "bounds", "classes", "known", "base", "emitted")))})
-        row = left.slice(0, 1)
-        get = lambda c: row.column(c)[0].as_py()
-        bounds, number, h = _open(get("bounds"), np.int64), _open(get("tokens"), np.uint32), _open(get("words"), np.uint64)
-        order, at = _ranges(h, bits)
-        total, cls = np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.uint8)
-        for p, c, k in zip(*(right.column(x).to_pylist() for x in ("part", "counts", "classes")), strict=True):
-            where = order[at[p] : at[p + 1]]
-            total[where], cls[where] = _open(c, np.uint64).astype(np.int64), _open(k, np.uint8)
+        row = left.to_pylist()[0]
+        bounds, number = _open(row["bounds"], np.int64), _open(row["tokens"], np.uint32)
+        total, cls = _by_word(row, right.select(["part", "counts", "classes"]).to_pydict() | {"bits": bits})
         log = np.log10(total + 0.5)
         sums = lambda x: np.add.reduceat(x[number], bounds[:-1])
-        blobs = [get("train"), get("bounds"), _pack(cls[number]), _pack(sums((total > 0).astype(np.int64))), _pack(sums(log - base)), _pack(sums(log - scale[cls]))]
-        return pa.table([row.column("ids"), *[pa.array([b], pa.binary()) for b in blobs]], names=["ids", "train", "bounds", "classes", "known", "base", "emitted"])
+        blobs = [row["train"], row["bounds"], _pack(cls[number]), _pack(sums((total > 0).astype(np.int64))), _pack(sums(log - base)), _pack(sums(log - scale[cls]))]
+        return pa.table([left.column("ids").slice(0, 1), *[pa.array([b], pa.binary()) for b in blobs]], names=["ids", "train", "bounds", "classes", "known", "base", "emitted"])
 
     paired = chunks.select("chunk", "ids", "train", "bounds", "tokens", "words").groupBy("chunk").cogroup(answers.where("chunk IS NOT NULL").select("chunk", "part", "counts", "classes").groupBy("chunk"))
     return paired.applyInArrow(work, f"ids array<{kind}>, train binary, bounds binary, classes binary, known binary, base binary, emitted binary")
@@ -375,12 +514,14 @@ def score_texts(docs: DataFrame, trains: Column, key: str = "doc_id", text: str
     known = np.sort(np.array(frequent_words(chunks, max(share * n, 2), bits), dtype=np.uint64))
     pairs = pair_counts(chunks, known)
     of = exchange(pairs, classes)
-    answers = cut(_answers(chunks, known, of, pairs, bits))
+    rounds = Rounds(spark)
+    answers = rounds.run(chunks, known, of, pairs, bits)
     wide = int(of.max()) + 3 if len(of) else 3
     tokens, distinct = np.zeros(wide, dtype=np.int64), np.zeros(wide, dtype=np.int64)
-    for r in answers.where("chunk IS NULL").groupBy("part").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).collect():
+    for r in answers.where("chunk IS NULL AND part >= 0").groupBy("part").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).collect():
         tokens[r.part], distinct[r.part] = r.n, r.distinct
     classed = cut(_classed(chunks, answers, tokens, distinct, bits, kind))
+    rounds.delete()
 
     def count(batches):
         total = np.zeros(wide**3, dtype=np.int64)
