@@ -285,7 +285,11 @@ def _differences(pairs: DataFrame, sets: DataFrame, shared, shingle: int, percen
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, ranges: int | None = None) -> DataFrame:
-    """Key, n_shingles and component_id of every row."""
+    """Key, n_shingles and component_id of every row.
+
+    Components only, no list or number of links: documents that both link with one hub are in its
+    component already, so the pair is never verified.
+    """
     sc = prepare(docs.sparkSession).sparkContext
     bits = range_bits(docs, RANGE_BITS, RANGE_BYTES, SLOT_BITS - 3) if ranges is None else ranges
     shared = sc.broadcast(_counts(docs, text, shingle, bits))
