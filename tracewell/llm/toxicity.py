@@ -32,23 +32,25 @@ columns are not carried by ``score``, and all of them by ``drop_toxic``.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import cut, fold, prepare, table
 from ._text import slices, stems, text_of, words
 
-SAMPLE = 4_000
+SAMPLE = 3_000
 STEMS = (4, 5, 6)
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
 #: Terms in at least this share of the examples have dense rows.
-DENSE = 1 / 32
+DENSE = 1 / 10
 #: Blocks that a query visits before it compares bounds with its k best.
-FIRST = 4
+FIRST = 1
 #: Chance, over all terms tried, that a term without bearing differs so much.
 CHANCE = 0.01
 PRIOR_MASS = 0.05
@@ -107,7 +109,7 @@ def relevance(toxic: np.ndarray, every: np.ndarray, share: float) -> np.ndarray:
 def _spread(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All positions in some ranges, and the lengths of the ranges."""
     n = ends - begins
-    return np.repeat(begins - np.cumsum(n) + n, n) + np.arange(int(n.sum())), n
+    return np.repeat(begins - np.cumsum(n, dtype=np.int64) + n, n) + np.arange(int(n.sum())), n
 
 
 class Index:
@@ -127,13 +129,13 @@ class Index:
         example, term, weight = example[~often], term[~often], weight[~often]
         order = np.argsort(term, kind="stable")
         self.example, term, self.weight = example[order].astype(np.int32), term[order], weight[order]
-        cell = term * max(self.blocks, 1) + self.example // block
+        cell = term.astype(np.int64) * max(self.blocks, 1) + self.example // block
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
         #: Of each (term, block) that has postings: its block, the largest weight, and where the postings begin.
         self.cell_block = (cell[starts] % max(self.blocks, 1)).astype(np.int32)
         self.peak = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
-        self.cell_begin = np.append(starts, len(cell))
-        self.begin = np.searchsorted(term[starts], np.arange(n_terms + 1))
+        self.cell_begin = np.append(starts, len(cell)).astype(np.int32)
+        self.begin = np.searchsorted(term[starts], np.arange(n_terms + 1)).astype(np.int32)
 
     def nearest(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
         """Of n queries, given as (query, term, weight) in that order, the k nearest examples of positive cosine.
@@ -223,34 +225,46 @@ class Model:
     """All that scoring needs; its size is bounded by the sample.
 
     ``frequency``: in how many of ``documents`` each term is; ``shares``: how many labelled documents each class (other, toxic) has.
+    What travels is the examples' terms and counts, packed; the index is built from them where it is used.
     """
 
     def __init__(self, keys: np.ndarray, frequency: np.ndarray, documents: int, ids: list, labels: np.ndarray, example: np.ndarray, term: np.ndarray, count: np.ndarray, shares: tuple[int, int]):
-        self.words, self.ids, self.labels = Vocabulary(keys), ids, labels
         n, bad = len(labels), int(labels.sum())
         self.prior = (shares[1] + 0.5) / (sum(shares) + 1.5)
         toxic, every = np.bincount(term, weights=labels[example], minlength=len(keys)), np.bincount(term, minlength=len(keys))
         relevant = relevance(toxic, every, bad / n) if 0 < bad < n else np.ones(len(keys))
-        self.weights = np.log((documents + 1) / (frequency + 0.5) + 1) * relevant
+        weights = np.log((documents + 1) / (frequency + 0.5) + 1) * relevant
         # Examples of alike markers share blocks, which makes their bounds sharp.
-        weight = self.weigh(term, count)
-        peak = np.zeros(n)
+        weight, peak, lead = (1 + np.log(count)) * weights[term], np.zeros(n), np.full(n, -1, dtype=np.int64)
         np.maximum.at(peak, example, weight)
-        lead = np.full(n, -1, dtype=np.int64)
         top = weight == peak[example]
         lead[example[top]] = term[top]
         order = np.lexsort((np.arange(n), lead, -labels))
-        place = np.empty(n, dtype=np.int64)
-        place[order] = np.arange(n)
-        self.ids, self.labels = [ids[k] for k in order], labels[order]
+        place = np.empty(n, dtype=np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
         by = np.lexsort((term, place[example]))
-        held = place[example][by], term[by], weight[by]
-        self.index = Index(*held, n, len(keys))
+        sizes = np.bincount(place[example], minlength=n)
+        del weight, top
+        self.__setstate__((keys, weights, [ids[k] for k in order], labels[order], sizes, term[by].astype(np.int32), count[by].astype(np.int32), self.prior, 1.0, 0.0))
+        held = np.repeat(np.arange(n), sizes), self.term, self.weigh(self.term, self.count)
         near = self.index.nearest(*held, n, NEIGHBOURS, np.arange(n)) if n else []
         own = [votes(x, self.labels, self.prior) for x in near]
         each = np.where(self.labels > 0, shares[1] / max(bad, 1), shares[0] / max(n - bad, 1))
         self.slope, self.shift = calibrate(own, self.labels, each)
 
+    def __setstate__(self, state: tuple) -> None:
+        keys, self.weights, self.ids, self.labels, sizes, self.term, self.count, self.prior, self.slope, self.shift = state
+        self.words, self.sizes = Vocabulary(keys), sizes
+        self.index = Index(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), self.term, self.weigh(self.term, self.count), len(sizes), len(keys))
+
+    def __getstate__(self) -> tuple:
+        return self.words.keys, self.weights, self.ids, self.labels, self.sizes, self.term, self.count, self.prior, self.slope, self.shift
+
+    def __reduce__(self):
+        names = pickle.dumps(self.__getstate__()[2])
+        arrays = [self.words.keys, self.weights.astype(np.float64), self.labels.astype(np.int64), self.sizes.astype(np.int64), np.diff(self.term, prepend=np.int32(0)).astype(np.int32), self.count]
+        return _unpack, ([_pack(x) for x in arrays], names, (self.prior, self.slope, self.shift))
+
     def weigh(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         return (1 + np.log(count)) * self.weights[term]
 
@@ -264,6 +278,24 @@ class Model:
         return out
 
 
+def _pack(x: np.ndarray) -> tuple[bytes, str]:
+    """An array's bytes, those of one place together, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes)), x.dtype.str
+
+
+def _unpack(packed: list[tuple[bytes, str]], names: bytes, rest: tuple) -> Model:
+    def opened(blob: bytes, kind: str) -> np.ndarray:
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+        wide = np.dtype(kind).itemsize
+        return np.ascontiguousarray(raw.reshape(wide, len(raw) // wide).T).view(kind).reshape(-1)
+
+    keys, weights, labels, sizes, term, count = (opened(*x) for x in packed)
+    model = Model.__new__(Model)
+    model.__setstate__((keys, weights, pickle.loads(names), labels, sizes, np.cumsum(term, dtype=np.int32), count, *rest))
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, learns: Column, key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Learn from the labels of documents for which ``learns`` (over the labels' key) holds."""
     spark = prepare(docs.sparkSession)
@@ -299,6 +331,8 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, key: str = "doc_id",
     count = got.column(3).combine_chunks().flatten().to_numpy() if got.num_rows else np.zeros(0, dtype=np.int64)
     example = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()) if got.num_rows else 0)
     keys, term = np.unique(hashes, return_inverse=True)
+    example, term, count = example.astype(np.int32), term.astype(np.int32), count.astype(np.int32)
+    del got, lists, hashes
     shared = spark.sparkContext.broadcast(keys)
 
     def frequencies(batches):
@@ -313,6 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, key: str = "doc_id",
     summed = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(len(keys) + 1, dtype=np.int64)
     frequency[summed.column("term").to_numpy()] = summed.column("n").to_numpy()  # the last place, -1, counts documents
+    shared.unpersist()
     return Model(keys, frequency[:-1], int(frequency[-1]), ids, label, example, term, count, shares)
 
 
