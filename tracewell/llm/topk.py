@@ -13,9 +13,9 @@ what is shuffled is the candidates once for each block and the queries once for
 
 Edge cases: a vector that is null, or holds a null or non-finite component, takes no part; a
 null id takes no part either; missing trailing components count as 0; an empty vector scores 0;
-ties go to the smaller id; a query skips every row of its own id, and rows that repeat an id are
-ranked each. Scores beyond 64 bits are set to its limits (the sums
-themselves are exact), and then ranked.
+ties go to the smaller id. A query skips its own row alone: rows that repeat its id are candidates,
+and each row of a repeated query id gets a list of its own under that id. Scores beyond 64 bits are
+set to its limits (the sums themselves are exact), and then ranked.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import prepare, table
+from ._spark import cut, prepare, table
 
 K = 10
 EVERY = 100
@@ -55,10 +55,10 @@ def quantised(vectors: list[np.ndarray]) -> np.ndarray:
     return exact
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's k best among these candidates."""
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
+def search(asking: np.ndarray, queries: np.ndarray, having: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query's row number, candidate's id, score) of each query's k best among these candidates (row numbers ``having``)."""
+    order = np.lexsort((having, ids))
+    ids, own = ids[order], {n: at for at, n in enumerate(having[order].tolist())}
     width = min(queries.shape[1], rows.shape[1])
     wide = object if object in (queries.dtype, rows.dtype) else np.int64
     if wide is np.int64 and rows.size and queries.size and float(np.abs(rows).max()) * float(np.abs(queries).max()) * max(width, 1) >= 2.0**62:
@@ -69,16 +69,14 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np
         held = np.flatnonzero(column)
         postings.append((slice(None), np.ascontiguousarray(column)) if len(held) == len(ids) else (held, column[held]))
     out, scores = [], np.zeros(len(ids), dtype=wide)
-    for q, weights in zip(query_ids, queries, strict=True):
+    for q, weights in zip(asking.tolist(), queries, strict=True):
         scores[:] = 0
         for term in np.flatnonzero(weights[:width]):
             where, values = postings[term]
             scores[where] += wide(weights[term]) * values if wide is np.int64 else int(weights[term]) * values
         if wide is object:
             scores = np.clip(scores, *_LONG)
-        first, last = np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right")
-        own = last - first
-        there = np.concatenate([np.arange(first), np.arange(last, len(ids))]) if own else None
+        there = np.delete(np.arange(len(ids)), own[q]) if q in own else None
         s = scores if there is None else scores[there]
         if len(s) > k:
             least = np.partition(s, len(s) - k)[len(s) - k] if wide is np.int64 else sorted(s)[len(s) - k]
@@ -88,7 +86,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np
             best = np.arange(len(s))
         for b in best:
             c = b if there is None else there[b]
-            out.append((int(q), int(ids[c]), int(scores[c])))
+            out.append((q, int(ids[c]), int(scores[c])))
     return out
 
 
@@ -104,26 +102,27 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", ve
     held = rows.where(F.col(key).isNotNull() & usable(F.col(vector))).select(
         F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
     )
+    # Rows are numbered once: queries and candidates have to agree on the numbers.
+    held = cut(held.withColumn("n", F.monotonically_increasing_id()))
     total, asked = held.agg(F.count(F.lit(1)), F.count_if("q")).first()
     chunks, blocks = max(1, math.ceil(total / chunk)), max(1, math.ceil(asked / block))
-    deal = F.xxhash64("id", "v")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = held.where("q").select("id", "v", F.pmod(deal, F.lit(blocks)).cast("int").alias("b"), numbers(chunks).alias("c"))
-    # Rows that repeat one id and vector would share a hash; the row's number in its partition parts them.
-    spread = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
-    right = held.select("id", "v", spread.alias("c")).select("id", "v", "c", numbers(blocks).alias("b"))
+    deal = lambda n: F.pmod(F.xxhash64("n"), F.lit(n)).cast("int")
+    left = held.where("q").select("n", "v", deal(blocks).alias("b"), numbers(chunks).alias("c"))
+    right = held.select("n", "id", "v", deal(chunks).alias("c")).select("n", "id", "v", "c", numbers(blocks).alias("b"))
 
     def pair(asking: pa.Table, having: pa.Table) -> pa.Table:
         found = []
         if asking.num_rows and having.num_rows:
-            side = [(t.column("id").to_numpy(), quantised([np.asarray(v.values, dtype=float) for v in t.column("v")])) for t in (asking, having)]
-            found = search(*side[0], *side[1], k)
+            whole = [quantised([np.asarray(v.values, dtype=float) for v in t.column("v")]) for t in (asking, having)]
+            found = search(asking.column("n").to_numpy(), whole[0], having.column("n").to_numpy(), having.column("id").to_numpy(), whole[1], k)
         cols = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", key, "score"])
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["n", key, "score"])
 
-    found = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(pair, f"query_id long, {key} long, score long")
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    found = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(pair, f"n long, {key} long, score long")
+    place = Window.partitionBy("n").orderBy(F.desc("score"), key)
+    best = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    return best.join(held.where("q").select("n", F.col("id").alias("query_id")), "n").select("query_id", "rank", key, "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +131,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = {
     "op3_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.c, d.c), lambda p: p[1] * p[2])) AS BIGINT) AS score
-      FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+s AS (SELECT q.n, q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.c, d.c), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v d ON q.n <> d.n WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 }
