@@ -2,24 +2,27 @@
 
 Rules are strings, host then path. Their xxhash64 digests lie sorted in a file that each worker
 memory-maps; the full strings lie beside it. For every url the strings that could be a rule
-(each suffix of its host at a label's start, with its path cut to each length that a rule's
-path has) are hashed and probed by one vectorised binary search a batch. A digest that is found
+(each suffix of its host at a label's start that is as long as some rule's host, with its path cut
+to each length that such a rule's path has) are hashed and probed by one vectorised binary search
+a batch. A digest that is found
 counts only if the stored string is the same, so collisions are harmless.
 
 A rule fits its host and all subdomains if the url's path starts with the rule's path (an empty
 path starts with no rule's slash). The longest rule wins; of two equally long ones that of the
 longer host. Urls that no rule fits are allowed.
 
-Edge cases: a null url or one without ``://`` has empty host and path, which no rule fits; very
-long urls cost one probe for each label of their host and length of a rule's path; repeated rows
-are judged each; an empty table gives an empty result; other columns are not carried.
+The file is written to the session's shared folder, and Spark brings it to every executor.
+
+Edge cases: a null url or one without ``://`` has empty host and path, which no rule fits; a very
+long host is read only as far from its end as the longest rule's host, and a url costs at most one
+probe for each pair of lengths that a rule has, however many labels it has; repeated rows are judged each; an empty
+table gives an empty result; other columns are not carried. Rules of more than ``MAX_BYTES`` are
+an error: split them and take the longest of the rules found.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +59,13 @@ class RuleFile:
     def __init__(self, path: str):
         head = np.memmap(path, dtype="<u8", mode="r", shape=(2,))
         n, k = int(head[0]), int(head[1])
-        self.lengths = [int(x) for x in np.memmap(path, dtype="<u8", mode="r", offset=16, shape=(k,))] if k else []
-        at = 16 + 8 * k
+        pairs = np.memmap(path, dtype="<u8", mode="r", offset=16, shape=(k, 2)).tolist() if k else []
+        #: Length of a rule's host, to the lengths of the paths of such rules.
+        self.lengths: dict[int, list[int]] = {}
+        for host, length in pairs:
+            self.lengths.setdefault(host, []).append(length)
+        self.longest = max(self.lengths, default=0)
+        at = 16 + 16 * k
         self.digests = np.memmap(path, dtype="<u8", mode="r", offset=at, shape=(n,)) if n else np.zeros(0, dtype="<u8")
         self.ends = np.memmap(path, dtype="<u8", mode="r", offset=at + 8 * n, shape=(n + 1,))
         self.strings = np.memmap(path, dtype=np.uint8, mode="r", offset=at + 16 * n + 8, shape=(max(int(self.ends[-1]), 1),))
@@ -82,16 +90,15 @@ class RuleFile:
         return out
 
 
-def write_rules(rules: dict[str, str], path: str) -> None:
-    """``rules``: host and path, to ``allow`` or ``block``."""
+def packed_rules(rules: dict[str, str]) -> list[bytes]:
+    """The parts of a digest file; ``rules``: host and path, to ``allow`` or ``block``."""
     rows = sorted((xxhash.xxh64_intdigest(k.encode()), k.encode(), v == "block") for k, v in rules.items())
     if sum(len(k) + 17 for _, k, _ in rows) > MAX_BYTES:
         raise ValueError("the rules exceed MAX_BYTES; split them over several passes")
-    lengths = sorted({len(k) - k.find("/") for k in rules})
+    lengths = sorted({(k.find("/"), len(k) - k.find("/")) for k in rules})
     ends = np.cumsum([0] + [len(k) + 1 for _, k, _ in rows])
-    with open(path, "wb") as out:
-        out.write(np.array([len(rows), len(lengths), *lengths, *[d for d, _, _ in rows], *ends], dtype="<u8").tobytes())
-        out.write(b"".join(k + (b"B" if blocks else b"A") for _, k, blocks in rows) or b"\0")
+    numbers = [len(rows), len(lengths), *(n for pair in lengths for n in pair), *[d for d, _, _ in rows], *ends]
+    return [np.array(numbers, dtype="<u8").tobytes(), b"".join(k + (b"B" if blocks else b"A") for _, k, blocks in rows) or b"\0"]
 
 
 def judge(urls: list[str | None], rules: RuleFile) -> list[tuple[str, str, str | None, str | None]]:
@@ -100,14 +107,16 @@ def judge(urls: list[str | None], rules: RuleFile) -> list[tuple[str, str, str |
     for k, (host, path) in enumerate(parts):
         if not path:
             continue
-        suffixes, at = [host], host.find(".")
-        while at >= 0:
-            suffixes.append(host[at + 1 :])
-            at = host.find(".", at + 1)
-        for n in rules.lengths:
-            if n <= len(path):
-                keys += [(s + path[:n]).encode("utf-8", "surrogatepass") for s in suffixes]
-                whose += [(k, len(s) + n, len(s)) for s in suffixes]
+        end, at = len(host), len(host)
+        while at >= 0:  # labels from the last to the first, while a rule's host may be as long
+            at = host.rfind(".", max(0, end - rules.longest - 1), at)
+            size = end - at - 1
+            if at < 0 and size > rules.longest:
+                break
+            for n in rules.lengths.get(size, ()):
+                if n <= len(path):
+                    keys.append((host[at + 1 :] + path[:n]).encode("utf-8", "surrogatepass"))
+                    whose.append((k, size + n, size))
     best: dict[int, tuple[int, int, str, bool]] = {}
     for (k, size, host_size), key, blocks in zip(whose, keys, rules.find(keys), strict=True):
         if blocks is not None and (k not in best or (size, host_size) > best[k][:2]):
@@ -121,9 +130,13 @@ def filter_urls(rows: DataFrame, rules: dict[str, str] | None = None, key: str =
     rules = RULES if rules is None else rules
     name = "urlrules-" + hashlib.sha256(repr(sorted(rules.items())).encode()).hexdigest()[:16]
     if not any(x.endswith(name) for x in sc.listFiles):
-        folder = os.path.realpath(tempfile.mkdtemp())
-        write_rules(rules, f"{folder}/{name}")
-        sc.addFile(f"{folder}/{name}")  # Spark sends it to every executor, also to those that replace lost ones
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{sc.getCheckpointDir()}/{name}")
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+        for part in packed_rules(rules):
+            for lo in range(0, len(part), 1 << 24):
+                out.write(bytearray(part[lo : lo + (1 << 24)]))
+        out.close()
+        sc.addFile(path.toString())  # Spark sends it to every executor, also to those that replace lost ones
 
     def batches(it):
         path = SparkFiles.get(name)
