@@ -13,7 +13,8 @@ of other common templates can appear inside a text; ``plain`` takes the escapes
 Edge cases: a null text or role is empty; rows that repeat a turn number are put in order by role
 and text; a null conversation id makes one conversation; an empty table gives an empty result;
 other columns are not carried. A worker holds one conversation at a time, never a whole group of
-rows that Spark has gathered.
+rows that Spark has gathered. Rendering every prefix is quadratic in a conversation's turns: 2,000
+turns take some five seconds. Ids may be of any type that can be sorted.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._spark import prepare, table
 
@@ -93,8 +95,8 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object,
         yield now, turns
 
 
-SPANS = "array<struct<role: string, start: int, end: int, text_start: int, text_end: int>>"
-_SPAN = pa.list_(pa.struct([("role", pa.string()), *((n, pa.int32()) for n in ("start", "end", "text_start", "text_end"))]))
+SPANS = "array<struct<role: string, start: long, end: long, text_start: long, text_end: long>>"
+_SPAN = pa.list_(pa.struct([("role", pa.string()), *((n, pa.int64()) for n in ("start", "end", "text_start", "text_end"))]))
 
 
 def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -108,7 +110,7 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     sorted_rows = rows.select(F.col(conv), F.col(turn).alias("_turn"), blank(role).alias("_role"), blank(text).alias("_text")).repartition(conv)
     sorted_rows = sorted_rows.sortWithinPartitions(conv, "_turn", "_role", "_text").select(conv, "_role", "_text")
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    id_type = to_arrow_type(rows.schema[conv].dataType)
 
     def work(batches):
         def out(done):
