@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return topk.ORACLE | url_filter.ORACLE | chat.ORACLE | token_counts.ORACLE | decontam.ORACLE | jaccard.ORACLE
+    return topk.ORACLE | url_filter.ORACLE | chat.ORACLE | sharding.ORACLE | token_counts.ORACLE | decontam.ORACLE | jaccard.ORACLE
