@@ -203,3 +203,47 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     with pytest.raises(Exception, match="unknown operation"):
         rollup.commit("b5", token_counts.change(df, "upsert", "space/1", n))
     assert not rollup.committed("b5")
+
+
+def test_folds_and_lost_writers(spark, tmp_path):
+    df = docs(spark, [(1, "a b c"), (2, "d")])
+    n = token_counts.count_tokens(F.col("text"), "space/1")
+    load = token_counts.change(df, "insert", "space/1", n)
+    rollup = token_counts.Rollup(spark, str(tmp_path / "r"), fold=3)
+    told = lambda: [tuple(r) for r in rollup.totals().collect()]
+    assert told() == []
+    for k in range(1, 8):
+        assert rollup.commit(f"b{k}", load) and not rollup.commit(f"b{k}", load)
+        assert told() == [("s", "en", "space/1", 2 * k, 4 * k)]
+    assert len(list((tmp_path / "r" / "bases").iterdir())) == 2
+    # A writer that died leaves sums without a mark; two writers of one batch leave two finished attempts.
+    batch = lambda name: tmp_path / "r" / "batches" / rollup._named(name)
+    token_counts.signed(load).write.parquet(str(batch("b8") / "x"))
+    (batch("b8") / "x" / "_SUCCESS").unlink()
+    assert not rollup.committed("b8") and told()[0][3] == 14
+    for name in ("y", "z"):
+        token_counts.signed(load).write.parquet(str(batch("b9") / name))
+    assert told() == [("s", "en", "space/1", 16, 32)]
+    # A fold that died before its list was written is no base.
+    (tmp_path / "r" / "bases" / "000000000009-x" / "sums").mkdir(parents=True)
+    rollup.fold()
+    rollup.vacuum()
+    assert told() == [("s", "en", "space/1", 16, 32)] and not rollup.commit("b3", load) and not batch("b3").exists()
+    assert rollup.commit("b8", load) and told()[0][3] == 18
+
+
+def test_a_rollup_counts_with_a_real_tokenizer(spark, tmp_path):
+    import public_tokenizers
+    import tiktoken
+
+    from tracewell.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = ["a plain text", "", None, "é" * 300, "x\n\n  y" * 50]
+    rows = token_counts.count_bpe(docs(spark, list(enumerate(texts))), path, public_tokenizers.PATTERN)
+    assert {r.doc_id: r.n_tokens for r in rows.collect()} == {i: len(codec.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
+    rollup.commit("load", token_counts.change(rows, "insert", "byte_bpe_50k/1", F.col("n_tokens")))
+    rollup.commit("retokenized", token_counts.change(rows, "revise", "byte_bpe_50k/1", F.octet_length(F.coalesce("text", F.lit(""))), F.col("n_tokens")))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "byte_bpe_50k/1", 5, sum(len((t or "").encode()) for t in texts))]

@@ -25,6 +25,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._spark import prepare, table
 from ._text import slices
@@ -204,6 +205,21 @@ def encode(rows: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return rows.select(key, text).mapInArrow(work, f"{key} {rows.schema[key].dataType.simpleString()}, ids array<int>")
 
 
+def counted(rows: DataFrame, path: str, pattern: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
+    """``rows`` with the number of each text's ids."""
+    name, shared = _share(rows.sparkSession, path, pattern)
+    at = rows.columns.index(text)
+
+    def work(batches):
+        codec = _codec(name, shared, pattern)
+        for batch in batches:
+            for part in slices(batch, at):
+                n = pa.array([len(ids) for ids in codec.encode(part.column(at).to_pylist())], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, n], names=[*batch.schema.names, out])
+
+    return rows.mapInArrow(work, StructType([*rows.schema.fields, StructField(out, LongType())]))
+
+
 def decode(rows: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """Key and ``bytes`` of each row's ids; null ids give null."""
     name, shared = _share(rows.sparkSession, path, pattern)
