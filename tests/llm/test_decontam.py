@@ -2,7 +2,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from tracewell.llm import decontam
+from tracewell.llm._text import words
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -50,10 +55,30 @@ def test_matches_brute_force(spark):
     assert case(spark, docs, items) == sorted(map(str, brute(docs, items)))
 
 
-def test_items_in_parts_give_the_same(spark, monkeypatch):
+def test_items_beyond_what_is_broadcast_are_joined(spark, monkeypatch):
     docs, items = random_case()
     monkeypatch.setattr(decontam, "PART_BYTES", 300)
     assert case(spark, docs, items) == sorted(map(str, brute(docs, items)))
+    assert case(spark, [(1, "a b")], [(k, "! " * 200) for k in range(3)]) == [str((1, 2, 0, 0, hashlib.sha256(b"").hexdigest(), False))]
+    assert case(spark, [], items) == []
+
+
+@pytest.mark.parametrize("most", [300, 8 << 20])
+def test_clean_documents_stay_with_all_their_columns(spark, monkeypatch, most):
+    docs, items = random_case()
+    monkeypatch.setattr(decontam, "PART_BYTES", most)
+    d = spark.createDataFrame([(i, t, "clash", [k]) for k, (i, t) in enumerate(docs)], "doc_id long, text string, items string, spans array<int>")
+    kept = decontam.drop_contaminated(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert kept.columns == d.columns
+    assert sorted(r.spans[0] for r in kept.collect()) == [k for k, b in enumerate(brute(docs, items)) if not b[-1]]
+
+
+def test_equal_hashes_are_told_apart():
+    w, v = (words(pa.array([t]), "alnum") for t in ("aa Bb cc aa", "AA bb xx"))
+    w.hashes[:] = 7
+    v.hashes[:] = 7
+    start, first, n = (np.array(x) for x in ([0, 3, 1, 2], [0, 0, 1, 2], [2, 1, 2, 1]))
+    assert decontam.same_words(w, start, v, first, n).tolist() == [True, True, False, False]
 
 
 def test_no_items_and_no_documents(spark):

@@ -216,6 +216,12 @@ def lookup(hashes: np.ndarray, keys: np.ndarray, sieved: np.ndarray) -> tuple[np
     return at[same], key[same]
 
 
+def spread(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All positions in some ranges, one range after the other."""
+    n = ends - begins
+    return np.repeat(begins - np.cumsum(n, dtype=np.int64) + n, n) + np.arange(int(n.sum()))
+
+
 def text_of(w: Words) -> np.ndarray:
     """The number of the text that each word is in."""
     return np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))

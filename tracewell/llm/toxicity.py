@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import cut, fold, prepare, table
-from ._text import slices, stems, text_of, words
+from ._text import slices, spread, stems, text_of, words
 
 SAMPLE = 3_000
 STEMS = (4, 5, 6)
@@ -106,12 +106,6 @@ def relevance(toxic: np.ndarray, every: np.ndarray, share: float) -> np.ndarray:
     return (g / (g + math.log(max(len(every), 1) / CHANCE))) ** 2
 
 
-def _spread(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All positions in some ranges, and the lengths of the ranges."""
-    n = ends - begins
-    return np.repeat(begins - np.cumsum(n, dtype=np.int64) + n, n) + np.arange(int(n.sum())), n
-
-
 class Index:
     """Block-max inverted index of examples, given as (example, term, weight) in that order. Example vectors get length 1."""
 
@@ -161,8 +155,8 @@ class Index:
         return out
 
     def _best(self, part: np.ndarray, tops: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: int) -> list[tuple[float, int]]:
-        cells, n = _spread(self.begin[term], self.begin[term + 1])
-        blocks, each = self.cell_block[cells], np.repeat(weight, n)
+        cells = spread(self.begin[term], self.begin[term + 1])
+        blocks, each = self.cell_block[cells], np.repeat(weight, self.begin[term + 1] - self.begin[term])
         bounds = tops + np.bincount(blocks, weights=each * self.peak[cells], minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
         best: list[tuple[float, int]] = []
@@ -177,8 +171,9 @@ class Index:
             chosen = np.zeros(self.blocks, dtype=bool)
             chosen[visit] = True
             some = chosen[blocks]
-            where, m = _spread(self.cell_begin[cells[some]], self.cell_begin[cells[some] + 1])
-            more = np.bincount(self.example[where], weights=np.repeat(each[some], m) * self.weight[where], minlength=len(part))
+            first, last = self.cell_begin[cells[some]], self.cell_begin[cells[some] + 1]
+            where = spread(first, last)
+            more = np.bincount(self.example[where], weights=np.repeat(each[some], last - first) * self.weight[where], minlength=len(part))
             sums = (part + more).reshape(self.blocks, self.block)[visit]
             places = (visit[:, None] * self.block + np.arange(self.block)).reshape(-1)
             scores = np.round(sums.reshape(-1), 9)
