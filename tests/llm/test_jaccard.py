@@ -107,10 +107,28 @@ def test_nothing(spark):
     assert run(spark, [(1, None), (2, "")]) == [("1", 0, "1"), ("2", 0, "2")]
 
 
-@pytest.mark.parametrize("percent", [80, 90])
+def test_chunks_and_ranges_change_nothing(spark, monkeypatch):
+    rows = corpus(5, 20, 8)
+    monkeypatch.setattr(jaccard, "CHUNK", 400)
+    assert run(spark, rows, ranges=3) == brute(rows)
+
+
+@pytest.mark.parametrize("percent", [30, 50, 100])
+def test_other_thresholds(spark, percent):
+    rows = corpus(6, 15, 8)
+    assert run(spark, rows, percent=percent) == brute(rows, percent=percent)
+
+
+def test_thresholds_that_prefixes_cannot_keep_are_errors(spark):
+    for percent in (0, 10, 29, 101):
+        with pytest.raises(ValueError, match="per cent"):
+            run(spark, [(1, "a")], percent=percent)
+
+
+@pytest.mark.parametrize("percent", [30, 50, 80, 90])
 def test_linked_sets_share_a_signature_whatever_the_levels(percent):
     rnd = np.random.default_rng(7)
-    most = (100 - percent) / 100
+    most = min(100 - percent, 60) / 100
     for _ in range(4000):
         n = int(rnd.integers(1, 120))
         universe = rnd.integers(0, 2**63, n + 40).astype(np.uint64)

@@ -14,10 +14,11 @@ How many sub-classes there are depends on the power of two that a set's size is
 index all tokens singly). A set whose partners may be in the next power also gives that one's
 signatures.
 
-Levels come from exact counts over all documents, reduced by ranges of the token's hash. What
-each executor gets is a table of 2 bits for each of 2**27 slots (the highest level of a slot's
-tokens), whatever the input's size: with more tokens levels are too high for some, which makes
-prefixes less sharp and never loses a link.
+Levels come from exact counts over all documents. Documents are dealt into chunks of some million
+tokens, which go to the shared checkpoint folder. A chunk sends its distinct tokens to ranges of
+token hashes, and each range answers every chunk with its tokens' levels, so no table of tokens is
+broadcast or collected, at any size of the input. A text stays with its row only if it has
+signatures.
 
 Documents of one set are one class, so copies need no pairs. The documents of a signature are
 not paired with each other but with one hub, that with the fewest tokens of its own, and described
@@ -32,20 +33,22 @@ those of all links.
 Edge cases: null and empty texts and texts without words have the empty set, link with nothing
 and are components of their own; a text of fewer words than a shingle has one shingle; repeated
 rows are in one class; rows with a null id belong to their text's component; an empty table gives
-an empty result; other columns are not carried.
+an empty result; other columns are not carried. A threshold under 30 per cent is an error:
+sub-classes couldn't complete prefixes. Sets are compared by the 64-bit hashes of their shingles,
+and classes are told apart by two sums of those and their number.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import cut, prepare, range_bits, table
-from ._text import U64, mix, shingles, slices, words
+from ._text import U64, bytes_of, mix, shingles, slices, words
 from .components import components
 
 SHINGLE = 3
@@ -53,13 +56,29 @@ PERCENT = 90
 #: Documents that hold a token of level 1, 2 and 3 (frequent), at least.
 LEVELS = (2, 4, 16)
 FREQUENT = 3
-SLOT_BITS = 27
-#: Ranges of token hashes that are counted together, at least; more of them for inputs above 2**12 * RANGE_BYTES.
-RANGE_BITS, RANGE_BYTES = 12, 9_000_000
+LEAST_PERCENT = 30
+#: Ranges of token hashes that are counted together, as bits; so many bytes of input (as the optimiser knows it) fill one.
+RANGE_BITS, RANGE_BYTES, MOST_BITS = 8, 4_000_000, 18
 #: Sets below this size index single tokens only; above, one sub-class for each so many tokens.
 SMALL = 16
-#: Tokens that a worker gathers before it sends counts.
-GATHERED = 2_000_000
+#: Bytes of text in a chunk.
+CHUNK = 12_000_000
+#: Into how many parts a token of a hub's differences is split.
+SALT = 8
+
+_SHUT, _OPENED = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _pack(x: np.ndarray | bytes) -> bytes:
+    return _SHUT.compress(np.ascontiguousarray(x) if isinstance(x, np.ndarray) else x)
+
+
+def _bytes(blob: bytes) -> bytes:
+    return _OPENED.decompress(blob)
+
+
+def _open(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(_OPENED.decompress(blob), dtype=kind)
 
 
 def sets_of(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,66 +92,75 @@ def sets_of(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.searchsorted(text[first], np.arange(len(bounds)))
 
 
-def _counts(docs: DataFrame, text: str, shingle: int, bits: int) -> np.ndarray:
-    """Of each slot the highest level of its tokens, 2 bits each, four to a byte."""
-    low = U64(64 - bits - 32)
-    own_bits = SLOT_BITS - bits
+def _chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Chunks of rows: their keys and texts."""
+    kind = docs.schema[key].dataType.simpleString()
 
-    def gather(batches):
-        held, size = [], 0
+    def work(batches):
+        seq, held, size = 0, [], 0
 
         def send():
-            tokens, n = np.unique(np.concatenate(held) >> low, return_counts=True)
-            edges = np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=np.uint64) << U64(32))
-            parts, single, many, often = [], [], [], []
-            for k in np.flatnonzero(np.diff(edges)).tolist():
-                t, c = tokens[edges[k] : edges[k + 1]].astype(np.uint32), n[edges[k] : edges[k + 1]]
-                once = c == 1
-                parts.append(k)
-                single.append(t[once].tobytes())
-                many.append(t[~once].tobytes())
-                often.append(np.minimum(c[~once], 2**32 - 1).astype(np.uint32).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.array(x, pa.binary()) for x in (single, many, often))], names=["part", "single", "many", "often"])
+            ids = pa.concat_arrays([i for i, _ in held])
+            raw = [bytes_of(t) for _, t in held]
+            ends = np.cumsum(np.concatenate([[0], *[np.diff(o) for _, o in raw]]))
+            cols = [pa.array([(TaskContext.get().partitionId() << 32) | seq], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+            cols += [pa.array([_pack(x)], pa.binary()) for x in (ends.astype(np.int64), np.concatenate([r for r, _ in raw]))]
+            return pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "ends", "texts"])
 
         for batch in batches:
-            for part in slices(batch, 0):
-                tokens, _ = sets_of(part.column(0), shingle)
-                if len(tokens):
-                    held.append(tokens)
-                    size += len(tokens)
-                if size >= GATHERED:
+            for part in slices(batch, 1):
+                held.append((part.column(0), part.column(1)))
+                size += part.column(1).nbytes
+                if size >= CHUNK:
                     yield send()
-                    held, size = [], 0
+                    seq, held, size = seq + 1, [], 0
         if held:
             yield send()
 
-    def level(key, group):
-        read = lambda name: np.frombuffer(b"".join(group.column(name).to_pylist()), dtype=np.uint32)
-        single, many, often = read("single"), read("many"), read("often")
-        tokens, n = np.concatenate([single, many]), np.concatenate([np.ones(len(single), dtype=np.int64), often.astype(np.int64)])
-        order = np.argsort(tokens, kind="stable")
-        tokens, n = tokens[order], n[order]
-        begins = np.flatnonzero(np.diff(tokens.astype(np.int64), prepend=-1))
-        total, tokens = np.add.reduceat(n, begins), tokens[begins]
-        levels = np.searchsorted(np.array(LEVELS), total, "right").astype(np.uint8)
-        slot = (tokens[levels > 0] >> np.uint32(32 - own_bits)).astype(np.int64)
-        out = np.zeros(1 << own_bits, dtype=np.uint8)
-        np.maximum.at(out, slot, levels[levels > 0])
-        four = out.reshape(-1, 4)
-        packed = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-        return pa.table({"part": [key[0].as_py()], "levels": [zlib.compress(packed.tobytes(), 1)]}, pa.schema([("part", pa.int32()), ("levels", pa.binary())]))
-
-    gathered = docs.select(text).mapInArrow(gather, "part int, single binary, many binary, often binary")
-    packed = np.zeros(1 << (SLOT_BITS - 2), dtype=np.uint8)  # its size is fixed: 32 MB
-    size = 1 << (own_bits - 2)
-    for part, blob in gathered.groupBy("part").applyInArrow(level, "part int, levels binary").toLocalIterator():
-        packed[part * size : (part + 1) * size] = np.frombuffer(zlib.decompress(blob), dtype=np.uint8)
-    return packed
-
-
-def _level_of(tokens: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    slot = (tokens >> U64(64 - SLOT_BITS)).astype(np.int64)
-    return packed[slot >> 2] >> (2 * (slot & 3)).astype(np.uint8) & 3
+    return docs.select(key, text).mapInArrow(work, f"chunk long, ids array<{kind}>, ends binary, texts binary")
+
+
+def _texts_of(ends: bytes, texts: bytes) -> pa.Array:
+    ends, raw = _open(ends, np.int64), _bytes(texts)
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(raw))
+
+
+def _levels(chunks: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """For each chunk and hash range the levels of the chunk's distinct tokens there, in order.
+
+    A range knows 32 bits of its tokens' hashes: where two are the same, a level is too high, which never loses a link.
+    """
+
+    def send(batches):
+        for batch in batches:
+            for chunk, ends, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens, n = np.unique(sets_of(_texts_of(ends, texts), shingle)[0], return_counts=True)
+                edges = np.append(np.searchsorted(tokens, np.arange(1 << bits, dtype=np.uint64) << U64(64 - bits)), len(tokens)).tolist()
+                low, n = (tokens >> U64(32 - bits)).astype(np.uint32), n.astype(np.uint32)
+                parts = [k for k in range(1 << bits) if edges[k] < edges[k + 1]]
+                for at in range(0, len(parts), 10_000):
+                    some = parts[at : at + 10_000]
+                    cols = [pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([low[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary())]
+                    # Most tokens are in one document of a chunk; a null says that all are.
+                    many = [n[edges[k] : edges[k + 1]] for k in some]
+                    cols.append(pa.array([None if x.max() == 1 else _pack(x) for x in many], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, names=["chunk", "part", "tokens", "times"])
+
+    def level(group):
+        tokens = [np.frombuffer(x, dtype=np.uint32) for x in group.column("tokens").to_pylist()]
+        times = [np.ones(len(t), dtype=np.uint32) if x is None else _open(x, np.uint32) for t, x in zip(tokens, group.column("times").to_pylist(), strict=True)]
+        edges = np.cumsum([0, *map(len, tokens)])
+        order = np.argsort(np.concatenate(tokens), kind="stable")
+        begins = np.flatnonzero(np.diff(np.concatenate(tokens)[order].astype(np.int64), prepend=-1))
+        total = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), begins)
+        held = np.repeat(np.searchsorted(np.array(LEVELS), total, "right").astype(np.uint8), np.diff(np.append(begins, len(order))))
+        out = np.empty(len(order), dtype=np.uint8)
+        out[order] = held
+        packed = [_pack(out[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table([group.column("chunk"), group.column("part"), pa.array(packed, pa.binary())], names=["chunk", "part", "levels"])
+
+    sent = chunks.select("chunk", "ends", "texts").mapInArrow(send, "chunk long, part int, tokens binary, times binary")
+    return sent.groupBy("part").applyInArrow(level, "chunk long, part int, levels binary")
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -141,9 +169,8 @@ def needed(n: int, percent: int = PERCENT) -> int:
 
 
 def schemes(n: int, percent: int = PERCENT) -> list[int]:
-    """The powers of two whose signatures a set of n gives: its own, and the next if a partner may be there."""
-    own = n.bit_length() - 1
-    return [own, own + 1] if (100 * n // percent).bit_length() - 1 > own else [own]
+    """The powers of two whose signatures a set of n gives: its own, and those above that a partner may be in."""
+    return list(range(n.bit_length() - 1, (100 * n // percent).bit_length()))
 
 
 def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -171,48 +198,56 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -
             left -= bool(members[c])
             pairs += [(token, other) for other in members[c]]
             members[c].append(token)
-        if left:  # too few tokens for pairs: nothing but all tokens will do, which partners then also give
-            raise ArithmeticError("a prefix can't be completed")
+        if left:
+            raise ArithmeticError("a prefix can't be completed")  # not from LEAST_PERCENT on
         if pairs:
             p = np.sort(np.array(pairs, dtype=np.uint64), axis=1)
             found.append(mix(mix(p[:, 0]) + p[:, 1] + U64(scheme)))
     return np.unique(np.concatenate(found))
 
 
-def _prefixes(docs: DataFrame, shared, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """Of each row its set's size and hash, and where it has signatures those and the compressed text."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def work(batches):
-        levels = shared.value
-        for batch in batches:
-            for part in slices(batch, 1):
-                tokens, bounds = sets_of(part.column(1), shingle)
-                n = np.diff(bounds)
-                level = _level_of(tokens, levels)
-                zero = np.zeros(1, dtype=U64)
-                high = np.concatenate([zero, np.cumsum(mix(tokens))])
-                low = np.concatenate([zero, np.cumsum(mix(tokens ^ U64(0x5851F42D4C957F2D)))])
-                lone = np.concatenate([[0], np.cumsum(level == 0)])
-                alone = lone[bounds[1:]] - lone[bounds[:-1]]
-                short = np.flatnonzero((n > 0) & (alone < n - -(-percent * n // 100) + 1))
-                sigs, texts = [None] * len(n), [None] * len(n)
-                for k in short.tolist():
-                    s = signatures(tokens[bounds[k] : bounds[k + 1]], level[bounds[k] : bounds[k + 1]], percent)
-                    if len(s):
-                        sigs[k] = s.view(np.int64)
-                        texts[k] = zlib.compress(part.column(1)[k].as_py().encode("utf-8", "surrogatepass"), 1)
-                two = [pa.array((x[bounds[1:]] - x[bounds[:-1]]).view(np.int64)) for x in (high, low)]
-                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(alone, pa.int64()), *two, pa.array(sigs, pa.list_(pa.int64())), pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=[key, "n", "alone", "h1", "h2", "sigs", "said"])
-
-    return docs.select(key, text).mapInArrow(work, f"{key} {kind}, n long, alone long, h1 long, h2 long, sigs array<long>, said binary")
+_SET = "n long, alone long, h1 long, h2 long, sigs array<long>, said binary, rarity binary"
+
+
+def _prefixes(chunks: DataFrame, levels: DataFrame, key: str, kind: str, shingle: int, percent: int) -> DataFrame:
+    """Of each row its set's size and hashes, and where it has signatures those, its tokens' levels and the compressed text."""
+
+    def work(left, right):
+        names = [key, "n", "alone", "h1", "h2", "sigs", "said", "rarity"]
+        if not left.num_rows:
+            none = [left.schema.field("ids").type.value_type, *[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            return pa.table([pa.array([], t) for t in none], names=names)
+        texts = _texts_of(left.column("ends")[0].as_py(), left.column("texts")[0].as_py())
+        tokens, bounds = sets_of(texts, shingle)
+        answered = sorted(zip(right.column("part").to_pylist(), right.column("levels").to_pylist(), strict=True))
+        every = np.concatenate([np.zeros(0, dtype=np.uint8), *[_open(x, np.uint8) for _, x in answered]])
+        level = every[np.unique(tokens, return_inverse=True)[1]]
+        n = np.diff(bounds)
+        zero = np.zeros(1, dtype=U64)
+        high = np.concatenate([zero, np.cumsum(mix(tokens))])
+        low = np.concatenate([zero, np.cumsum(mix(tokens ^ U64(0x5851F42D4C957F2D)))])
+        lone = np.concatenate([[0], np.cumsum(level == 0)])
+        alone = lone[bounds[1:]] - lone[bounds[:-1]]
+        short = np.flatnonzero((n > 0) & (alone < n - -(-percent * n // 100) + 1))
+        sigs, said, rarity = [None] * len(n), [None] * len(n), [None] * len(n)
+        for k in short.tolist():
+            own = level[bounds[k] : bounds[k + 1]]
+            s = signatures(tokens[bounds[k] : bounds[k + 1]], own, percent)
+            if len(s):
+                sigs[k], rarity[k] = s.view(np.int64), _pack(own)
+                said[k] = _pack(texts[k].as_buffer().to_pybytes())
+        two = [pa.array((x[bounds[1:]] - x[bounds[:-1]]).view(np.int64)) for x in (high, low)]
+        cols = [left.column("ids").combine_chunks().flatten(), pa.array(n, pa.int64()), pa.array(alone, pa.int64()), *two, pa.array(sigs, pa.list_(pa.int64())), pa.array(said, pa.binary()), pa.array(rarity, pa.binary())]
+        return pa.table(cols, names=names)
+
+    return chunks.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(work, f"{key} {kind}, {_SET}")
 
 
 def _texts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the compressed texts of both."""
+    """Pairs (a, b) with the compressed texts of both, and the levels of b's tokens."""
     named = lambda c: sets.select(F.col("node").alias(c), F.col("said").alias(f"_{c}"))
-    return pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "_a", "_b")
+    rarer = sets.select(F.col("node").alias("b"), F.col("said").alias("_b"), "rarity")
+    return pairs.join(rarer, "b").join(named("a"), "a").select("a", "b", "_a", "_b", "rarity")
 
 
 def _each_pair(batch: pa.RecordBatch, shingle: int):
@@ -221,7 +256,9 @@ def _each_pair(batch: pa.RecordBatch, shingle: int):
         part = batch.slice(at, 500)
         said: dict[bytes, int] = {}
         places = [[said.setdefault(x, len(said)) for x in part.column(c).to_pylist()] for c in (2, 3)]
-        tokens, bounds = sets_of(pa.array([zlib.decompress(x).decode("utf-8", "surrogatepass") for x in said], pa.large_string()), shingle)
+        raw = [_bytes(x) for x in said]
+        ends = np.cumsum([0, *map(len, raw)]).astype(np.int64)
+        tokens, bounds = sets_of(pa.LargeStringArray.from_buffers(len(raw), pa.py_buffer(ends), pa.py_buffer(b"".join(raw))), shingle)
         yield part, [(slice(bounds[x], bounds[x + 1]), slice(bounds[y], bounds[y + 1])) for x, y in zip(*places, strict=True)], tokens
 
 
@@ -267,14 +304,14 @@ def difference(x: np.ndarray, levels: np.ndarray, hub: np.ndarray, percent: int
     return n <= near, n, tokens[place], place
 
 
-def _differences(pairs: DataFrame, sets: DataFrame, shared, shingle: int, percent: int) -> DataFrame:
+def _differences(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of each (hub a, document b) the ``difference``."""
 
     def work(batches):
         for batch in batches:
             for part, places, tokens in _each_pair(batch, shingle):
-                level = _level_of(tokens, shared.value)
-                done = [difference(tokens[y], level[y], tokens[x], percent) for x, y in places]
+                rarity = [_open(r, np.uint8) for r in part.column(4).to_pylist()]
+                done = [difference(tokens[y], r, tokens[x], percent) for (x, y), r in zip(places, rarity, strict=True)]
                 cols = [pa.array([d[k] for d in done], t) for k, t in ((0, pa.bool_()), (1, pa.int64()))]
                 cols.append(pa.array([d[2].view(np.int64) for d in done], pa.list_(pa.int64())))
                 cols.append(pa.array([d[3] for d in done], pa.list_(pa.int64())))
@@ -290,33 +327,39 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     Components only, no list or number of links: documents that both link with one hub are in its
     component already, so the pair is never verified.
     """
-    sc = prepare(docs.sparkSession).sparkContext
-    bits = range_bits(docs, RANGE_BITS, RANGE_BYTES, SLOT_BITS - 3) if ranges is None else ranges
-    shared = sc.broadcast(_counts(docs, text, shingle, bits))
-    rows = _prefixes(docs, shared, key, text, shingle, percent)
-    rows = cut(rows.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("h1", "h2", "n"))))
-    sets = cut(rows.where(F.col("sigs").isNotNull()).groupBy("node").agg(F.max(F.struct("n", "alone", "said", "sigs")).alias("_")).select("node", "_.n", "_.alone", "_.said", "_.sigs"))
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"the threshold has to be from {LEAST_PERCENT} to 100 per cent")
+    prepare(docs.sparkSession)
+    bits = range_bits(docs, RANGE_BITS, RANGE_BYTES, MOST_BITS) if ranges is None else ranges
+    chunks = cut(_chunks(docs, key, text))
+    rows = cut(_prefixes(chunks, _levels(chunks, shingle, bits), key, docs.schema[key].dataType.simpleString(), shingle, percent))
+    one = ["h1", "h2", "n"]  # what tells classes of equal sets apart
+    kept = rows.where(F.col("sigs").isNotNull()).groupBy(*one).agg(F.max(F.struct("alone", "said", "rarity", "sigs")).alias("_"))
+    sets = cut(kept.select(*one, "_.*", F.monotonically_increasing_id().alias("node")))
     entries = sets.select("node", "alone", F.explode("sigs").alias("sig"))
     hubs = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct("alone", "node"))["node"].alias("a")).where("_m > 1").select("sig", "a")
     pairs = entries.join(hubs, "sig").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    differ = cut(_differences(pairs, sets, shared, shingle, percent))
+    differ = cut(_differences(pairs, sets, shingle, percent))
     parts = F.explode(F.arrays_zip("tokens", "places")).alias("_")
     each = differ.select("hub", "node", "n", "near", "differ", parts).select("hub", "node", "n", "near", "differ", F.col("_.tokens").alias("token"), F.col("_.places").alias("place"))
-    x, y = (each.select("hub", "token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "near", "differ", "place")]) for side in "xy")
+    named = lambda df, side: df.select("hub", "token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "near", "differ", "place")])
+    # Two documents near their hub are in its component already; so one of a pair is far from it.
+    x = named(each.where("NOT near"), "x").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    y = named(each, "y").withColumn("salt", F.pmod(F.xxhash64("node_y"), F.lit(SALT)).cast("int"))
     c = F.col
     most = F.floor((100 - percent) * (c("n_x") + c("n_y")) / (100 + percent))
     overlap = F.ceil((c("differ_x") + c("differ_y") - most) / 2)
     fits = (c("place_x") + overlap <= c("differ_x")) & (c("place_y") + overlap <= c("differ_y"))
-    found = x.join(y, ["hub", "token"]).where((c("node_x") < c("node_y")) & ~(c("near_x") & c("near_y")) & fits)
-    found = found.select(c("node_x").alias("a"), c("node_y").alias("b")).distinct()
+    found = x.join(y, ["hub", "token", "salt"]).where((c("node_x") != c("node_y")) & (c("near_y") | (c("node_x") < c("node_y"))) & fits)
+    found = found.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     links = differ.where("near").select(c("hub").alias("a"), c("node").alias("b")).union(_verified(found, sets, shingle, percent))
     roots = components(links)
-    first = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("_first"))
-    named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # Only nodes with links share a root; the others keep their own first id.
-    least = named.groupBy("root").agg(F.min("_first").alias("component_id"))
-    named = named.select("node", "root").join(least, "root").select("node", "component_id")
-    return rows.select(key, "n", "node").join(named, "node", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col(key)).alias("component_id"))
+    first = rows.where("n > 0").groupBy(*one).agg(F.min(key).alias("_first"))
+    classes = cut(first.join(sets.select(*one, "node").join(roots, "node"), one, "left").select(*one, "_first", "root"))
+    # Written apart, so that the joins by root are of two shuffled sides, which Spark can split where one root has many classes.
+    least = cut(classes.where("root IS NOT NULL").groupBy("root").agg(F.min("_first").alias("_least")))
+    named = classes.join(least, "root", "left").select(*one, F.coalesce("_least", "_first").alias("component_id"))
+    return rows.select(key, *one).join(named, one, "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col(key)).alias("component_id"))
 
 
 #: What the pipeline's stage takes for near copies.
@@ -326,10 +369,9 @@ STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: int = STAGE_PERCENT) -> DataFrame:
     """Of each component's documents that with the smallest id (of repeated rows one), with all columns.
 
-    Rows are told apart by their number in the input, which has to be one that reads alike each
-    time, as a Parquet table does.
+    Rows are numbered once, in a table that every later step reads.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
     groups = join(numbered, "_row", shingle=shingle, percent=percent).select("_row", F.col("component_id").alias("_group"))
     named = groups.join(numbered.select("_row", "doc_id"), "_row")
     kept = named.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row"))["_row"].alias("_row")).select("_row")
