@@ -9,6 +9,7 @@ import pytest
 
 from tracewell.llm import brown
 from tracewell.llm._spark import fold
+from tracewell.llm._text import word_hash
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOC = "doc_id long, text string, n long, chunk string"
@@ -56,6 +57,101 @@ def test_held_out_texts_are_likelier_than_under_the_base(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 50
 
 
+def brute_classes(texts, share, classes):
+    """Word to class and the number of classes, by loops over the training texts' tokens."""
+    count = Counter(t for said in texts for t in said)
+    n = sum(count.values())
+    known = sorted((t for t, c in count.items() if t is not None and c >= max(share * n, 2)), key=word_hash)
+    place = {t: k for k, t in enumerate(known)}
+    number = lambda t: len(known) + 1 if t is None else place.get(t, len(known))
+    pairs = np.zeros((len(known) + 2,) * 2)
+    for said in texts:
+        for a, b in zip([None, *said], said):
+            pairs[number(a), number(b)] += 1
+    of = brown.exchange(pairs, classes).tolist()
+    k = max(of) + 1
+    rare, end = k, k + 1
+    fixed = {t: of[place[t]] for t in known} | {None: end}
+    tail = [t for t, c in count.items() if t not in fixed and c >= 2]
+    cls = dict(fixed)
+
+    def between():
+        out = np.zeros((k + 2, k + 2))
+        for said in texts:
+            for a, b in zip([None, *said], said):
+                out[cls.get(a, rare), cls.get(b, rare)] += 1
+        return out
+
+    def moved(words, g):
+        beside = {t: [] for t in words}
+        for said in texts:
+            for a, t, b in zip([None, *said], said, said[1:]):
+                if t in beside:
+                    beside[t].append((cls.get(a, rare), cls.get(b, rare)))
+        g = g + 0.5
+        size = g.sum(1)
+        fit = {t: [round(sum(math.log(g[a, c]) + math.log(g[c, b]) - 2 * math.log(size[c]) for a, b in near), 6) for c in range(k)] for t, near in beside.items()}
+        return {t: cls[t] if t in cls and f[cls[t]] >= max(f) else f.index(max(f)) for t, f in fit.items()}
+
+    cls |= moved(tail, between())
+    told, best, at, r = [len(tail)], -math.inf, 0, 0
+    states = [dict(cls)]
+    while tail and not (r >= brown.TURNS and sum(told[-brown.TURNS :]) <= brown.FEW * len(tail)):
+        g = between()
+        now = sum(x * math.log(x) for x in g.flat if x) - sum(x * math.log(x) for x in [*g.sum(0), *g.sum(1)] if x)
+        if now > best:
+            best, at = now, r
+        elif r - at >= brown.TURNS:
+            cls = states[at]
+            break
+        new = moved([t for t in tail if word_hash(t) % brown.TURNS == r % brown.TURNS], g)
+        told.append(sum(cls[t] != c for t, c in new.items()))
+        cls |= new
+        states.append(dict(cls))
+        r += 1
+    return cls, k, count, r
+
+
+def test_scores_match_brute_force(spark):
+    rows = corpus(150) + [(1000, None), (1001, "never seen"), (5, "the the"), (None, "the é\x0bÉ")]
+    texts = [tokens(t) for i, t in rows if trains(i)]
+    cls, k, count, rounds = brute_classes(texts, 1 / 100, 6)
+    assert rounds > 2
+    wide = k + 2
+    of = lambda t: cls.get(t, k)
+    three, members, total = Counter(), Counter({k: 1}), Counter()
+    for said in texts:
+        c = [k + 1, k + 1, *map(of, said)]
+        three.update(zip(c, c[1:], c[2:]))
+        total.update(c[2:])
+    for t in count:
+        members[of(t)] += 1
+    two, one = Counter(), Counter()
+    for (a, b, c), n in three.items():
+        two[b, c] += n
+        one[c] += n
+    first, before = Counter(), Counter()
+    for (b, c), n in two.items():
+        first[b] += n
+    for (a, b, c), n in three.items():
+        before[a, b] += n
+    whole = sum(one.values())
+
+    def p(a, b, c):
+        p1 = (one[c] + 1) / (whole + wide)
+        p2 = (two[b, c] + brown.LOWER[0] * p1) / (first[b] + brown.LOWER[0])
+        return (three[a, b, c] + brown.LOWER[1] * p2) / (before[a, b] + brown.LOWER[1])
+
+    want = Counter()
+    for i, text in rows:
+        said, score = tokens(text), 0.0
+        c = [k + 1, k + 1, *map(of, said)]
+        for t, (x, y, z) in zip(said, zip(c, c[1:], c[2:])):
+            score += math.log10(p(x, y, z)) + math.log10((count[t] + 0.5) / (total[z] + 0.5 * max(members[z], 1)))
+        want[(i, len(said), round(score, 3))] += 1
+    assert Counter((r.doc_id, r.n_tokens, round(r.score, 3)) for r in run(spark, rows, share=1 / 100, classes=6)) == want
+
+
 def test_chunks_and_ranges_change_nothing(spark, monkeypatch):
     rows = corpus(120)
     key = lambda out: sorted((r.doc_id, round(r.score, 6), round(r.base_score, 6)) for r in out)
@@ -96,7 +192,7 @@ def likelihood(pairs, of):
 def test_exchange_ends_where_no_single_move_helps(seed):
     rnd = np.random.default_rng(seed)
     pairs = rnd.poisson(rnd.gamma(0.5, 4, (14, 14))).astype(float)
-    of = brown.exchange(pairs, 4, sweeps=50)
+    of = brown.exchange(pairs, 4)
     best = likelihood(pairs, of)
     for w in range(12):
         for k in range(4):
@@ -106,6 +202,11 @@ def test_exchange_ends_where_no_single_move_helps(seed):
                 assert likelihood(pairs, other) <= best + 1e-6
 
 
+def test_an_exchange_that_does_not_end_is_an_error():
+    with pytest.raises(RuntimeError, match="sweeps"):
+        brown.exchange(np.random.default_rng(0).poisson(3.0, (14, 14)).astype(float), 4, sweeps=1)
+
+
 def test_the_model_is_a_distribution():
     counts = np.random.default_rng(1).poisson(0.3, (5, 5, 5)).astype(float)
     assert np.allclose((10 ** brown.transitions(counts)).sum(2), 1)

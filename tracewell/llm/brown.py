@@ -20,8 +20,8 @@ the classes of the highest likelihood stay; so they always end.
 The corpus is tokenised once, into chunks of some million tokens that hold their distinct words
 (64-bit hashes) and numbers into them, and written to the shared checkpoint folder. Counts and
 classes travel between chunks and hash ranges: a range gets each chunk's distinct words of that
-range with their counts and neighbours, and answers each chunk with the words' corpus counts and
-classes. So no vocabulary is broadcast or collected; what the driver holds (the counts of class
+range with their counts and, for words that may move, how often each pair of classes is beside
+them in the chunk, and answers each chunk with the words' corpus counts and classes. So no vocabulary is broadcast or collected; what the driver holds (the counts of class
 trigrams and of pairs of the most frequent words) has a fixed bound.
 
 Edge cases: null and empty texts are one end token; without training rows all words are unknown;
@@ -46,14 +46,15 @@ from ._text import U64, slices, words
 
 SHARE = 1 / 2000
 CLASSES = 64
-SWEEPS = 12
+#: Sweeps of the exchange that no corpus should need, since each raises the likelihood; more are an error.
+SWEEPS = 1_000
 #: Rounds end when a smaller share of the words that aren't frequent moves.
 FEW = 0.1
 #: In each round after the first one word in so many has its turn, so that few neighbours move at once.
 TURNS = 2
 CHUNK = 1_500_000
-#: Ranges of word hashes, as bits, at least; more of them for inputs above 2**8 * RANGE_BYTES.
-RANGE_BITS, RANGE_BYTES = 8, 120_000_000
+#: Ranges of word hashes, as bits, at least and at most; so many bytes of input (as the optimiser knows it) fill one.
+RANGE_BITS, RANGE_BYTES, MOST_BITS = 8, 8_000_000, 18
 #: Weight of the next lower order in class transitions: bigrams, trigrams.
 LOWER = (5.0, 20.0)
 END = 0x0123456789ABCDEF
@@ -115,7 +116,7 @@ def chunked(docs: DataFrame, trains: Column, key: str, text: str) -> DataFrame:
 
 def _ranges(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts words by range and otherwise keeps it, and each range's bounds in it."""
-    part = (hashes >> U64(64 - bits)).astype(np.uint16)  # numpy sorts 16 bits by radix
+    part = (hashes >> U64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)  # numpy sorts 16 bits by radix
     return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << bits))])
 
 
@@ -234,8 +235,8 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
                 left[:, a] -= pairs[w]
                 left[:, b] += pairs[w]
         if not moved:
-            break
-    return of[:n]
+            return of[:n]
+    raise RuntimeError(f"the exchange still moves words after {sweeps} sweeps")
 
 
 # --- all other words
@@ -246,10 +247,10 @@ def likelihood(pairs: np.ndarray) -> float:
     return float(_h(pairs).sum() - _h(pairs.sum(0)).sum() - _h(pairs.sum(1)).sum())
 
 
-def _best(whose: np.ndarray, near: np.ndarray, held: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def _best(whose: np.ndarray, near: np.ndarray, times: np.ndarray, held: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """The class that each word's neighbours make likeliest, which is the one it has (``held``, if not negative) unless another is likelier.
 
-    ``near`` has for each token of word number ``whose`` the class before * classes + the class after.
+    Word number ``whose`` has so many ``times`` the neighbours ``near``: the class before * classes + the class after.
     """
     wide = len(pairs)
     k, between = wide - 2, pairs + 0.5
@@ -260,8 +261,8 @@ def _best(whose: np.ndarray, near: np.ndarray, held: np.ndarray, pairs: np.ndarr
     for lo in range(0, len(held), 50_000):
         m = min(50_000, len(held) - lo)
         some = (whose >= lo) & (whose < lo + m) if m < len(held) else slice(None)
-        w, code = (whose[some] - lo) * wide, near[some].astype(np.int64)
-        left, right = (np.bincount(w + side, minlength=m * wide).reshape(m, wide) for side in (code // wide, code % wide))
+        w, code, n = (whose[some] - lo) * wide, near[some].astype(np.int64), times[some]
+        left, right = (np.bincount(w + side, weights=n, minlength=m * wide).reshape(m, wide) for side in (code // wide, code % wide))
         fit = np.round(left @ before + right @ after, 6)  # so that ties don't hang on the order of sums
         best, own = np.argmax(fit, axis=1), held[lo : lo + m]
         stays = (own >= 0) & (fit[np.arange(m), np.maximum(own, 0)] >= fit[np.arange(m), best])
@@ -280,18 +281,25 @@ def _by_word(row: dict, answers: dict) -> tuple[np.ndarray, np.ndarray]:
     return total, cls
 
 
-SENT = "chunk long, part int, words binary, counts binary, old binary, near binary"
+SENT = "chunk long, part int, words binary, counts binary, old binary, near binary, spans binary, times binary"
 
 
-def _order(x: np.ndarray) -> np.ndarray:
-    """A stable order of 32-bit numbers, by two halves that numpy sorts by radix."""
-    low = np.argsort(x.astype(np.uint16), kind="stable")
-    return low[np.argsort((x >> 16).astype(np.uint16)[low], kind="stable")]
+def _histograms(where: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words 0 to n - 1 the distinct codes, word by word: where each word's begin, the codes, and how often each occurs."""
+    order = np.argsort(code, kind="stable")  # numpy sorts 16 bits by radix, so the pair is sorted by three such passes
+    for half in (where.astype(np.uint16), (where >> 16).astype(np.uint16)):
+        order = order[np.argsort(half[order], kind="stable")]
+    where, code = where[order], code[order]
+    first = np.ones(len(where), dtype=bool)
+    first[1:] = (where[1:] != where[:-1]) | (code[1:] != code[:-1])
+    at = np.flatnonzero(first)
+    begins = np.concatenate([[0], np.cumsum(np.bincount(where[at], minlength=n))])
+    return begins, code[at], np.diff(np.append(at, len(where))).astype(np.uint32)
 
 
 def _sent(row: dict, symbols: np.ndarray, moves: np.ndarray, bits: int, wide: int, old: bool) -> pa.RecordBatch:
-    """What a chunk sends to each range: its words, their counts, their classes if they have one (``old``), and the classes
-    beside each training token of the words that move; and, as part -1, the chunk's pairs of classes."""
+    """What a chunk sends to each range: its words, their counts, their classes if they have one (``old``), and how often which
+    classes are beside training tokens of the words that move; and, as part -1, the chunk's pairs of classes."""
     bounds, train = _open(row["bounds"], np.int64), _open(row["train"], np.uint8).astype(bool)
     h, n, tokens = _open(row["words"], np.uint64), _open(row["counts"], np.uint32), _open(row["tokens"], np.uint32)
     symbol, learnt = symbols.astype(np.uint16)[tokens], np.repeat(train, np.diff(bounds))  # wide is at most 256
@@ -303,16 +311,17 @@ def _sent(row: dict, symbols: np.ndarray, moves: np.ndarray, bits: int, wide: in
     order, at = _ranges(h, bits)
     place = np.empty(len(h), dtype=np.uint32)
     place[order] = np.arange(len(h), dtype=np.uint32)
-    where = place[tokens[mine]]
-    codes = code[mine][_order(where)]
-    ends = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(h)))])
+    ends, codes, times_ = _histograms(place[tokens[mine]], code[mine], len(h))
+    cells = np.diff(ends).astype(np.uint32)
     parts = np.flatnonzero(np.diff(at))
     pick = [order[at[p] : at[p + 1]] for p in parts]
     cols = [pa.array(np.full(len(parts) + 1, row["chunk"]), pa.int64()), pa.array([*parts, -1], pa.int32())]
     cols += [pa.array([*[h[x].tobytes() for x in pick], None], pa.binary()), pa.array([*[_pack(n[x]) for x in pick], _pack(times[pair])], pa.binary())]
     cols.append(pa.array([*[_pack(symbols[x].astype(np.uint8)) if old else None for x in pick], None], pa.binary()))
     cols.append(pa.array([*[_pack(codes[ends[at[p]] : ends[at[p + 1]]]) for p in parts], _pack(pair)], pa.binary()))
-    return pa.RecordBatch.from_arrays(cols, names=["chunk", "part", "words", "counts", "old", "near"])
+    cols.append(pa.array([*[_pack(cells[at[p] : at[p + 1]]) for p in parts], None], pa.binary()))
+    cols.append(pa.array([*[_pack(times_[ends[at[p]] : ends[at[p + 1]]]) for p in parts], None], pa.binary()))
+    return pa.RecordBatch.from_arrays(cols, names=["chunk", "part", "words", "counts", "old", "near", "spans", "times"])
 
 
 def first_sent(chunks: DataFrame, known: np.ndarray, of: np.ndarray, wide: int, bits: int) -> DataFrame:
@@ -334,7 +343,7 @@ def next_sent(chunks: DataFrame, answers: DataFrame, known: np.ndarray, wide: in
 
     def work(left, right):
         if not left.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("chunk", pa.int64()), ("part", pa.int32()), *((b, pa.binary()) for b in ("words", "counts", "old", "near")))})
+            return pa.table({c: pa.array([], t) for c, t in (("chunk", pa.int64()), ("part", pa.int32()), *((b, pa.binary()) for b in ("words", "counts", "old", "near", "spans", "times")))})
         row = left.to_pylist()[0]
         total, cls = _by_word(row, right.select(["part", "counts", "classes"]).to_pydict() | {"bits": bits})
         h = _open(row["words"], np.uint64)
@@ -380,14 +389,13 @@ def _answers(sent: DataFrame, known: np.ndarray, of: np.ndarray, pairs: np.ndarr
             held[number] = np.concatenate([_open(x, np.uint8) for x in group.column("old").to_pylist()])
             cls = np.where(repeated, held, cls)
             moves = repeated & (h % U64(turns) == U64(turn))
-        near = np.concatenate([_open(x, np.uint16) for x in group.column("near").to_pylist()])
-        # Words sent as many neighbours as they have training tokens, in order; at first also those that are seen once.
-        whose = np.repeat(number, np.where((found == len(known) if turn is None else moves)[number], ns, 0))
+        near, spans, times = (np.concatenate([_open(x, kind) for x in group.column(c).to_pylist()]) for c, kind in (("near", np.uint16), ("spans", np.uint32), ("times", np.uint32)))
+        whose = np.repeat(number, spans)
         at = np.flatnonzero(moves)
         among = np.full(len(h), -1, dtype=np.int64)
         among[at] = np.arange(len(at))
         whose = among[whose]
-        cls[at] = _best(whose[whose >= 0], near[whose >= 0], held[at], pairs)
+        cls[at] = _best(whose[whose >= 0], near[whose >= 0], times[whose >= 0], held[at], pairs)
         seen = total > 0
         tokens, distinct = np.bincount(cls, weights=total, minlength=kinds), np.bincount(cls[seen], minlength=kinds)
         edge = np.concatenate([[0], np.cumsum([len(x) for x in hs])])
@@ -508,7 +516,7 @@ def score_texts(docs: DataFrame, trains: Column, key: str = "doc_id", text: str
     """Key, n_tokens, n_known, train_tokens, base_score and score of every row, learning from the rows for which ``trains`` holds."""
     spark = prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    bits = range_bits(docs, RANGE_BITS, RANGE_BYTES, 16) if ranges is None else ranges
+    bits = range_bits(docs, RANGE_BITS, RANGE_BYTES, MOST_BITS) if ranges is None else ranges
     chunks = cut(chunked(docs, trains, key, text))
     n = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     known = np.sort(np.array(frequent_words(chunks, max(share * n, 2), bits), dtype=np.uint64))
