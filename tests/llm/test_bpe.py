@@ -1,6 +1,8 @@
 import hashlib
 import random
+import time
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -43,6 +45,26 @@ def test_merges_of_odd_rank_tables_match_the_library():
             assert ids == library.encode_ordinary(text)
 
 
+def test_replays_by_rank_and_by_place_agree(codec):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("theinon arsé") for _ in range(rnd.randint(1, 25))).encode() for _ in range(4000)]
+    raw, ends = np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum([len(w) for w in words])
+    first = np.full(len(raw), -1, dtype=np.int32)
+    first[:-1] = codec.bytewise[raw[:-1], raw[1:]]
+    first[ends - 1] = -1
+    assert (codec._by_rank(raw, ends, first) == codec._by_place(raw, ends, first)).all()
+
+
+def test_a_word_of_twenty_megabytes(codec):
+    rnd = random.Random(4)
+    part = "".join(rnd.choice("theinoarst") for _ in range(20_000))
+    word = part * 1_000
+    began = time.time()
+    (ids,) = codec.encode([word])
+    assert time.time() - began < 120
+    assert codec.decode(ids) == word.encode() and len(ids) < len(word) / 2
+
+
 def test_operator_round_trip(spark, library):
     texts = [(1, "Hello, wörld"), (2, None), (3, ""), (4, "x " * 50_000), (1, "Hello, wörld"), (None, "n")]
     df = spark.createDataFrame([(i, t, "clash") for i, t in texts], "doc_id long, text string, ids string")
