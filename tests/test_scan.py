@@ -89,7 +89,7 @@ def test_whole_scan_with_a_pack(spark, folder):
 
 def test_sinks(facts):
     rows = scan.select_sessions(facts)
-    assert scan.render(rows).split("\n")[1].split()[1:3] == ["s1", "9.00"]
+    assert scan.render(rows).split("\n")[2].split()[1:3] == ["s1", "9.00"]
     loaded = [json.loads(r.json) for r in scan.as_json(rows).collect()]
     assert loaded[0]["signals"]["retry_loops"] == 1 and loaded[-1]["max_ctx_pct"] is None
     assert "evidence" not in json.dumps([r.asDict(True) for r in scan.summary(rows).collect()])

@@ -381,17 +381,18 @@ def theta_after_install(spark, d):
     return joined.groupBy("n_name").agg(F.count("o_orderkey").alias("later_orders"))
 
 
-FEEDBACK = """SELECT n_name, count(o_orderkey) AS sessions, count(*) FILTER (WHERE used) AS used, CASE WHEN count(o_orderkey) = 0 THEN 0 ELSE count(*) FILTER (WHERE used) / count(o_orderkey) END AS usage_rate,
-  round(avg(price) FILTER (WHERE used), 2) AS friction_with, round(avg(price) FILTER (WHERE NOT used), 2) AS friction_without,
+FEEDBACK = """SELECT n_name, count(o_orderkey) AS sessions, count(*) FILTER (WHERE used) AS used, CASE WHEN count(o_orderkey) > 0 THEN round(count(*) FILTER (WHERE used) / count(o_orderkey), 3) END AS usage_rate,
+  round(avg(price) FILTER (WHERE used), 3) AS friction_with, round(avg(price) FILTER (WHERE NOT used), 3) AS friction_without,
   CASE WHEN count(o_orderkey) = 0 THEN 'no_sessions' WHEN count(*) FILTER (WHERE used) = 0 THEN 'unused' WHEN count(*) FILTER (WHERE used) * 10 < count(o_orderkey) THEN 'low_usage' ELSE 'active' END AS verdict
-FROM (SELECT n_name, o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS price, o_custkey % (n_nationkey + 2) = 1 AS used FROM """ + INSTALLS + """ s LEFT JOIN orders ON o_orderdate >= installed) GROUP BY n_name"""
+FROM (SELECT n_name, o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS price, n_nationkey IN (o_custkey % 25, o_custkey % 7) AS used FROM """ + INSTALLS + """ s LEFT JOIN orders ON o_orderdate >= installed) GROUP BY n_name"""
 
 
 @query(FEEDBACK)
 def feedback_report(spark, d):
-    sessions = table(spark, d, "orders").select("o_orderdate", "o_custkey", F.round("o_totalprice").cast("long").alias("price"))
-    out = relate.feedback(_skills(spark, d), sessions, "n_name", "at", "o_orderdate", F.col("o_custkey") % (F.col("n_nationkey") + 2) == 1, "price")
-    return out.withColumns({c: F.round(c, 2) for c in ("friction_with", "friction_without")})
+    names = table(spark, d, "nation").select("n_nationkey", "n_name")
+    used = table(spark, d, "orders").select("o_orderkey", F.explode(F.array(F.col("o_custkey") % 25, F.col("o_custkey") % 7)).alias("n_nationkey")).join(names, "n_nationkey").groupBy("o_orderkey").agg(F.collect_list(F.lower("n_name")).alias("used_skills"))
+    sessions = table(spark, d, "orders").join(used, "o_orderkey", "left").select("o_orderdate", "used_skills", F.round("o_totalprice").cast("long").alias("price"))
+    return relate.feedback(_skills(spark, d), sessions, "n_name", "at", "o_orderdate", "used_skills", "price")
 
 
 CONFUSION = """SELECT {k} count(*) FILTER (WHERE e AND a) AS tp, count(*) FILTER (WHERE NOT e AND a) AS fp, count(*) FILTER (WHERE e AND NOT a) AS fn, count(*) FILTER (WHERE NOT e AND NOT a) AS tn,
@@ -411,15 +412,19 @@ def confusion_metrics(spark, d):
 
 
 @query(f"""WITH r AS ({CONFUSION.format(k="lang,", t=LABELS)} GROUP BY lang)
-SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn, sum(tp + tn) / sum(tp + fp + fn + tn) AS accuracy,
-  sum(tp) / sum(tp + fp) AS "precision", sum(tp) / sum(tp + fn) AS recall, round(stddev_pop(accuracy), 6) AS accuracy_stdev, count(*) AS runs FROM r""")
+SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn, round(sum(tp + tn) / sum(tp + fp + fn + tn), 4) AS accuracy,
+  round(sum(tp) / sum(tp + fp), 4) AS "precision", round(sum(tp) / sum(tp + fn), 4) AS recall, round(stddev_pop(accuracy), 4) AS accuracy_stdev, count(*) AS runs FROM r""")
 def pooled_trigger(spark, d):
-    return relate.pooled(confusion_metrics(spark, d)).withColumn("accuracy_stdev", F.round("accuracy_stdev", 6))
+    return relate.pooled(confusion_metrics(spark, d))
 
 
-@query(f"""SELECT lang, round((0.8 * 0.9 + (accuracy + "precision" + recall) / 3.0 * 0.1) / (0.9 + 0.1), 6) AS composite FROM ({CONFUSION.format(k="lang,", t=LABELS)} GROUP BY lang)""")
+FOLDED = f"""SELECT lang, 0.8 AS old, lang = 'fr' AS vetoed, round((0.8 * 0.9 + (accuracy + "precision" + recall) / 3.0 * 0.1) / (0.9 + 0.1), 4) AS composite FROM ({CONFUSION.format(k="lang,", t=LABELS)} GROUP BY lang)"""
+
+
+@query(f"SELECT lang, vetoed, composite, composite >= 0.79 AND NOT vetoed AS passed FROM ({FOLDED})")
 def behavioral_fold(spark, d):
-    return confusion_metrics(spark, d).select("lang", F.round(relate.folded(F.lit(0.8), F.lit(0.9), F.col("accuracy"), F.col("precision"), F.col("recall"), C.BEHAVIORAL_WEIGHT), 6).alias("composite"))
+    rows = confusion_metrics(spark, d).withColumn("composite", F.lit(0.8)).withColumn("vetoed", F.col("lang") == "fr")
+    return relate.fold_behavioral(rows, F.lit(0.9), 0.79, C.BEHAVIORAL_WEIGHT).select("lang", "vetoed", "composite", "passed")
 
 
 LINES_SQL = "SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents"
@@ -588,11 +593,6 @@ def merge_outcomes(spark, d):
     return similar.merge_outcomes(rows, passed)
 
 
-@query("SELECT count(DISTINCT source) AS projects, count(*) FILTER (WHERE n_chars > 1000) AS tier2, max(n_chars) AS longest FROM documents")
-def scan_summary(spark, d):
-    return table(spark, d, "documents").agg(F.countDistinct("source").alias("projects"), F.count_if(F.col("n_chars") > 1000).alias("tier2"), F.max("n_chars").alias("longest"))
-
-
 @query("SELECT user_id, count(*) AS tool_count, count(*) FILTER (WHERE value > 60) AS errors, max(ts) AS last_seen FROM events GROUP BY user_id")
 def stream_incremental_scan(spark, d):
     from .streaming.incremental import stream_sessions
@@ -711,3 +711,7 @@ def parse_dialect_e_sessions(spark, d):
     part = F.to_json(F.struct(F.lit("tool").alias("type"), _tool("bash", "read").alias("tool"), key.alias("callID"), state.alias("state")))
     parts = rows.select(key.alias("id"), key.alias("message_id"), F.col("event_id").alias("time_created"), part.alias("data"))
     return _summed(opencode(messages, parts))
+
+
+# Further queries register themselves.
+from . import catalogue_scan  # noqa: E402, F401

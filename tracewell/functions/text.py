@@ -139,3 +139,49 @@ def rounded_share(part: Column | str, whole: Column | str, digits: int) -> Colum
     """part / whole rounded half up in integers, so that no binary fraction decides."""
     scale = 10**digits
     return F.floor((col(part) * (2 * scale) + col(whole)) / F.nullif(col(whole) * 2, F.lit(0))) / float(scale)
+
+
+def titled(name: Column | str) -> Column:
+    """A dashed or underscored name as words that begin with capitals."""
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))
+    return F.array_join(F.transform(F.split(F.coalesce(col(name).cast("string"), F.lit("")), "[-_]"), capital), " ")
+
+
+def fence_safe(text: Column | str) -> Column:
+    """A text that can't close the fence around it: three or more backticks become one."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(col(text), F.lit("")), "`{3,}", "`"), f"^{BREAKS}|{BREAKS}$", "")
+
+
+def quote_safe(text: Column | str) -> Column:
+    """One line that can stand between double quotes."""
+    return collapse(F.replace(F.coalesce(col(text), F.lit("")), F.lit('"'), F.lit("'")))
+
+
+def bold_pattern(text: Column | str) -> Column:
+    """A line with its name, which is what comes before the first colon, or all of it, in bold."""
+    line = collapse(F.coalesce(col(text), F.lit("")))
+    at = F.instr(line, ":")
+    name, rest = F.trim(F.substring(line, F.lit(1), at - 1)), F.substring(line, at, F.length(line))
+    return F.when(at > 0, F.concat(F.lit("**"), name, F.lit("**"), rest)).otherwise(F.concat(F.lit("**"), line, F.lit("**")))
+
+
+def clipped(text: Column | str, wide: int) -> Column:
+    """A text of at most so many characters; a cut one ends with an ellipsis."""
+    t = col(text)
+    return F.when(F.length(t) <= wide, t).otherwise(F.concat(F.substring(t, 1, max(wide - 1, 0)), F.lit("…")))
+
+
+def padded(text: Column | str, wide: int, right: bool = False) -> Column:
+    """A text filled up with blanks, on its left side if it is to stand right; longer texts stay whole."""
+    t = col(text)
+    blanks = F.repeat(F.lit(" "), F.greatest(F.lit(wide) - F.length(t), F.lit(0)))
+    return F.concat(blanks, t) if right else F.concat(t, blanks)
+
+
+def grouped_digits(n: Column | str) -> Column:
+    """A whole number with a comma before every three digits."""
+    return F.format_number(col(n).cast("long"), 0)
+
+
+def percent(share: Column | str) -> Column:
+    return F.when(col(share).isNull(), F.lit("—")).otherwise(F.concat(F.round(col(share) * 100).cast("long").cast("string"), F.lit("%")))

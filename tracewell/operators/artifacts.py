@@ -212,9 +212,12 @@ def agent_refs(text: Column, builtin: list[str]) -> Column:
     return F.array_except(F.array_distinct(refs), F.array(*map(F.lit, builtin)))
 
 
+def known_files(p: dict) -> Column:
+    return _known({"known_files": None if p.get("known_files") is None else [x.rsplit("/", 1)[-1] for x in p["known_files"]]}, "known_files")
+
+
 def valid_file_refs(a: Artifact, p: dict) -> Column:
-    known = _known({"known_files": None if p.get("known_files") is None else [x.rsplit("/", 1)[-1] for x in p["known_files"]]}, "known_files")
-    return F.size(missing(file_refs(a.content), known)) == 0
+    return F.size(missing(file_refs(a.content), known_files(p))) == 0
 
 
 def valid_skill_refs(a: Artifact, p: dict) -> Column:
@@ -259,14 +262,22 @@ def code_of(script: str | None) -> str | None:
 
 
 @F.arrow_udf(StringType())
-def _code(scripts: pa.Array) -> pa.Array:
+def _quoted_code(scripts: pa.Array) -> pa.Array:
     return pa.array([code_of(s) for s in scripts.to_pylist()], pa.string())
 
 
+def code(script: Column) -> Column:
+    """``code_of``: only scripts with a line that holds both a ``#`` and a quote or backslash need a scan sign by sign."""
+    tangled = script.rlike(r"""(?m)^(?=.*#)(?=.*['"\\])""")
+    kept = F.filter(_lines(script), lambda x: ~F.trim(x).startswith("#"))
+    plain = spliced(F.array_join(F.transform(kept, lambda x: F.when(x.rlike(r"(^|[ \t])#"), F.regexp_replace(x, r"\s*(?:(?<=^)|(?<=[ \t]))#.*$", "")).otherwise(x)), "\n"))
+    return F.coalesce(_quoted_code(F.when(tangled, script)), plain)
+
+
 def hook_reads_stdin(a: Artifact, p: dict) -> Column:
     event = p.get("event")
     event = event if isinstance(event, Column) else F.lit(event)
-    reads = _code(a.content).rlike("|".join(f"(?:{x})" for x in C.STDIN_READS))
+    reads = code(a.content).rlike("|".join(f"(?:{x})" for x in C.STDIN_READS))
     return F.when(event.isNotNull() & ~event.isin(*C.TOOL_CALL_EVENTS), True).otherwise(reads)
 
 
@@ -294,27 +305,67 @@ def check(name: str, artifact: Artifact, params: dict | None = None) -> Column:
     return MATCHERS[name](artifact, params or {}) if name in MATCHERS else F.lit(False)
 
 
-def score(rows: DataFrame, content: str, eval_set: str | list = "default", params: dict | None = None, kind: str = "skill", threshold: float | None = None) -> DataFrame:
-    """``rows`` with a score for each dimension, composite, vetoed and passed.
+def _weighted(checks: list, passed: list[Column]) -> Column:
+    """The weighted share of checks that passed, in ten thousandths; 1 where nothing weighs anything."""
+    weights = [round(float(p.get("weight", 1.0)) * 10_000) for _, p in checks]
+    total = sum(weights)
+    if total <= 0:
+        return F.lit(10_000).cast("long")
+    won = sum((F.when(ok, F.lit(w)).otherwise(F.lit(0)).cast("long") for w, ok in zip(weights, passed, strict=True)), F.lit(0).cast("long"))
+    return F.floor((won * 20_000 + total) / (2 * total)).cast("long")
 
-    ``params`` go to every check (known references, a hook's event and matcher). Dimension scores
-    and the composite are rounded to four digits, in integers. A veto overrides the composite and
-    is worked out on the artifact itself.
+
+def score(rows: DataFrame, content: str, eval_set: str | list = "default", params: dict | None = None, kind: str = "skill", threshold: float | None = None, evidence: bool = False) -> DataFrame:
+    """``rows`` with a score for each dimension, composite, vetoed and passed, and on demand ``assertions``.
+
+    ``params`` go to every check (known references, a hook's event and matcher); a check's own
+    ``weight`` says how much it counts in its dimension. Dimension scores and the composite, which
+    is that of the rounded scores, have four digits and are rounded in integers. A veto overrides the
+    composite and is worked out on the artifact itself. Assertions say of each check its dimension,
+    id, type, whether it passed, and the evidence.
     """
+    from .evidence import evidence_of
+
     artifact, dims = Artifact.of(content), C.EVAL_SETS[eval_set] if isinstance(eval_set, str) else eval_set
     limit = threshold if threshold is not None else C.HOOK_THRESHOLD if kind == "hook" else C.THRESHOLD
-    scores = {}
-    for name, _, checks in dims:
-        passed = sum((F.coalesce(check(c, artifact, (params or {}) | p), F.lit(False)).cast("long") for c, p in checks), F.lit(0).cast("long"))
-        scores[name] = F.floor((passed * 20_000 + len(checks)) / (2 * len(checks))).cast("long") if checks else F.lit(10_000)
+    flags = {f"_{name}_{i}": F.coalesce(check(c, artifact, (params or {}) | p), F.lit(False)) for name, _, checks in dims for i, (c, p) in enumerate(checks)}
     veto_params = {"kind": kind, "exempt_safe_sections": kind != "hook"}
     vetoed = ~F.coalesce(check(VETOES[0], artifact, veto_params) & check(VETOES[1], artifact, veto_params), F.lit(False))
-    out = rows.withColumns({f"dim_{k}": v for k, v in scores.items()} | {"vetoed": vetoed})
+    out = rows.withColumns(flags | {"vetoed": vetoed})
+    out = out.withColumns({f"dim_{name}": _weighted(checks, [F.col(f"_{name}_{i}") for i in range(len(checks))]) for name, _, checks in dims})
     weights = {k: round(w * 10_000) for k, w, _ in dims}
     total = sum((F.col(f"dim_{k}") * w for k, w in weights.items()), F.lit(0))
-    composite = rounded_share(total, F.lit(sum(weights.values()) * 10_000), 4)
-    out = out.withColumn("composite", composite).withColumns({f"dim_{k}": F.col(f"dim_{k}") / 10_000.0 for k in scores})
-    return out.withColumn("passed", (F.col("composite") >= limit) & ~F.col("vetoed"))
+    composite = rounded_share(total, F.lit(sum(weights.values()) * 10_000), 4) if sum(weights.values()) else F.lit(0.0)
+    out = out.withColumn("composite", composite).withColumns({f"dim_{name}": F.col(f"dim_{name}") / 10_000.0 for name, _, _ in dims})
+    if evidence:
+        told = [
+            F.struct(F.lit(name).alias("dimension"), F.lit(f"{name}-{i}").alias("id"), F.lit(c).alias("check_type"), F.col(f"_{name}_{i}").alias("passed"), evidence_of(c, artifact, (params or {}) | p, F.col(f"_{name}_{i}")).alias("evidence"))
+            for name, _, checks in dims for i, (c, p) in enumerate(checks)
+        ]
+        out = out.withColumn("assertions", F.array(*told))
+    return out.withColumn("passed", (F.col("composite") >= limit) & ~F.col("vetoed")).drop(*flags)
+
+
+def failed_evidence(assertions: Column, dimension: Column) -> Column:
+    """What the checks of a dimension that failed have to say."""
+    return F.transform(F.filter(assertions, lambda a: (a["dimension"] == dimension) & ~a["passed"]), lambda a: a["evidence"])
+
+
+def route(explicit: list | None = None, pack_eval: dict | None = None, runner: Callable | None = None) -> tuple[str | list, str]:
+    """Which dimensions judge an artifact, and the name of the engine that does.
+
+    Dimensions given by the caller come first, then a pack's own. A pack that wants an outside
+    program to judge gets one only through ``runner``; without it the default dimensions judge, and
+    the engine's name says that they stand in.
+    """
+    if explicit:
+        return explicit, "native"
+    if pack_eval is None:
+        return "default", "native"
+    if pack_eval.get("mode") == "exec-in-place":
+        return ("default", "native:fallback") if runner is None else (runner(pack_eval), "adapter:exec-in-place")
+    dims = [(d["name"], float(d.get("weight", 1.0)), [(c["type"], {k: v for k, v in c.items() if k != "type"}) for c in d.get("checks", [])]) for d in pack_eval.get("dimensions") or []] if pack_eval.get("mode") == "vendored" else []
+    return dims or "default", "native"
 
 
 def long_scores(rows: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:

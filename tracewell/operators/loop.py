@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions.text import filled
 
 STATE = "struct<best: double, kept: array<int>, discards: int, iterations: int, status: string>"
 
@@ -37,9 +38,12 @@ def ratchet(scores: Column, vetoed: Column | None = None, target: float = C.LOOP
     return last.withField("status", status(last))
 
 
-def ratchet_by(rows: DataFrame, key: str, order: list[str], score: str, **options) -> DataFrame:
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(score).cast("double").alias("_s")))), lambda x: x["_s"])
-    out = rows.groupBy(key).agg(listed.alias("_scores")).withColumn("_r", ratchet(F.col("_scores"), **options))
+def ratchet_by(rows: DataFrame, key: str, order: list[str], score: str, most: int = C.LOOP_ITERATIONS, **options) -> DataFrame:
+    """The fold for each key. It ends after ``most`` rows, so no more of a key are gathered."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    first = rows.select(key, F.col(score).cast("double").alias("_s"), place.alias("_i")).where(F.col("_i") <= most)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda x: x["_s"])
+    out = first.groupBy(key).agg(listed.alias("_scores")).withColumn("_r", ratchet(F.col("_scores"), most=most, **options))
     return out.select(key, F.col("_r.best").alias("best"), F.size("_r.kept").alias("kept"), F.col("_r.discards").alias("discards"), F.col("_r.iterations").alias("iterations"), F.col("_r.status").alias("status"))
 
 
@@ -56,12 +60,34 @@ def halves(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("part", F.when(at % 2 == 0, "train").otherwise("validation"))
 
 
-def weakest(dimensions: DataFrame, key: str, name: str, score: str) -> DataFrame:
-    """The dimension of the lowest score, of equal ones the first by name."""
-    return dimensions.groupBy(key).agg(F.min_by(name, F.struct(score, name)).alias("weakest"), F.min(score).alias("score"))
+def holdout(rows: DataFrame, key: str, polarity: str, order: list[str]) -> DataFrame:
+    """``halves`` of each key's fixtures of either polarity; only keys that have two of both can be held out."""
+    w = Window.partitionBy(key)
+    enough = (F.count_if(F.col(polarity)).over(w) >= 2) & (F.count_if(~F.col(polarity)).over(w) >= 2)
+    at = F.row_number().over(Window.partitionBy(key, polarity).orderBy(*order)) - 1
+    return rows.withColumn("_enough", enough).where("_enough").withColumn("part", F.when(at % 2 == 0, "train").otherwise("validation")).drop("_enough")
 
 
-def sound(content: Column, lines: int = 535) -> Column:
-    """What must hold before an artifact is scored: name and description, no conflict marks, not too long."""
-    named = content.rlike(r"(?m)^name:[ \t]*\S") & content.rlike(r"(?m)^description:[ \t]*\S")
-    return named & ~content.rlike(r"(?m)^(<<<<<<<|=======|>>>>>>>)") & (F.size(F.split(content, "\n")) <= lines)
+def pinned(candidates: DataFrame, seeds: DataFrame, key: str, fixtures: list[str]) -> DataFrame:
+    """Candidates with their seed's fixtures in place of their own, so that none can choose what it is judged by."""
+    return candidates.drop(*fixtures).join(seeds.select(key, *fixtures), key, "left")
+
+
+def weakest(dimensions: DataFrame, key: str, name: str, score: str, failed: str | None = None) -> DataFrame:
+    """The dimension of the lowest score, of equal ones the first by name, and on demand what failed in it."""
+    place = F.struct(score, name)
+    more = [F.min_by(failed, place).alias("failed")] if failed else []
+    return dimensions.groupBy(key).agg(F.min_by(name, place).alias("weakest"), F.min(score).alias("score"), *more)
+
+
+def weakest_first(dimensions: DataFrame, key: str, name: str, score: str) -> DataFrame:
+    """All dimensions of each key, from the lowest score up, ties by name."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(score).alias("score"), F.col(name).alias("dimension"))))
+    return dimensions.groupBy(key).agg(listed.alias("weakest_first"))
+
+
+def sound(content: Column, kind: str | Column = "skill", lines: int = 535) -> Column:
+    """What must hold before an artifact is scored: no conflict marks; a skill has name and description and is not too long, a hook isn't empty."""
+    named = content.rlike(r"(?m)^name:\s*\S") & content.rlike(r"(?m)^description:\s*\S") & (F.size(F.split(content, "\n")) <= lines)
+    hook = (kind if isinstance(kind, Column) else F.lit(kind)) == "hook"
+    return F.when(hook, filled(content)).otherwise(named) & ~content.rlike(r"(?m)^(<<<<<<<|=======|>>>>>>>)")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..plans.session import cut
 
+#: Sessions that a view shows, and by which it grows.
+PAGE = 25
+
 
 def dedupe_richest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Of rows of one key the first in ``order``; rows without key all stay."""
@@ -24,13 +27,26 @@ def ranked(rows: DataFrame, by: list[str], tie: list[str], top: int | None = Non
     return out.limit(top) if top else out
 
 
+#: Bytes of rows, as the optimiser knows them, in one range of an order.
+RANGE_BYTES = 64 << 20
+
+
+def ranges_for(rows: DataFrame) -> int:
+    """Into how many ranges to deal rows: as many as their size asks for, and no fewer than there are cores."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    if size >= 1 << 60:  # unknown
+        return max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(-(-size // RANGE_BYTES), 100_000))
+
+
 def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     """``rows`` with ``row``, their place from 0 in ``order``, and how many there are.
 
     Rows are dealt by ranges and numbered within them; only one row count for each range meets
     in one place.
     """
-    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = ranges_for(rows)
     at = F.monotonically_increasing_id()
     dealt = rows.repartitionByRange(many, *order).sortWithinPartitions(*order)
     dealt = cut(dealt.withColumn("_part", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND(F.lit((1 << 33) - 1))))
@@ -59,6 +75,30 @@ def every_nth(rows: DataFrame, order: list[str], step: int, most: int) -> DataFr
     return placed.where(F.col("row") % step == 0).orderBy("row").limit(most).drop("row")
 
 
+def at_position(rows: DataFrame, by: list[str], tie: list[str], position: int) -> DataFrame:
+    """The row at a position (from 1) of the ranking: none beyond its ends."""
+    if position < 1:
+        return rows.limit(0)
+    return ranked(rows, by, tie).offset(position - 1).limit(1)
+
+
+def page(rows: DataFrame, by: list[str], tie: list[str], pages: int = 1, cap: int = PAGE) -> DataFrame:
+    """The first rows of a view, which shows ``cap`` more with each page."""
+    return ranked(rows, by, tie, cap * max(pages, 1))
+
+
+def with_bars(shown: DataFrame, value: str) -> DataFrame:
+    """Rows of a page with ``bar``: each value's share of the page's largest in whole per cent, 0 where none is above 0."""
+    most = shown.agg(F.max(value).alias("_most"))  # one row
+    share = F.when((F.col("_most") > 0) & F.col(value).isNotNull(), F.round(F.col(value) / F.col("_most") * 100)).otherwise(0)
+    return shown.join(F.broadcast(most)).withColumn("bar", share.cast("int")).drop("_most")
+
+
+def first_with_hazard(rows: DataFrame, by: list[str], tie: list[str], kind: str) -> DataFrame:
+    """The first ranked session that carries a hazard of a kind."""
+    return ranked(rows.where(F.coalesce(F.exists("hazards", lambda h: h["kind"] == kind), F.lit(False))), by, tie, 1)
+
+
 def split_limit(limit: int | None, scoped: bool, narrowed: bool) -> tuple[int | None, int | None]:
     """Where a limit applies: before scoring as a sample, or, for a project that couldn't be narrowed, after ranking."""
     return (None, limit) if scoped and not narrowed else (limit, None)

@@ -61,3 +61,16 @@ def merge_outcomes(clusters: DataFrame, passed: DataFrame, cluster: str = "clust
     sizes = clusters.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
     outcome = F.when(F.col("size") == 1, "kept").when(F.coalesce("passed", F.lit(False)), "merged").otherwise("originals")
     return sizes.join(passed, cluster, "left").select(cluster, "size", outcome.alias("outcome"))
+
+
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    """How many clusters had each outcome."""
+    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("count"))
+
+
+def merged_provenance(rows: DataFrame, cluster: str, order: list[str], name: str, session: str) -> DataFrame:
+    """Of each cluster what a merged artifact says it came from: names, and sessions without repeats, both in order."""
+    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(name).alias("_name"), F.col(session).alias("_session"))))
+    out = rows.groupBy(cluster).agg(listed.alias("_all"))
+    sessions = F.array_distinct(F.filter(F.transform("_all", lambda x: x["_session"]), lambda s: s.isNotNull()))
+    return out.select(cluster, F.transform("_all", lambda x: x["_name"]).alias("merged_from"), sessions.alias("session_ids"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
+from pathlib import Path
 
 from ..functions.text import glob_pattern
-from ..operators.artifacts import compiles
+from ..operators.artifacts import MATCHERS, compiles
 from .scan import Pack
 
 CONDITIONS = ("retry_loops", "tool_count", "edit_count", "commands")
@@ -50,11 +52,84 @@ def pack_from(data: dict) -> Pack:
     return Pack(data["name"], tuple(data.get("fingerprints", ())), namespaces=tuple(data.get("namespaces", ())), globs=tuple(data.get("globs", ())), **more)
 
 
-def read_pack(path: str) -> Pack:
-    """A pack from a JSON file, or from YAML where a YAML library is installed."""
+def _read(path: Path) -> object:
     with open(path, encoding="utf-8") as f:
-        if path.endswith((".yaml", ".yml")):
+        if path.suffix in (".yaml", ".yml"):
             import yaml
 
-            return pack_from(yaml.safe_load(f))
-        return pack_from(json.load(f))
+            return yaml.safe_load(f)
+        return json.load(f)
+
+
+def read_pack(path: str) -> Pack:
+    """A pack from a JSON or YAML file, or from a folder."""
+    return read_folder(path) if Path(path).is_dir() else pack_from(_read(Path(path)))
+
+
+def _part(folder: Path, *names: str) -> dict:
+    """An optional file of a pack: nothing if it isn't there, an error if it isn't a mapping."""
+    for name in names:
+        for suffix in (".yaml", ".yml", ".json"):
+            path = folder / f"{name}{suffix}"
+            if path.is_file():
+                data = _read(path)
+                if not isinstance(data, dict):
+                    raise ValueError(f"{path.name}: a mapping is needed")
+                return data
+    return {}
+
+
+def _list(data: dict, name: str) -> list:
+    return data[name] if isinstance(data.get(name), list) else []
+
+
+def _templates(folder: Path) -> dict[str, str]:
+    """Bodies by what they produce. A file outside the folder is left out, and so is one that isn't there."""
+    out = {}
+    for entry in _list(_part(folder, "manifest"), "templates"):
+        file, kind = (entry.get("file"), entry.get("produces")) if isinstance(entry, dict) else (None, None)
+        if isinstance(file, str) and isinstance(kind, str):
+            path = (folder / file).resolve()
+            if not Path(file).is_absolute() and path.is_relative_to(folder.resolve()) and path.is_file():
+                out[kind] = path.read_text(encoding="utf-8")
+    return out
+
+
+def content_faults(laws: list, playbooks: list, evaluation: dict | None) -> list[str]:
+    """What is wrong with a pack's laws, playbooks and dimensions."""
+    out = []
+    for what, rows, needed in (("laws", laws, "statement"), ("playbooks", playbooks, "body")):
+        ids = [r.get("id") if isinstance(r, dict) else None for r in rows]
+        for k, row in enumerate(rows):
+            if not isinstance(row, dict) or not isinstance(row.get("id"), str) or ids.count(row.get("id")) > 1:
+                out.append(f"{what}[{k}]: an id of its own is needed")
+            elif not isinstance(row.get(needed), str) or not row[needed].strip():
+                out.append(f"{what}[{k}]: {needed} is needed")
+    if evaluation:
+        if evaluation.get("mode") not in ("vendored", "exec-in-place"):
+            out.append("eval: mode is vendored or exec-in-place")
+        for k, dim in enumerate(evaluation.get("dimensions") or []):
+            if not isinstance(dim, dict) or not isinstance(dim.get("name"), str) or not isinstance(dim.get("weight", 1.0), int | float):
+                out.append(f"eval.dimensions[{k}]: name and weight are needed")
+            elif not all(isinstance(c, dict) and c.get("type") in MATCHERS for c in dim.get("checks", [])):
+                out.append(f"eval.dimensions[{k}]: a check's type is one of {', '.join(MATCHERS)}")
+    return out
+
+
+def read_folder(path: str) -> Pack:
+    """A pack from a folder: a manifest, and of detect, laws, investigate, eval and templates what there is. All faults are told at once."""
+    folder = Path(path)
+    manifests = sorted(p for p in folder.iterdir() if p.name.endswith((".adapter.yaml", ".adapter.yml", ".adapter.json")) or p.stem == "manifest")
+    if not manifests:
+        raise ValueError(f"{path}: no manifest")
+    manifest = _read(manifests[0])
+    if not isinstance(manifest, dict):
+        raise ValueError(f"{manifests[0].name}: a mapping is needed")
+    found = _part(folder / "detect", "signatures")
+    data = {"name": manifest.get("name"), "globs": manifest.get("file_globs", [])}
+    data |= {k: found[k] for k in ("fingerprints", "opportunities") if isinstance(found.get(k), list)} | {"namespaces": _list(found, "skill_namespaces")}
+    laws, playbooks = _list(_part(folder / "laws", "laws"), "laws"), _list(_part(folder / "investigate", "playbooks"), "playbooks")
+    evaluation = _part(folder / "eval", "eval") or None
+    if wrong := faults(data) + content_faults(laws, playbooks, evaluation):
+        raise ValueError("; ".join(wrong))
+    return replace(pack_from(data), laws=tuple(laws), playbooks=tuple(playbooks), evaluation=evaluation, templates=_templates(folder / "templates"))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import base_name, dir_name, glob_pattern, is_correction, ratio
+from ..functions.text import base_name, clipped, dir_name, glob_pattern, grouped_digits, is_correction, ratio
 from ..operators import classify, rank, signals
 from ..sources.transcripts import distinct_in_order, first_known
+from .session import cut
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,18 @@ class Pack:
     opportunities: tuple = tuple(classify.DEFAULT_RULES)
     namespaces: tuple = ()
     globs: tuple = ()
+    laws: tuple = ()
+    playbooks: tuple = ()
+    evaluation: dict | None = None
+    templates: dict = field(default_factory=dict)
+
+    def drafting(self, laws: int = 12, playbooks: int = 8) -> tuple[tuple, tuple]:
+        """The laws and playbooks that go into a draft: the first of each."""
+        return self.laws[:laws], self.playbooks[:playbooks]
+
+    def gate(self, paths: Column, force: bool | Column = False) -> Column:
+        """Whether a session may be drafted from: it is of the stack, or the caller insists."""
+        return (force if isinstance(force, Column) else F.lit(force)) | self.matches(paths)
 
     def matches(self, paths: Column) -> Column:
         """Whether a session touched a file of the stack."""
@@ -71,11 +84,23 @@ def tool_calls(events: DataFrame) -> DataFrame:
     return rows.select("session_key", "seq", "pos", "_c.*")
 
 
+FACTS = (
+    "session_key", "path", "seq", "session_id", "cwd", "err", "type", "text", "is_meta", "synthetic", "is_compact_summary", "subtype", "tool_uses", "tool_results", "msg_model", "msg_prompt_tokens", "usage", "attribution_skill",
+)
+
+
 def session_facts(events: DataFrame, pack: Pack = Pack()) -> DataFrame:
-    """The session table. Calls and results are exploded once each; all else is one aggregate by session."""
+    """The session table.
+
+    Transcripts are parsed once: the events are dealt by session and written to the shared folder, and
+    so are the calls with whether they failed. Everything else is windows, aggregates and joins by
+    session over these two, which need no further exchange.
+    """
     key, order = "session_key", ["seq", "pos"]
-    calls = tool_calls(events)
+    many = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    events = cut(events.select(*FACTS).repartition(many, key))
     results = events.select(key, F.explode("tool_results").alias("_r")).select(key, F.col("_r.tool_use_id").alias("id"), F.col("_r.is_error").alias("is_error"))
+    calls = cut(signals.errored_calls(tool_calls(events), results, key, "id", "is_error"))
     human = signals.human_turn("type", "text", F.col("is_meta"), F.col("synthetic"))
     fine = F.col("err").isNull()
     base = events.groupBy(key).agg(
@@ -87,7 +112,7 @@ def session_facts(events: DataFrame, pack: Pack = Pack()) -> DataFrame:
         F.collect_set("attribution_skill").alias("_attributed"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(human, F.struct("seq", "text")))), lambda x: x["text"]), "\n").alias("_said"),
     )
     bash = calls.where(F.col("name") == "Bash")
-    errored = signals.errored_calls(bash.where("command_is_string"), results, key, "id", "is_error")
+    errored = bash.where("command_is_string")
     command = F.when(F.col("name") == "Bash", F.coalesce("command", F.lit("")))
     edited = F.when(F.col("name").isin("Edit", "Write", "NotebookEdit"), F.col("file_path"))
     by_call = calls.groupBy(key).agg(
@@ -167,6 +192,11 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def totals(rows: DataFrame) -> DataFrame:
+    """The line under a scan: sessions, distinct projects, and sessions of the second tier."""
+    return rows.agg(F.count(F.lit(1)).alias("sessions"), F.countDistinct(project("cwd", "path")).alias("projects"), F.count_if("tier2").alias("tier2"))
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     """One JSON text for each session, unknown values as null."""
     signals_ = F.struct(*[F.col(k) for k in C.WEIGHTS])
@@ -174,15 +204,25 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rest, signals_.alias("signals")), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def render(rows: DataFrame, most: int = 20) -> str:
-    """A text table of the first sessions."""
-    head = ("#", "session", "raw", "score", "rate", "signal", "type", "miss", "tools", "msgs", "ctx%", "project")
-    out = [head]
-    for k, r in enumerate(rows.withColumn("project", project("cwd", "path")).limit(most).collect(), 1):
-        pct = "-" if r.max_ctx_pct is None else f"{r.max_ctx_pct:.1f}"
-        out.append((str(k), (r.session_id or "-")[:8], f"{r.raw:.2f}", f"{r.friction:.2f}", f"{r.rate:.2f}", r.dominant_signal or "-", r.fingerprint, ",".join(r.missed) or "-", str(r.tool_count), str(r.message_count), pct, r["project"]))
-    widths = [min(24, max(len(row[c]) for row in out)) for c in range(len(head))]
-    return "\n".join("  ".join(cell[:w].ljust(w) for cell, w in zip(row, widths, strict=True)).rstrip() for row in out)
+LEGEND = "raw: weighted friction; score: 0 to 1; rate: raw by message; ctx%: the fullest context"
 
 
-__all__ = ["ELIXIR", "PACKS", "PYTHON", "Options", "Pack", "as_json", "project", "render", "scan", "select_sessions", "session_facts", "summary", "tool_calls"]
+def render(rows: DataFrame, most: int = 20, scope: rank.Scope = rank.Scope(), wide: int = 24) -> str:
+    """A text table of the first sessions, with what it covers above and what it counts below."""
+    head = ("#", "session", "raw", "score", "rate", "signal", "type", "miss", "tools", "msgs", "ctx%", "project")
+    left = {"session", "signal", "type", "miss", "project"}
+    none = F.lit("—")
+    shown = rows.withColumn("project", project("cwd", "path")).limit(most)
+    cells = [
+        F.coalesce(F.substring("session_id", 1, 8), none), F.format_number("raw", 2), F.format_number("friction", 2), F.format_number("rate", 2), F.coalesce("dominant_signal", none), F.col("fingerprint"),
+        F.when(F.size("missed") > 0, F.array_join("missed", ",")).otherwise(none), grouped_digits("tool_count"), grouped_digits("message_count"), F.coalesce(F.round("max_ctx_pct").cast("long").cast("string"), none), F.coalesce("project", none),
+    ]
+    table = [head, *[(str(k), *r) for k, r in enumerate(shown.select(*[clipped(c, wide).alias(n) for c, n in zip(cells, head[1:], strict=True)]).collect(), 1)]]
+    widths = [max(len(row[c]) for row in table) for c in range(len(head))]
+    lines = ["  ".join(cell.ljust(w) if n in left else cell.rjust(w) for cell, w, n in zip(row, widths, head, strict=True)).rstrip() for row in table]
+    n = totals(rows).first()
+    covered = "all projects" if scope.root is None else f"project {scope.root}" + ("" if scope.narrowed else " (not narrowed)")
+    return "\n".join([f"scope: {covered}", *lines, f"{n.sessions} sessions in {n.projects} projects, {n.tier2} of the second tier", LEGEND])
+
+
+__all__ = ["ELIXIR", "PACKS", "PYTHON", "Options", "Pack", "as_json", "project", "render", "scan", "select_sessions", "session_facts", "summary", "tool_calls", "totals"]
