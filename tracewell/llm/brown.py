@@ -52,7 +52,7 @@ SWEEPS = 1_000
 FEW = 0.1
 #: In each round after the first one word in so many has its turn, so that few neighbours move at once.
 TURNS = 2
-CHUNK = 1_500_000
+CHUNK = 500_000
 #: Ranges of word hashes, as bits, at least and at most; so many bytes of input (as the optimiser knows it) fill one.
 RANGE_BITS, RANGE_BYTES, MOST_BITS = 8, 8_000_000, 18
 #: Weight of the next lower order in class transitions: bigrams, trigrams.
