@@ -11,7 +11,7 @@ from ..functions import constants as C
 from ..functions.text import base_name, clipped, dir_name, glob_pattern, grouped_digits, is_correction, ratio
 from ..operators import classify, rank, signals
 from ..sources.transcripts import distinct_in_order, first_known
-from .session import cut
+from .session import cut_by
 
 
 @dataclass(frozen=True)
@@ -97,10 +97,9 @@ def session_facts(events: DataFrame, pack: Pack = Pack()) -> DataFrame:
     session over these two, which need no further exchange.
     """
     key, order = "session_key", ["seq", "pos"]
-    many = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    events = cut(events.select(*FACTS).repartition(many, key))
+    events = cut_by(events.select(*FACTS), key)
     results = events.select(key, F.explode("tool_results").alias("_r")).select(key, F.col("_r.tool_use_id").alias("id"), F.col("_r.is_error").alias("is_error"))
-    calls = cut(signals.errored_calls(tool_calls(events), results, key, "id", "is_error"))
+    calls = cut_by(signals.errored_calls(tool_calls(events), results, key, "id", "is_error"), key)
     human = signals.human_turn("type", "text", F.col("is_meta"), F.col("synthetic"))
     fine = F.col("err").isNull()
     base = events.groupBy(key).agg(

@@ -24,6 +24,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """``cut`` of rows dealt by a key, of which Spark then knows how they are dealt: windows, aggregates and joins by the key need no exchange.
+
+    An adaptive plan doesn't say how its result is dealt, so this one step is planned without.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def build_session(name: str = "tracewell", **settings: str) -> SparkSession:
     """A session with the settings that the engine expects."""
     builder = SparkSession.builder.appName(name)
