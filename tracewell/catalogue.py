@@ -714,4 +714,4 @@ def parse_dialect_e_sessions(spark, d):
 
 
 # Further queries register themselves.
-from . import catalogue_scan  # noqa: E402, F401
+from . import catalogue_eval, catalogue_scan  # noqa: E402, F401
