@@ -62,7 +62,7 @@ RANGE_BITS, RANGE_BYTES, MOST_BITS = 8, 4_000_000, 18
 #: Sets below this size index single tokens only; above, one sub-class for each so many tokens.
 SMALL = 16
 #: Bytes of text in a chunk.
-CHUNK = 12_000_000
+CHUNK = 6_000_000
 #: Into how many parts a token of a hub's differences is split.
 SALT = 8
 
@@ -82,7 +82,16 @@ def _open(blob: bytes, kind) -> np.ndarray:
 
 
 def sets_of(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct shingle hashes in ascending order, and n + 1 bounds."""
+    """Each text's distinct shingle hashes in ascending order, and n + 1 bounds. Some megabytes of text are taken at a time."""
+    parts = [_sets(p.column(0), shingle) for p in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0)]
+    if len(parts) == 1:
+        return parts[0]
+    ends = np.cumsum([0, *[len(t) for t, _ in parts]])
+    tokens = np.concatenate([np.zeros(0, dtype=U64), *[t for t, _ in parts]])
+    return tokens, np.concatenate([np.zeros(1, dtype=np.int64), *[b[1:] + e for (_, b), e in zip(parts, ends[:-1], strict=True)]])
+
+
+def _sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     h, bounds = shingles(words(column, "space"), shingle)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     order = np.lexsort((h, text))

@@ -89,6 +89,13 @@ class Vocabulary:
         none = np.zeros(0, dtype=np.int64)
         return np.concatenate(found or [none]), np.concatenate(number or [none])
 
+    def number(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of hashes that all are there."""
+        at, found = self.find(hashes)
+        out = np.empty(len(hashes), dtype=np.int32)
+        out[at] = found
+        return out
+
     def per_text(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct (text, term) of a column's texts in order, and their counts."""
         hashes, where = terms(column)
@@ -234,13 +241,17 @@ class Model:
         np.maximum.at(peak, example, weight)
         top = weight == peak[example]
         lead[example[top]] = term[top]
-        order = np.lexsort((np.arange(n), lead, -labels))
+        by_id = np.empty(n, dtype=np.int64)
+        by_id[sorted(range(n), key=ids.__getitem__)] = np.arange(n)
+        order = np.lexsort((by_id, lead, -labels))
         place = np.empty(n, dtype=np.int32)
         place[order] = np.arange(n, dtype=np.int32)
-        by = np.lexsort((term, place[example]))
-        sizes = np.bincount(place[example], minlength=n)
         del weight, top
-        self.__setstate__((keys, weights, [ids[k] for k in order], labels[order], sizes, term[by].astype(np.int32), count[by].astype(np.int32), self.prior, 1.0, 0.0))
+        by = np.lexsort((term, place[example])).astype(np.int32)
+        sizes = np.bincount(place[example], minlength=n)
+        held = keys, weights, [ids[k] for k in order], labels[order], sizes, term[by], count[by], self.prior, 1.0, 0.0
+        del by
+        self.__setstate__(held)
         held = np.repeat(np.arange(n), sizes), self.term, self.weigh(self.term, self.count)
         near = self.index.nearest(*held, n, NEIGHBOURS, np.arange(n)) if n else []
         own = [votes(x, self.labels, self.prior) for x in near]
@@ -319,15 +330,16 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, key: str = "doc_id",
 
     kind = docs.schema[key].dataType.simpleString()
     got = named.select(key, "toxic", "text").mapInArrow(count_terms, f"{key} {kind}, toxic int, terms array<long>, counts array<int>").toArrow().combine_chunks()
-    got = got.sort_by([(key, "ascending")])
     ids, label = got.column(0).to_pylist(), got.column(1).to_numpy().astype(np.int64)
     lists = got.column(2).combine_chunks() if got.num_rows else None
     hashes = lists.flatten().to_numpy().view(np.uint64) if got.num_rows else np.zeros(0, dtype=np.uint64)
     count = got.column(3).combine_chunks().flatten().to_numpy() if got.num_rows else np.zeros(0, dtype=np.int64)
-    example = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()) if got.num_rows else 0)
-    keys, term = np.unique(hashes, return_inverse=True)
-    example, term, count = example.astype(np.int32), term.astype(np.int32), count.astype(np.int32)
+    example = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(lists.offsets.to_numpy()) if got.num_rows else 0)
+    keys = np.unique(hashes)
+    term = Vocabulary(keys).number(hashes)
+    count = count.astype(np.int32)
     del got, lists, hashes
+    pa.default_memory_pool().release_unused()
     shared = spark.sparkContext.broadcast(keys)
 
     def frequencies(batches):
