@@ -492,12 +492,6 @@ def token_jaccard_pairs(spark, d):
     return out.select("p_brand", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
-def greedy_clusters(spark, d):
-    rows = _proposals(spark, d)
-    return similar.greedy_clusters(rows, similar.similar_pairs(rows, "id", "p_brand", "tokens", 0.5), "id", "p_brand")
-
-
 @query(f"""WITH RECURSIVE s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n, least(value, 94) / 100 AS v FROM events),
 f AS (SELECT user_id, 0 AS i, n, 0::DOUBLE AS best, 0 AS kept, 0 AS discards FROM s WHERE i = 1 UNION ALL
   SELECT f.user_id, s.i, f.n, CASE WHEN s.v > f.best + 0.02 THEN s.v ELSE f.best END, f.kept + CAST(s.v > f.best + 0.02 AS INTEGER), CASE WHEN s.v > f.best + 0.02 THEN 0 ELSE f.discards + 1 END
@@ -714,4 +708,4 @@ def parse_dialect_e_sessions(spark, d):
 
 
 # Further queries register themselves.
-from . import catalogue_eval, catalogue_scan  # noqa: E402, F401
+from . import catalogue_eval, catalogue_scan, catalogue_stores  # noqa: E402, F401

@@ -1,4 +1,7 @@
-"""Readers and writers of what the engine keeps: journal lines, proposals, installed skills and their markers."""
+"""Readers and writers of what the engine keeps: journal lines, proposals, installed skills and their markers.
+
+What is kept belongs to one host or team and is small: a row for each run, proposal or skill.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base_name, dir_name, short_hash
 from ..operators.artifacts import Artifact
-from ..operators.rank import newest
+from ..operators.rank import newest, prune
+from ..plans.session import cut
 
 JOURNAL = "format int, iteration int, skill string, old_composite double, new_composite double, kept boolean, timestamp string, description string, reason string"
 PROPOSAL = (
@@ -34,7 +38,7 @@ def proposal_id(session: str = "session_key", md: str = "md"):
 
 def read_proposals(spark: SparkSession, path: str, known: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Stored proposals of all formats with later fields' defaults, newest first; files that don't parse are left out."""
-    rows = spark.read.schema(PROPOSAL).option("mode", "DROPMALFORMED").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+    rows = spark.read.schema(PROPOSAL).option("mode", "DROPMALFORMED").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,txt}").json(path)
     rows = rows.withColumn("format", F.coalesce("format", F.lit(1))).where(F.col("format").isin(*known) & F.col("id").isNotNull())
     sniffed = F.when(F.col("kind").isin("skill", "hook"), F.col("kind")).when(F.col("md").startswith("#!"), "hook").otherwise("skill")
     rows = rows.withColumns({"kind": sniffed, "source_sessions": F.coalesce("source_sessions", F.array(F.col("session_key"))), "outcome": F.coalesce("outcome", F.lit("proposed"))})
@@ -47,6 +51,29 @@ def put(stored: DataFrame, more: DataFrame) -> DataFrame:
     return stored.join(more.select("id"), "id", "left_anti").unionByName(more, allowMissingColumns=True)
 
 
+def save_proposals(rows: DataFrame, path: str) -> None:
+    """Replace the stored proposals by these: a file for each first two signs of their ids."""
+    listed = rows.groupBy(F.substring("id", 1, 2).alias("part")).agg(F.to_json(F.collect_list(F.struct(*[F.col(c) for c in rows.columns]))).alias("value"))
+    cut(listed).write.partitionBy("part").mode("overwrite").text(path)
+
+
+def put_proposals(spark: SparkSession, more: DataFrame, path: str) -> DataFrame:
+    """Store proposals; what is stored twice is there once."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
+    more = more.dropDuplicates(["session_key", "md"])
+    rows = put(read_proposals(spark, path), more) if there else more.withColumn("id", proposal_id())
+    save_proposals(rows, path)
+    return read_proposals(spark, path)
+
+
+def prune_proposals(spark: SparkSession, path: str, keep: int) -> DataFrame:
+    """Delete all but the newest proposals."""
+    rows = read_proposals(spark, path)
+    save_proposals(rows.join(prune(rows.select("id", "created_at"), "created_at", "id", keep).select("id"), "id", "left_anti"), path)
+    return read_proposals(spark, path)
+
+
 def latest_for(sessions: DataFrame, proposals: DataFrame, key: str = "session_key") -> DataFrame:
     """Sessions with the newest proposal of each, if there is one."""
     last = newest(proposals.select(key, "id", "name", "created_at", "session_stamp"), key, "created_at", "id")

@@ -7,6 +7,7 @@ into the columns of ``EVENT``. Malformed input is a row with ``err``, never an e
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -380,24 +381,77 @@ def distinct_in_order(column: str, order: list[str]) -> Column:
 # --- registry
 
 Reader = Callable[..., DataFrame]
-FORMATS: dict[str, Reader] = {
-    "claude": lambda spark, path: claude(read_lines(spark, path)),
-    "codex": lambda spark, path: codex(read_lines(spark, path)),
-    "cline": lambda spark, path: cline(cline_files(spark, path)),
-    "gemini": lambda spark, path: gemini(gemini_files(spark, path)),
+
+
+def relation(spark: SparkSession, path: str, name: str, **options: str) -> DataFrame:
+    """A table of a relational store: by JDBC, where filters and columns reach the database, or from an export (Parquet, else JSON lines)."""
+    if path.startswith("jdbc:"):
+        return spark.read.format("jdbc").options(url=path, dbtable=name, **options).load()
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.parquet")
+    if file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file):
+        return spark.read.parquet(f"{path}/{name}.parquet")
+    return spark.read.json(f"{path}/{name}.json*")
+
+
+@dataclass(frozen=True)
+class Source:
+    """A kind of transcripts: how its events are read, how its handles are found, and what says that one has changed."""
+
+    parse: Reader
+    #: From session and path to (handle, label).
+    discover: Reader
+    #: From session and path to (handle, stamp).
+    stamp: Reader
+
+
+def _in_files(parse: Reader, glob: str) -> Source:
+    files = lambda spark, path: file_stamps(spark, path, glob).withColumnRenamed("path", "handle")
+    return Source(parse, lambda spark, path: files(spark, path).select("handle", base_name(dir_name("handle")).alias("label")), files)
+
+
+def _in_store(parse: Reader, name: str, key: str, label: str) -> Source:
+    def handles(spark: SparkSession, path: str) -> DataFrame:
+        return relation(spark, path, name).select(F.concat(F.lit(f"{path}#"), F.col(key).cast("string")).alias("handle"), F.col(label).cast("string").alias("label"), F.col(key).cast("string").alias("_id"))
+
+    def stamps(spark: SparkSession, path: str) -> DataFrame:
+        files = None if path.startswith("jdbc:") else file_stamps(spark, path)
+        return store_stamps(handles(spark, path), files)
+
+    return Source(parse, lambda spark, path: handles(spark, path).select("handle", "label"), stamps)
+
+
+def store_stamps(handles: DataFrame, files: DataFrame | None) -> DataFrame:
+    """(handle, stamp) of a store's sessions: the stamps of all its files, also of what it has not yet merged into its main one (``-wal``), and the session's id."""
+    if files is None:
+        return handles.select("handle", F.concat(F.lit("|"), "_id").alias("stamp"))
+    whole = files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "stamp"))), lambda x: x["stamp"]), "|").alias("_stamps"))  # one row
+    return handles.join(F.broadcast(whole)).select("handle", F.concat("_stamps", F.lit("|"), "_id").alias("stamp"))
+
+
+FORMATS: dict[str, Source] = {
+    "claude": _in_files(lambda spark, path: claude(read_lines(spark, path)), "*.jsonl"),
+    "codex": _in_files(lambda spark, path: codex(read_lines(spark, path)), "*.jsonl"),
+    "cline": _in_files(lambda spark, path: cline(cline_files(spark, path)), "api_conversation_history.json"),
+    "gemini": _in_files(lambda spark, path: gemini(gemini_files(spark, path)), "*.json*"),
+    "opencode": _in_store(lambda spark, path: opencode(relation(spark, path, "message"), relation(spark, path, "part")), "session", "id", "directory"),
+    "index": _in_store(lambda spark, path: claude(session_index(relation(spark, path, "sessions"), relation(spark, path, "messages"))), "sessions", "session_id", "project_path"),
 }
 
 
-def register(name: str, reader: Reader) -> None:
-    """Add a format: a function from session and path to events."""
-    FORMATS[name] = reader
+def register(name: str, source: Source | Reader) -> None:
+    """Add a format: a source, or only a function from session and path to events of files."""
+    FORMATS[name] = source if isinstance(source, Source) else _in_files(source, "*")
 
 
-def read_events(spark: SparkSession, path: str, fmt: str = "claude") -> DataFrame:
-    """The events of all transcripts below a path."""
+def source(fmt: str) -> Source:
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; known: {', '.join(sorted(FORMATS))}")
-    return FORMATS[fmt](spark, path)
+    return FORMATS[fmt]
+
+
+def read_events(spark: SparkSession, path: str, fmt: str = "claude") -> DataFrame:
+    """The events of all transcripts below a path."""
+    return source(fmt).parse(spark, path)
 
 
 def split_handle(handle: str, exists: Callable[[str], bool]) -> tuple[str, str | None]:

@@ -16,27 +16,39 @@ KEYS = ["key", "stamp", "version"]
 
 
 class Store:
-    """Results by (key, stamp, version) as Parquet, one folder a run, so that a run that dies adds nothing."""
+    """Results by (key, stamp, version) as Parquet.
+
+    A run adds a folder with the results that it computed and one with the keys that it saw again,
+    so a warm run writes little more than keys. A folder counts from when Spark's mark of a finished
+    write is in it, so a run that dies adds nothing. ``compact`` puts what is still in use into
+    one folder and deletes those that it read.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _finished(self, kind: str) -> list[str]:
+        root = self._path(f"{self.folder}/{kind}")
+        found = [f"{self.folder}/{kind}/{f.getPath().getName()}" for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(f for f in found if self._fs.exists(self._path(f"{f}/_SUCCESS")))
+
     def load(self, now, days: int = CACHE_DAYS) -> DataFrame | None:
-        """What runs of the last days have stored, of each key the latest."""
-        if not self._fs.exists(self._path(f"{self.folder}/runs")):
+        """What was computed, or seen again, in the last days, of each key the latest."""
+        runs, seen = self._finished("runs"), self._finished("seen")
+        if not runs:
             return None
-        rows = self.spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/runs/*")
-        rows = rows.where(F.col("last_seen") >= F.lit(now) - F.make_dt_interval(F.lit(days)))
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*runs)
         every = F.struct(*[F.col(c) for c in rows.columns])
-        return rows.groupBy(*KEYS).agg(F.max_by(every, "last_seen").alias("_r")).select("_r.*")
+        rows = rows.groupBy(*KEYS).agg(F.max_by(every, "last_seen").alias("_r")).select("_r.*")
+        if seen:
+            again = self.spark.read.parquet(*seen).groupBy(*KEYS).agg(F.max("last_seen").alias("_again"))
+            rows = rows.join(again, KEYS, "left").withColumn("last_seen", F.greatest("last_seen", "_again")).drop("_again")
+        return rows.where(F.col("last_seen") >= F.lit(now) - F.make_dt_interval(F.lit(days)))
 
-    def add(self, rows: DataFrame) -> None:
-        name = uuid.uuid4().hex
-        rows.write.parquet(f"{self.folder}/staging/{name}")
-        self._fs.mkdirs(self._path(f"{self.folder}/runs"))
-        self._fs.rename(self._path(f"{self.folder}/staging/{name}"), self._path(f"{self.folder}/runs/{name}"))
+    def add(self, rows: DataFrame, kind: str = "runs") -> None:
+        rows.write.parquet(f"{self.folder}/{kind}/{uuid.uuid4().hex}")
 
     def run(self, current: DataFrame, version: str, compute: Callable[[DataFrame], DataFrame], now) -> tuple[DataFrame, int]:
         """Results for ``current`` (key, stamp, ...): stored ones where nothing changed, computed ones elsewhere, and how many were computed.
@@ -48,10 +60,23 @@ class Store:
         fresh = current if stored is None else cache_split(current, stored, KEYS)[1]
         done = cut(fresh.select(*KEYS).join(compute(fresh), "key").withColumn("last_seen", F.lit(now)))
         n = done.count()
-        reused = None if stored is None else current.select(*KEYS).join(stored, KEYS).withColumn("last_seen", F.lit(now))
-        out = done if reused is None else cut(done.unionByName(reused, allowMissingColumns=True))
-        self.add(out)
-        return out, n
+        if stored is None:
+            self.add(done)
+            return done, n
+        reused = cut(current.select(*KEYS).join(stored, KEYS).withColumn("last_seen", F.lit(now)))
+        if n:
+            self.add(done)
+        self.add(reused.select(*KEYS, "last_seen"), "seen")
+        return done.unionByName(reused, allowMissingColumns=True), n
+
+    def compact(self, now, days: int = CACHE_DAYS) -> None:
+        """Put what is in use into one folder. No other run may be at work."""
+        old = self._finished("runs") + self._finished("seen")
+        rows = self.load(now, days)
+        if rows is not None:
+            self.add(rows)
+            for folder in old:
+                self._fs.delete(self._path(folder), True)
 
 
 def tool_counts(events: DataFrame) -> DataFrame:
