@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows, at most, that a Python worker gets at once (a longer row comes alone).
+BATCH = 8 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -19,11 +21,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     names none, as in tests, a temporary one is made.
     """
     sc = spark.sparkContext
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     known = sc.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewell-"))
     return spark
 

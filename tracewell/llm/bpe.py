@@ -3,9 +3,8 @@
 A worker gathers the texts of many megabytes as numbers of their distinct words. The words are laid
 end to end as byte tokens, and an inverted index from a merge's rank to the positions where it
 applies is kept; merges are taken in rank order over all words at once, each over all of its
-positions as arrays, and touch only their two neighbours, whose new pairs join the index. Words
-seen before are kept (a bounded number), so each distinct word is replayed about once a worker. A
-word that is itself a token is that token, whatever the merges would give. Where a merge gives rise
+positions as arrays, and touch only their two neighbours, whose new pairs join the index. Each distinct
+word is replayed once a gathering. A word that is itself a token is that token, whatever the merges would give. Where a merge gives rise
 to one of lower rank, which tables that were not made by merging allow, the rest of its word's
 merges depends on their order in the word, and that word is replayed position by position.
 
@@ -36,10 +35,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ._spark import prepare, table
 from ._text import slices, spread
 
-#: Words and their bytes that a worker keeps; beyond that it starts anew.
-KEPT_WORDS, KEPT_BYTES = 700_000, 12_000_000
+#: Words and their bytes that a worker keeps from one gathering to the next; beyond that it starts anew.
+KEPT_WORDS, KEPT_BYTES = 200_000, 4_000_000
 #: Bytes of text that are gathered before their new words are replayed.
-GATHERED = 24_000_000
+GATHERED = 20_000_000
 
 #: White space as Unicode defines it (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
