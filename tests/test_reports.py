@@ -1,0 +1,120 @@
+import json
+import os
+import time
+
+import pytest
+
+from tracewell.__main__ import _parser, main
+from tracewell.plans import packs, reports
+from tracewell.sources import stores
+from tracewell.sources import transcripts as tr
+
+
+def message(kind, content, **more):
+    return {"type": kind, "message": {"role": kind, "content": content}} | more
+
+
+@pytest.fixture
+def host(spark, tmp_path):
+    """Two sessions, the later of which uses a skill, two skills, of which one is ours, and three proposals."""
+    logs, skills = tmp_path / "logs", tmp_path / "skills"
+    logs.mkdir()
+    for k, said in enumerate(["wrong again", "py:Ship it"]):
+        rows = [message("user", said, sessionId=f"s{k}", cwd="/w/app"), message("assistant", "x"), message("user", "y"), message("assistant", "z")]
+        (logs / f"s{k}.jsonl").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(logs / f"s{k}.jsonl", (k * 1000 + 1_700_000_000,) * 2)
+    for name, ours in (("ship", True), ("other", False)):
+        (skills / name).mkdir(parents=True)
+        (skills / name / "SKILL.md").write_text(f"---\nname: {name}\n---\n")
+        if ours:
+            (skills / name / ".mark.json").write_text(json.dumps({"installed_by": "x", "installed_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(1_700_000_500))}))
+    drafts = spark.createDataFrame([(f"s{k}", f"# check tests of parsers {k}" if k < 2 else "# deploy", f"2026-01-0{k + 1}", 1, ["ship", "check", "deploy"][k]) for k in range(3)], "session_key string, md string, created_at string, format int, name string")
+    stores.put_proposals(spark, drafts, str(tmp_path / "store"))
+    return str(logs), str(skills), str(tmp_path / "store")
+
+
+def test_feedback_counts_sessions_since_the_installation(spark, host):
+    logs, skills, _ = host
+    (r,) = reports.feedback(spark, skills, logs, options=reports.scan.Options(pack=reports.scan.PYTHON)).collect()
+    assert (r.skill, r.sessions, r.used, r.usage_rate, r.friction_without, r.verdict) == ("ship", 1, 1, 1.0, None, "active") and r.friction_with < 0.1
+
+
+def test_proposals_are_listed_shown_and_grouped(spark, host):
+    _, skills, store = host
+    rows = reports.proposals(spark, store, skills).collect()
+    assert [(r["name"], r.installed) for r in rows] == [("deploy", False), ("check", False), ("ship", True)]
+    assert "# deploy" in reports.show(spark, store, rows[0].id[:20])
+    with pytest.raises(ValueError, match="no proposal"):
+        reports.show(spark, store, "zzz")
+    with pytest.raises(ValueError, match="several"):
+        reports.show(spark, store, "")
+    groups = reports.consolidation(spark, store).collect()
+    assert [(r["size"], r.outcome, r.merged_from, r.session_ids) for r in groups] == [(2, "originals", ["ship", "check"], ["s0", "s1"]), (1, "kept", ["deploy"], ["s2"])]
+
+
+def test_verbs_print(spark, host, capsys):
+    logs, skills, store = host
+    main(["scan", logs, "--pack", "python"])
+    told = capsys.readouterr().out
+    assert told.startswith("scope: all projects") and "2 sessions in 1 projects" in told
+    main(["feedback", skills, logs, "--pack", "python"])
+    assert "100%" in capsys.readouterr().out
+    main(["proposals", store, "--json"])
+    assert len(capsys.readouterr().out.strip().split("\n")) == 3
+    main(["consolidate", store])
+    main(["prune", store, "--keep", "1"])
+    assert capsys.readouterr().out.strip().endswith("1 kept")
+    assert _parser().parse_args(["show", "s", "i"]).id == "i"
+
+
+def test_a_pack_is_read_from_a_folder(tmp_path):
+    for name, text in {
+        "x.adapter.json": '{"name": "x", "file_globs": ["**/*.x"]}', "detect/signatures.json": '{"fingerprints": [{"type": "review", "commands": ["gh"], "bonus": 1.5}], "skill_namespaces": ["x"]}',
+        "laws/laws.json": json.dumps({"laws": [{"id": f"l{k}", "statement": "s"} for k in range(15)]}), "investigate/playbooks.json": json.dumps({"playbooks": [{"id": f"p{k}", "body": "b"} for k in range(10)]}),
+        "eval/eval.json": '{"mode": "vendored", "dimensions": [{"name": "a", "weight": 2, "checks": [{"type": "line_count", "target": 3}]}]}',
+        "templates/manifest.json": '{"templates": [{"file": "s.md", "produces": "skill"}, {"file": "../x.adapter.json", "produces": "stolen"}, {"file": "gone.md", "produces": "hook"}]}', "templates/s.md": "hi {{name}}",
+    }.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    pack = packs.read_pack(str(tmp_path))
+    assert pack.name == "x" and pack.namespaces == ("x",) and pack.templates == {"skill": "hi {{name}}"} and len(pack.opportunities) == 3
+    assert [len(x) for x in pack.drafting()] == [12, 8]
+    (tmp_path / "laws/laws.json").write_text('{"laws": [{"id": "a", "statement": "s"}, {"id": "a", "statement": ""}]}')
+    (tmp_path / "eval/eval.json").write_text('{"mode": "odd", "dimensions": [{"name": "a", "checks": [{"type": "nothing"}]}]}')
+    with pytest.raises(ValueError, match=r"laws\[0\].*laws\[1\].*mode is.*dimensions\[0\]"):
+        packs.read_pack(str(tmp_path))
+    (tmp_path / "laws/laws.json").write_text("[]")
+    with pytest.raises(ValueError, match="mapping"):
+        packs.read_pack(str(tmp_path))
+
+
+def test_stamps_of_a_store_change_with_what_it_has_not_merged(spark, tmp_path):
+    handles = spark.createDataFrame([("db#1", "1"), ("db#2", "2")], "handle string, _id string")
+    (tmp_path / "x.db").write_text("a")
+    (tmp_path / "x.db-wal").write_text("b")
+    stamps = lambda: dict(tr.store_stamps(handles, tr.file_stamps(spark, str(tmp_path))).collect())
+    before = stamps()
+    assert before["db#1"] != before["db#2"] and before == stamps()
+    (tmp_path / "x.db-wal").write_text("bb")
+    assert stamps()["db#1"] != before["db#1"]
+
+
+def test_session_stamps_of_a_cluster_need_a_shared_folder(spark):
+    from tracewell.plans import session
+
+    class Context:
+        master = "spark://x"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_folder(Session())

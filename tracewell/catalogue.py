@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import constants as C
 from .functions import text as T
 from .operators import artifacts, classify, loop, rank, relate, signals, similar
-from .plans.session import table
+from .plans.session import spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -273,10 +273,23 @@ def command_cleaning(spark, d):
     return rows.select("event_id", "command", T.command_key("command").alias("cleaned"), F.array_join(T.first_words("command"), " ").alias("two"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('<system-reminder a="b">' || text || '</system-reminder>' || chr(10) || lang || ' <command-name>x</command-name><note>' || source || '</note>',
-  '(?s)<system-reminder(?:\s[^>]*)?>.*?</system-reminder>', '', 'g'), '(?s)<command-name(?:\s[^>]*)?>.*?</command-name>', '', 'g'), '\s+', ' ', 'g')) AS kept FROM documents""")
+def _untagged(sql: str) -> str:
+    for tag in C.HARNESS_TAGS:
+        sql = f"regexp_replace({sql}, '(?s)<{tag}(?:\\s[^>]*)?>.*?</{tag}>', '', 'g')"
+    return f"regexp_replace({sql}, '(?m)^[ \\t]*Another Claude session sent a message:[ \\t]*$', '', 'g')"
+
+
+_TAG = f"{C.HARNESS_TAGS}[CAST(doc_id % 7 AS INTEGER) + 1]"
+HARNESSED = f"""'<' || {_TAG} || ' a="b">' || text || '</' || {_TAG} || '>' || chr(10) || lang || ' <command-name>x</command-name><note>' || source || '</note>' || chr(10) || '  Another Claude session sent a message: ' || chr(10) || 'so'"""
+
+
+@query(f"SELECT doc_id, trim(regexp_replace({_untagged(HARNESSED)}, '\\s+', ' ', 'g')) AS kept FROM documents")
 def strip_harness(spark, d):
-    text = F.concat(F.lit('<system-reminder a="b">'), "text", F.lit("</system-reminder>\n"), "lang", F.lit(" <command-name>x</command-name><note>"), "source", F.lit("</note>"))
+    """Each of the tags around a text, one more within it, and a line that the harness adds."""
+    tag = F.element_at(F.array(*map(F.lit, C.HARNESS_TAGS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    text = F.concat(
+        F.lit("<"), tag, F.lit(' a="b">'), "text", F.lit("</"), tag, F.lit(">\n"), "lang", F.lit(" <command-name>x</command-name><note>"), "source", F.lit("</note>\n  Another Claude session sent a message: \nso"),
+    )
     return table(spark, d, "documents").select("doc_id", T.collapse(T.without_harness(text)).alias("kept"))
 
 
@@ -442,7 +455,7 @@ def matcher_counts(spark, d):
     a = artifacts.Artifact.of("text")
     (act, prose), (con, every) = artifacts.action_lines(a), artifacts.concrete_lines(a)
     wanted = {"lines": F.size(a.lines), "words": artifacts.words_of(a), "actionable": act, "prose": prose, "concrete": con, "filled": every}
-    return table(spark, d, "documents").select("doc_id", *[v.cast("long").alias(k) for k, v in wanted.items()])
+    return spread(table(spark, d, "documents")).select("doc_id", *[v.cast("long").alias(k) for k, v in wanted.items()])
 
 
 TEXT_SET = [

@@ -173,3 +173,24 @@ def text_helpers(spark, d):
         T.bold_pattern(F.concat("p_brand", F.lit(" : do  "), F.col("p_size").cast("string"))).alias("bold"), T.clipped("p_type", 6).alias("clipped"), T.padded(F.col("p_size").cast("string"), 4).alias("padded"),
         T.grouped_digits(F.col("p_partkey") * 1000).alias("digits"), T.percent(F.col("p_size") / 50).alias("percent"), T.one_line(F.lit(f"a{chr(0x202E)}\nb")).alias("comment"),
     )
+
+
+def _told(name: str, score: str, failed: str) -> str:
+    return f"{{'s': {score}, 't': '- {name}: ' || format('{{:.3f}}', {score} / 10000) || CASE WHEN {failed} <> '' THEN ' (failed: ' || {failed} || ')' ELSE '' END, 'n': '{name}'}}"
+
+
+_FAILED = {
+    "sections": f"concat_ws(', ', CASE WHEN NOT ({EXPECTED['usage']}) THEN 'section_exists' END, CASE WHEN NOT ({EXPECTED['references']}) THEN 'section_exists' END, CASE WHEN NOT ({EXPECTED['laws']}) THEN 'has_iron_laws' END)",
+    "safety": f"CASE WHEN {EXPECTED['harmless']} THEN '' ELSE 'no_dangerous_patterns' END", "nothing": "''", "refs": f"concat_ws(', ', CASE WHEN NOT ({EXPECTED['files']}) THEN 'valid_file_refs' END, CASE WHEN NOT ({EXPECTED['skills']}) THEN 'valid_skill_refs' END)",
+}
+_LINES = ", ".join(_told(n, s, _FAILED[n]) for n, s in (("sections", "d1"), ("safety", "d2"), ("nothing", "10000"), ("refs", "d4")))
+
+
+@query(f"{SETS_SQL} SELECT p_partkey, composite, 'composite ' || format('{{:.3f}}', composite) || '; weakest first:' || chr(10) || array_to_string(list_transform(list_sort(list_transform([{_LINES}], lambda x: {{'s': x.s, 'n': x.n, 't': x.t}})), lambda x: x.t), chr(10)) AS told FROM c JOIN part USING (p_partkey)")
+def eval_metric_text(spark, d):
+    """The text by which an optimiser learns what to mend."""
+    scored = A.score(skills(spark, d), "md", SETS, REFS, evidence=True)
+    names = [n for n, _, _ in SETS]
+    each = A.long_scores(scored.select("p_partkey", "assertions", "composite", *[f"dim_{n}" for n in names]), ["p_partkey", "assertions", "composite"], names)
+    failed = F.transform(F.filter("assertions", lambda a: (a["dimension"] == F.col("dimension")) & ~a["passed"]), lambda a: a["check_type"])
+    return loop.metric_text(each.withColumn("failed", failed), "p_partkey", "dimension", "score", "failed", "composite")

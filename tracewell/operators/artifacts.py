@@ -18,6 +18,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import constants as C
 from ..functions.text import AFTER, base_name, col, filled, rounded_share, whole_words
+from ..plans.session import spread
 from .relate import missing
 
 HEADING = r"(?md)^##+[^\S\n]+(.*)$"
@@ -331,7 +332,7 @@ def score(rows: DataFrame, content: str, eval_set: str | list = "default", param
     flags = {f"_{name}_{i}": F.coalesce(check(c, artifact, (params or {}) | p), F.lit(False)) for name, _, checks in dims for i, (c, p) in enumerate(checks)}
     veto_params = {"kind": kind, "exempt_safe_sections": kind != "hook"}
     vetoed = ~F.coalesce(check(VETOES[0], artifact, veto_params) & check(VETOES[1], artifact, veto_params), F.lit(False))
-    out = rows.withColumns(flags | {"vetoed": vetoed})
+    out = spread(rows).withColumns(flags | {"vetoed": vetoed})
     out = out.withColumns({f"dim_{name}": _weighted(checks, [F.col(f"_{name}_{i}") for i in range(len(checks))]) for name, _, checks in dims})
     weights = {k: round(w * 10_000) for k, w, _ in dims}
     total = sum((F.col(f"dim_{k}") * w for k, w in weights.items()), F.lit(0))

@@ -91,11 +91,20 @@ def is_masked_exit(command: Column | str) -> Column:
     return F.coalesce(c.rlike(C.PIPE_MASKS_EXIT) & ~c.rlike(C.PIPEFAIL), F.lit(False))
 
 
-def hazards(calls: DataFrame, command: Column | str) -> DataFrame:
-    """The calls that are hazardous, with kind and evidence. They never add to friction."""
+def _masked_exit_told(c: Column) -> Column:
+    return F.concat(F.lit("`"), excerpt(c), F.lit(f"` — {C.PIPE_EXPLAINED}"), F.when(c.rlike(C.STATUS_READ), F.lit(f", {C.STATUS_EXPLAINED}")).otherwise(F.lit("")))
+
+
+#: Kinds of hazards: what a command of the kind is, and what is said about it.
+HAZARDS = {"pipe_masks_exit": (is_masked_exit, _masked_exit_told)}
+
+
+def hazards(calls: DataFrame, command: Column | str, kinds: dict = HAZARDS) -> DataFrame:
+    """The calls that are hazardous, one row for each kind, with kind and evidence. They never add to friction."""
     c = col(command)
-    said = F.concat(F.lit("`"), excerpt(c), F.lit(f"` — {C.PIPE_EXPLAINED}"), F.when(c.rlike(C.STATUS_READ), F.lit(f", {C.STATUS_EXPLAINED}")).otherwise(F.lit("")))
-    return calls.where(is_masked_exit(c)).withColumn("kind", F.lit("pipe_masks_exit")).withColumn("evidence", said)
+    found = F.filter(F.array(*[F.when(fits(c), F.struct(F.lit(kind).alias("kind"), told(c).alias("evidence"))) for kind, (fits, told) in kinds.items()]), lambda h: h.isNotNull())
+    rows = calls.withColumn("_hazard", F.explode(found))
+    return rows.select(*calls.columns, "_hazard.kind", "_hazard.evidence")
 
 
 def hazard_summary(found: DataFrame, keys: list[str], order: Column | str) -> DataFrame:

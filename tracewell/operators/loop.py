@@ -86,6 +86,19 @@ def weakest_first(dimensions: DataFrame, key: str, name: str, score: str) -> Dat
     return dimensions.groupBy(key).agg(listed.alias("weakest_first"))
 
 
+def clamp_rollouts(wanted: int | None, least: int = 1, most: int = 40, default: int = 8) -> int:
+    return default if wanted is None else max(least, min(most, int(wanted)))
+
+
+def metric_text(dimensions: DataFrame, key: str, name: str, score: str, failed: str, composite: str) -> DataFrame:
+    """What an optimiser is told of a candidate: its composite, and its dimensions from the weakest up, each with the checks that failed."""
+    each = F.struct(F.col(score).alias("s"), F.col(name).alias("n"), F.array_join(failed, ", ").alias("f"))
+    line = lambda x: F.concat(F.lit("- "), x["n"], F.lit(": "), F.format_number(x["s"], 3), F.when(x["f"] != "", F.concat(F.lit(" (failed: "), x["f"], F.lit(")"))).otherwise(""))
+    out = dimensions.groupBy(key, composite).agg(F.array_sort(F.collect_list(each)).alias("_d"))
+    told = F.concat(F.lit("composite "), F.format_number(composite, 3), F.lit("; weakest first:\n"), F.array_join(F.transform("_d", line), "\n"))
+    return out.select(key, F.col(composite).alias("composite"), told.alias("told"))
+
+
 def sound(content: Column, kind: str | Column = "skill", lines: int = 535) -> Column:
     """What must hold before an artifact is scored: no conflict marks; a skill has name and description and is not too long, a hook isn't empty."""
     named = content.rlike(r"(?m)^name:\s*\S") & content.rlike(r"(?m)^description:\s*\S") & (F.size(F.split(content, "\n")) <= lines)

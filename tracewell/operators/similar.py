@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CLUSTER_THRESHOLD
 
+#: Into how many parts the rows of a token are split.
+SALT = 4
+
 
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
@@ -19,16 +22,19 @@ def similar_pairs(rows: DataFrame, key: str, kind: str, tokens: str, least: floa
 
     An inverted index over prefixes: with tokens in the order of how many rows of the kind hold
     them, rare first, sets of n and a pair that reaches the threshold share one of the first
-    n - ceil(least * n) + 1. Only pairs that share such a token are compared.
+    n - ceil(least * n) + 1. Only pairs that share such a token, and whose sizes allow it, are compared.
     """
     held = rows.select(F.col(key).alias("_id"), F.col(kind).alias("_kind"), F.array_sort(F.array_distinct(tokens)).alias("_set"))
     each = held.select("_id", "_kind", F.explode("_set").alias("_t"))
     rarity = each.groupBy("_kind", "_t").agg(F.count(F.lit(1)).alias("_df"))
     ordered = each.join(rarity, ["_kind", "_t"]).groupBy("_id", "_kind").agg(F.array_sort(F.collect_list(F.struct("_df", "_t"))).alias("_o"))
     n = F.size("_o")
-    first = ordered.select("_id", "_kind", F.explode(F.slice("_o", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("_p")).select("_id", "_kind", F.col("_p._t").alias("_t"))
-    other = first.select(F.col("_id").alias("_id2"), "_kind", "_t")
-    pairs = first.join(other, ["_kind", "_t"]).where(F.col("_id") < F.col("_id2")).select("_id", "_id2").distinct()
+    first = ordered.select("_id", "_kind", n.alias("_n"), F.explode(F.slice("_o", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("_p")).select("_id", "_kind", "_n", F.col("_p._t").alias("_t"))
+    # A token's rows are dealt to several tasks, each of which meets all rows of the other side.
+    other = first.select(F.col("_id").alias("_id2"), "_kind", "_t", F.col("_n").alias("_n2"), F.pmod(F.xxhash64("_id"), F.lit(SALT)).cast("int").alias("_salt"))
+    salted = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    alike = (F.col("_n") >= F.col("_n2") * least - 1e-9) & (F.col("_n2") >= F.col("_n") * least - 1e-9)
+    pairs = salted.join(other, ["_kind", "_t", "_salt"]).where((F.col("_id") < F.col("_id2")) & alike).select("_id", "_id2").distinct()
     a, b = held.select("_id", F.col("_kind").alias(kind), F.col("_set").alias("_a")), held.select(F.col("_id").alias("_id2"), F.col("_set").alias("_b"))
     out = pairs.join(a, "_id").join(b, "_id2").withColumn("similarity", jaccard(F.col("_a"), F.col("_b")))
     return out.where(F.col("similarity") >= least).select(kind, F.col("_id").alias("a"), F.col("_id2").alias("b"), "similarity")

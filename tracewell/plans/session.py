@@ -38,6 +38,14 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read as fewer splits than there are cores, dealt to all of them: for work that is heavy for each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    split = 128 << 20
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def build_session(name: str = "tracewell", **settings: str) -> SparkSession:
     """A session with the settings that the engine expects."""
     builder = SparkSession.builder.appName(name)
