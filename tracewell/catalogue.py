@@ -721,4 +721,4 @@ def parse_dialect_e_sessions(spark, d):
 
 
 # Further queries register themselves.
-from . import catalogue_eval, catalogue_scan, catalogue_stores  # noqa: E402, F401
+from . import catalogue_eval, catalogue_scan, catalogue_sources, catalogue_stores  # noqa: E402, F401

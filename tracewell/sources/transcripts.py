@@ -81,6 +81,14 @@ def call(name: Column, arguments: Column, call_id: Column, **fields: Column) ->
     ).cast(CALL)
 
 
+def bare_call(name: Column, call_id: Column, file_path: Column | None = None) -> Column:
+    """A call without arguments, but for a file that it touches."""
+    text = none("string")
+    return F.struct(
+        name.alias("name"), text.alias("command"), F.lit(False).alias("command_is_string"), (text if file_path is None else file_path).alias("file_path"), text.alias("path"), text.alias("notebook_path"), text.alias("skill"), F.lit("{}").alias("input"), call_id.alias("id"),
+    ).cast(CALL)
+
+
 def result(call_id: Column, is_error: Column) -> Column:
     return F.struct(call_id.alias("tool_use_id"), F.coalesce(is_error, F.lit(False)).alias("is_error")).cast(RESULT)
 
@@ -201,15 +209,15 @@ def codex(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_s", F.when(is_object(node(v, "$.payload")), shape).otherwise("inert")).withColumn("_args", F.try_parse_json(text_at(v, "$.payload.arguments")))
     s, args, call_id = F.col("_s"), F.col("_args"), F.coalesce(text_at(v, "$.payload.call_id"), text_at(v, "$.payload.id"))
     name, out = text_at(v, "$.payload.name"), text_at(v, "$.payload.output")
-    function = F.when(name == "exec_command", call(F.lit("Bash"), args, call_id, command_node=node(args, "$.cmd"), file_path=none("string"), path=none("string"), notebook_path=none("string")))
-    function = function.when(name == "view_image", call(F.lit("Read"), args, call_id, file_path=text_at(args, "$.path"), path=none("string"), notebook_path=none("string")))
-    function = function.otherwise(call(F.when(name == "write_stdin", "WriteStdin").otherwise(name), args, call_id))
+    is_exec, is_view = (F.coalesce(name == n, F.lit(False)) for n in ("exec_command", "view_image"))
+    own = lambda n: F.when(~is_exec & ~is_view, text_at(args, f"$.{n}"))
+    named = F.when(is_exec, "Bash").when(is_view, "Read").when(name == "write_stdin", "WriteStdin").otherwise(name)
+    command = F.when(is_exec, node(args, "$.cmd")).otherwise(node(args, "$.command"))
+    function = call(named, args, call_id, command_node=command, file_path=F.when(is_view, text_at(args, "$.path")).otherwise(own("file_path")), path=own("path"), notebook_path=own("notebook_path"))
     files = F.coalesce(F.regexp_extract_all(text_at(v, "$.payload.input"), F.lit(PATCHED), F.lit(1)), F.array().cast("array<string>"))
-    nothing = F.parse_json(F.lit("{}"))
-    blank = {"path": none("string"), "notebook_path": none("string")}
-    edits = F.transform(files, lambda f, i: call(F.lit("Edit"), nothing, F.concat(call_id, F.lit("#"), i.cast("string")), file_path=F.trim(f), **blank))
-    patch = F.when(F.size(files) > 0, edits).otherwise(F.array(call(F.lit("Edit"), nothing, call_id, file_path=none("string"), **blank)))
-    custom = F.when(name == "apply_patch", patch).otherwise(F.array(call(F.coalesce(name, F.lit("CustomTool")), nothing, call_id)))
+    edits = F.transform(files, lambda f, i: bare_call(F.lit("Edit"), F.concat(call_id, F.lit("#"), i.cast("string")), F.trim(f)))
+    patch = F.when(F.size(files) > 0, edits).otherwise(F.array(bare_call(F.lit("Edit"), call_id)))
+    custom = F.when(name == "apply_patch", patch).otherwise(F.array(bare_call(F.coalesce(name, F.lit("CustomTool")), call_id)))
     inner = F.try_parse_json(out)
     code, said = long_at(inner, "$.metadata.exit_code"), text_at(inner, "$.output")
     custom_failed = F.when(code.isNotNull(), code != 0).when(said.isNotNull(), failed_output(said)).otherwise(failed_output(out))
@@ -335,8 +343,7 @@ def opencode(messages: DataFrame, parts: DataFrame) -> DataFrame:
             file_path=F.when(name.isin("read", "write", "edit"), at_path).when(plain, text_at(args, "$.file_path")),
         )
 
-    nothing = F.parse_json(F.lit("{}"))
-    edit = lambda f: call(F.lit("Edit"), nothing, none("string"), file_path=f.cast("string"), path=none("string"), notebook_path=none("string"))
+    edit = lambda f: bare_call(F.lit("Edit"), none("string"), f.cast("string"))
     uses = F.flatten(F.transform(of("tool", "patch"), lambda b: F.when(text_at(b, "$.type") == "tool", F.array(use(b))).otherwise(F.transform(F.coalesce(list_at(b, "$.files"), F.array().cast("array<variant>")), edit))))
     is_text = lambda b: F.coalesce((text_at(b, "$.type") == "text") & text_at(b, "$.text").isNotNull(), F.lit(False))
     return events_of(rows, "opencode", {
