@@ -32,8 +32,6 @@ would count as one.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -41,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, fold, prepare, range_bits, table
+from ._spark import cut, fold, prepare, range_bits, release, table
 from ._text import U64, slices, words
 
 SHARE = 1 / 2000
@@ -423,21 +421,12 @@ class Rounds:
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         self.held[name] = cut(df)
         del df
-        self._release()
+        release(self.spark)
         return self.held[name]
 
-    def _release(self) -> None:
-        gc.collect()  # what Python doesn't hold any more, the JVM can let go, and with it the shuffled files
-        self.spark._jvm.System.gc()
-
     def delete(self, *names: str) -> None:
         """Delete the files of these results, or of all."""
-        for name in names or list(self.held):
-            file = self.held.pop(name)._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-            if file.isDefined():
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(file.get())
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        self._release()
+        release(self.spark, *[self.held.pop(n) for n in names or list(self.held)])
 
     def run(self, chunks: DataFrame, known: np.ndarray, of: np.ndarray, pairs: np.ndarray, bits: int) -> DataFrame:
         wide = int(of.max()) + 3 if len(of) else 3

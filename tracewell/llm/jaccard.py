@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, prepare, range_bits, table
+from ._spark import cut, prepare, range_bits, release, stored, table
 from ._text import U64, bytes_of, mix, shingles, slices, words
 from .components import components
 
@@ -338,10 +338,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     """
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"the threshold has to be from {LEAST_PERCENT} to 100 per cent")
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     bits = range_bits(docs, RANGE_BITS, RANGE_BYTES, MOST_BITS) if ranges is None else ranges
     chunks = cut(_chunks(docs, key, text))
     rows = cut(_prefixes(chunks, _levels(chunks, shingle, bits), key, docs.schema[key].dataType.simpleString(), shingle, percent))
+    release(spark, chunks)
     one = ["h1", "h2", "n"]  # what tells classes of equal sets apart
     kept = rows.where(F.col("sigs").isNotNull()).groupBy(*one).agg(F.max(F.struct("alone", "said", "rarity", "sigs")).alias("_"))
     sets = cut(kept.select(*one, "_.*", F.monotonically_increasing_id().alias("node")))
@@ -349,6 +350,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     hubs = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct("alone", "node"))["node"].alias("a")).where("_m > 1").select("sig", "a")
     pairs = entries.join(hubs, "sig").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
     differ = cut(_differences(pairs, sets, shingle, percent))
+    del kept, entries, hubs, pairs
+    release(spark)
     parts = F.explode(F.arrays_zip("tokens", "places")).alias("_")
     each = differ.select("hub", "node", "n", "near", "differ", parts).select("hub", "node", "n", "near", "differ", F.col("_.tokens").alias("token"), F.col("_.places").alias("place"))
     named = lambda df, side: df.select("hub", "token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "near", "differ", "place")])
@@ -380,7 +383,7 @@ def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: int = STAGE
 
     Rows are numbered once, in a table that every later step reads.
     """
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
     groups = join(numbered, "_row", shingle=shingle, percent=percent).select("_row", F.col("component_id").alias("_group"))
     named = groups.join(numbered.select("_row", "doc_id"), "_row")
     kept = named.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row"))["_row"].alias("_row")).select("_row")
