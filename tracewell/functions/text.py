@@ -11,13 +11,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import CD_PREFIX, CORRECTION_CHARS, EXCERPT_CHARS, HARNESS_TAGS, SCAFFOLDING
+from .constants import CD_PREFIX, CORRECTION_CHARS, CORRECTION_NO, CORRECTION_WORDS, EXCERPT_CHARS, HARNESS_TAGS, SCAFFOLDING
 
 BEFORE, AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
-CORRECTION = (
-    BEFORE + r"(?:no[,.]?\s(?=[A-Za-z0-9_])|(?:wrong|instead|actually|that's not|not what I|I meant|I said|please don't|stop|undo|revert)" + AFTER + ")"
-)
+CORRECTION = BEFORE + f"(?:{CORRECTION_NO}(?=[A-Za-z0-9_])|(?:{CORRECTION_WORDS}){AFTER})"
 #: White space at which words split: all of Unicode's but the non-breaking ones.
 BREAKS = r"[\s\x0B\x85\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]+"
 

@@ -127,7 +127,7 @@ def description_no_vague(a: Artifact, p: dict) -> Column:
 
 def description_structure(a: Artifact, p: dict) -> Column:
     said = a.description()
-    return said.rlike(r"^[A-Z][\w+-]+\s") & said.rlike(whole_words(r"[Uu]se\s+(?:when|after|for|to)", ignore_case=False))
+    return said.rlike(C.WHAT) & said.rlike(whole_words(C.WHEN, ignore_case=False))
 
 
 def content_present(a: Artifact, p: dict) -> Column:
@@ -140,7 +140,7 @@ def content_absent(a: Artifact, p: dict) -> Column:
 
 def has_iron_laws(a: Artifact, p: dict) -> Column:
     laws = F.filter(a.named_regions(), lambda s: F.contains(F.lower(s["heading"]), F.lit("iron law")))
-    items = F.transform(laws, lambda s: _count(_lines(s["text"]), lambda x: x.rlike(r"^\s*(?:\d+[.)]\s+|[-*]\s+)")))
+    items = F.transform(laws, lambda s: _count(_lines(s["text"]), lambda x: x.rlike(C.ITEM)))
     return F.coalesce(F.array_max(items) >= p.get("min_count", 1), F.lit(False))
 
 
@@ -164,11 +164,11 @@ def no_dangerous_patterns(a: Artifact, p: dict) -> Column:
 
 
 def has_examples(a: Artifact, p: dict) -> Column:
-    blocks = F.regexp_extract_all(a.body, F.lit(r"(?s)```\w*\n(.*?)```"), F.lit(1))
+    blocks = F.regexp_extract_all(a.body, F.lit(C.FENCE), F.lit(1))
     return _count(blocks, lambda b: _count(_lines(b), filled) >= p.get("min_lines", 2)) >= p.get("min_blocks", 1)
 
 
-ACTIONABLE = "|".join([r"^\s*(?:" + C.IMPERATIVES + ")" + AFTER, r"^\s*\d+[.)]\s+", r"^\s*[-*]\s+\*\*", r"^\s*\|[^|]*\|"])
+ACTIONABLE = "|".join([r"^\s*(?:" + C.IMPERATIVES + ")" + AFTER, *C.ACTION_FORMS])
 
 
 def action_lines(a: Artifact) -> tuple[Column, Column]:
@@ -199,17 +199,17 @@ def _found(text: Column, pattern: str) -> Column:
 
 
 def file_refs(text: Column) -> Column:
-    own = _found(text, r"(?:CLAUDE_SKILL_DIR\}?/)?references/([\w.-]+\.md)")
-    others = F.filter(F.regexp_extract_all(text, F.lit(r"[\w-]+/references/[\w.-]+\.md"), F.lit(0)), lambda x: ~x.startswith("CLAUDE_SKILL_DIR/"))
+    own = _found(text, C.OWN_FILE)
+    others = F.filter(F.regexp_extract_all(text, F.lit(C.OTHER_FILE), F.lit(0)), lambda x: ~x.startswith("CLAUDE_SKILL_DIR/"))
     return F.array_except(F.array_distinct(own), F.transform(others, base_name))
 
 
 def skill_refs(text: Column) -> Column:
-    return F.array_distinct(F.concat(_found(text, r"(?<!/)/\w[\w-]*:(\w[\w-]*)"), _found(text, r"\[\[([\w-]+)\]\]"), _found(text, r"`([\w-]+)`\s+skill")))
+    return F.array_distinct(F.concat(*[_found(text, p) for p in C.SKILL_NAMES]))
 
 
 def agent_refs(text: Column, builtin: list[str]) -> Column:
-    refs = F.concat(_found(text, r"""subagent_type[=:]\s*["']?([\w-]+)"""), _found(text, rf"`([\w-]+-(?:{C.AGENT_ROLES}))`"))
+    refs = F.concat(*[_found(text, p) for p in C.AGENT_NAMES])
     return F.array_except(F.array_distinct(refs), F.array(*map(F.lit, builtin)))
 
 

@@ -192,6 +192,7 @@ def claude(rows: DataFrame) -> DataFrame:
 
 # --- dialect B
 
+#: A fixed value: the lines of a patch that name its files.
 PATCHED = r"(?m)^\*\*\* (?:Add|Update|Delete) File: (.+)$"
 
 
@@ -236,6 +237,7 @@ def codex(rows: DataFrame) -> DataFrame:
 
 # --- dialect C
 
+#: A tool's name in the dialect, to the one that all dialects share.
 CLINE_TOOLS = {"execute_command": "Bash", "read_file": "Read", "write_to_file": "Write", "replace_in_file": "Edit", "search_files": "Grep"}
 CLINE_FILES = ["read_file", "write_to_file", "replace_in_file"]
 
@@ -269,6 +271,7 @@ def cline(rows: DataFrame) -> DataFrame:
 
 # --- dialect D
 
+#: As above.
 GEMINI_TOOLS = {"run_shell_command": "Bash", "read_file": "Read", "write_file": "Write", "replace": "Edit", "glob": "Glob", "search_file_content": "Grep"}
 GEMINI_FILES = ["read_file", "write_file", "replace"]
 
@@ -322,6 +325,7 @@ def gemini(rows: DataFrame) -> DataFrame:
 
 # --- dialect E
 
+#: As above.
 OPENCODE_TOOLS = {"bash": "Bash", "read": "Read", "write": "Write", "edit": "Edit", "grep": "Grep", "glob": "Glob"}
 
 
