@@ -36,9 +36,9 @@ from ._spark import prepare, table
 from ._text import slices, spread
 
 #: Words and their bytes that a worker keeps from one gathering to the next; beyond that it starts anew.
-KEPT_WORDS, KEPT_BYTES = 200_000, 4_000_000
+KEPT_WORDS, KEPT_BYTES = 100_000, 2_000_000
 #: Bytes of text that are gathered before their new words are replayed.
-GATHERED = 20_000_000
+GATHERED = 8_000_000
 
 #: White space as Unicode defines it (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
