@@ -6,8 +6,9 @@ example has, and an example's vector all of its terms. A weight is
 ``(1 + ln count) * idf * relevance``. Document frequencies come from all documents. Relevance is
 between 0 and 1 and smooth: by how much a term's share of toxic examples differs from that of all
 examples, against what chance would give over all terms (``g / (g + chance)``, squared). Plain
-idf alone makes the rare words of a text's subject decide, which have no bearing on toxicity: on
-sf0.1 it finds a third of what these weights find.
+idf alone makes the rare words of a text's subject decide, which have no bearing on toxicity: in a
+trial on sf0.1, before calibration, votes by it rank held-out texts with an AUC of 0.91, by these
+weights with 0.98.
 
 Examples lie in a block-max inverted index. Terms of many examples have dense rows, whose part of
 a score is a matrix product; all others have postings, with the largest weight of each block of
