@@ -52,7 +52,7 @@ FEW = 0.1
 TURNS = 2
 CHUNK = 500_000
 #: Ranges of word hashes, as bits, at least and at most; so many bytes of input (as the optimiser knows it) fill one.
-RANGE_BITS, RANGE_BYTES, MOST_BITS = 4, 2_000_000, 18
+RANGE_BITS, RANGE_BYTES, MOST_BITS = 8, 8_000_000, 18
 #: Weight of the next lower order in class transitions: bigrams, trigrams.
 LOWER = (5.0, 20.0)
 END = 0x0123456789ABCDEF
@@ -420,10 +420,12 @@ class Rounds:
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         self.held[name] = cut(df)
+        del df
+        release(self.spark)
         return self.held[name]
 
     def delete(self, *names: str) -> None:
-        """Delete the files of these results, or of all, and what was shuffled for them."""
+        """Delete the files of these results, or of all."""
         release(self.spark, *[self.held.pop(n) for n in names or list(self.held)])
 
     def run(self, chunks: DataFrame, known: np.ndarray, of: np.ndarray, pairs: np.ndarray, bits: int) -> DataFrame:
@@ -438,23 +440,20 @@ class Rounds:
             if wide == 3 or not movable or (k >= TURNS and sum(m for m, *_ in self.told[-TURNS:]) <= FEW * movable):
                 break
             sent = self._kept(next_sent(chunks, answers, known, wide, bits, k % TURNS), f"sent{k}")
-            gone = []
             between = class_pairs(sent, wide)
             now = likelihood(between)
             if now > best:
                 if k > at:
-                    gone.append(str(at))
+                    self.delete(str(at))
                 best, at = now, k
             elif k - at >= TURNS:
                 answers = self.held[str(at)]
                 break
-            release(self.spark)  # what was shuffled for ``sent``
             following = self._kept(_answers(sent, known, of, between, k % TURNS), str(k + 1))
             if k > at:
-                gone.append(str(k))
+                self.delete(str(k))
             answers = following
-            del sent, following
-            self.delete(*gone, f"sent{k}")
+            self.delete(f"sent{k}")
             k += 1
         return answers
 
