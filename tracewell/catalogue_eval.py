@@ -13,7 +13,7 @@ from .catalogue import query
 from .functions import constants as C
 from .operators import artifacts as A
 from .operators import loop
-from .plans.session import table
+from .plans.session import spread, table
 
 #: A flag of a part, as SQL and as a column.
 FLAGS = {
@@ -38,7 +38,7 @@ def skills(spark: SparkSession, d: str) -> DataFrame:
         F.lit("\n## Iron Laws\n"), on("laws", "1. one\n2. two\n- three\n", "1. one\n"), F.lit("\n## "), on("safe", "Red Flags", "Steps"), F.lit("\n"), on("danger", "sudo rm x\n"), on("long", lines + "\n"),
         on("example", "```bash\nmake a\nmake b\n```\n"), on("file", "references/known.md and references/lost.md\n", "references/known.md\n"), on("skill", "[[lost-skill]] and [[known-skill]]\n"), on("agent", "`lost-reviewer`\n", "`known-reviewer`\n"),
     )
-    return table(spark, d, "part").select("p_partkey", md.alias("md"), F.col("p_partkey").cast("string").alias("key"))
+    return spread(table(spark, d, "part")).select("p_partkey", md.alias("md"), F.col("p_partkey").cast("string").alias("key"))
 
 
 REFS = {"known_files": ["references/known.md"], "known_skills": ["known-skill"], "known_agents": ["known-reviewer"]}
