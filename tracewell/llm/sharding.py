@@ -149,6 +149,13 @@ def _crc_step(x: int) -> int:
     return reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(8), x)
 
 
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned checksum of a text's UTF-8 bytes."""
+    step = f"xor(c >> 8, list_extract({[_crc_step(x) for x in range(256)]}::UINTEGER[], CAST(xor(c, x) & 255 AS BIGINT) + 1))"
+    values = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda x: CAST('0x' || x AS UINTEGER))"
+    return f"CAST(xor(list_reduce(list_prepend(4294967295::UINTEGER, {values}), lambda c, x: {step}), 4294967295::UINTEGER) AS BIGINT)"
+
+
 def _sql_uniform(digest: str, first: int, digits: int) -> str:
     return f"((CAST('0x' || substr({digest}, {first}, {digits}) AS UBIGINT) + 0.5::DOUBLE) / {16**digits}::DOUBLE)"
 
