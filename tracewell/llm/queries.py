@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, brown, chat, decontam, jaccard, sharding, token_counts, topk, toxicity, url_filter
+from . import bpe, brown, chat, decontam, jaccard, main_text, prefix_trie, sharding, spelling, token_counts, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_decontam": decontam.op9_decontam,
         "op10_jaccard_join": jaccard.op10_jaccard_join,
+        "op11_main_text": main_text.op11_main_text,
+        "op12_spelling": spelling.op12_spelling,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return topk.ORACLE | url_filter.ORACLE | chat.ORACLE | sharding.ORACLE | token_counts.ORACLE | decontam.ORACLE | jaccard.ORACLE
+    return topk.ORACLE | url_filter.ORACLE | chat.ORACLE | sharding.ORACLE | token_counts.ORACLE | decontam.ORACLE | jaccard.ORACLE | main_text.ORACLE | spelling.ORACLE | prefix_trie.ORACLE
