@@ -228,3 +228,49 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert sum(r.tool_count for r in run().collect()) == 6
     events.where("value >= 60").write.mode("append").parquet(source)
     assert sorted(map(tuple, run().collect())) == sorted(map(tuple, tool_counts(events).collect()))
+
+
+def folded(order, links):
+    """Greedy clusters, row by row: each row joins the oldest cluster that holds a linked one."""
+    of, opened = {}, []
+    for row in order:
+        known = [of[x] for x in links.get(row, ()) if x in of]
+        of[row] = min(known, key=opened.index) if known else row
+        if of[row] == row:
+            opened.append(row)
+    return of
+
+
+def test_greedy_clusters_in_rounds_equal_the_fold(spark):
+    import random
+
+    from tracewell.operators import similar
+
+    rnd = random.Random(3)
+    for dense in (0.5, 1.0, 2.5):
+        rows = [(i, "ab"[i % 2], rnd.randint(0, 20)) for i in range(160)]
+        pairs = [(k, a, b) for k in "ab" for a, b in [rnd.sample([r[0] for r in rows if r[1] == k], 2) for _ in range(int(80 * dense))]]
+        pairs = sorted({(k, min(a, b), max(a, b)) for k, a, b in pairs})
+        near = {}
+        for _, a, b in pairs:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+        df, links = spark.createDataFrame(rows, "id int, kind string, made int"), spark.createDataFrame(pairs, "kind string, a int, b int")
+        by_key = {r.id: r.cluster for r in similar.greedy_clusters(df, links, "id", "kind").collect()}
+        assert by_key == folded([r[0] for r in rows], near)
+        by_time = {r.id: r.cluster for r in similar.greedy_clusters(df, links, "id", "kind", ("made",)).collect()}
+        assert by_time == folded([r[0] for r in sorted(rows, key=lambda r: (r[2], r[0]))], near)
+    assert similar.greedy_clusters(df.limit(0), links.limit(0), "id", "kind").count() == 0
+
+
+def test_greedy_clusters_of_one_large_kind(spark):
+    """100,000 rows of one kind: chains of 500 rows, each linked with the one before, and groups that all link with one row."""
+    from tracewell.operators import similar
+
+    n = 100_000
+    rows = spark.range(n).select("id", F.lit("k").alias("kind"))
+    chains = spark.range(n).where("id < 50000 AND id % 500 <> 0").select(F.lit("k").alias("kind"), (F.col("id") - 1).alias("a"), F.col("id").alias("b"))
+    stars = spark.range(n).where("id >= 50000 AND id % 1000 <> 0").select(F.lit("k").alias("kind"), (F.col("id") - F.col("id") % 1000).alias("a"), F.col("id").alias("b"))
+    out = similar.greedy_clusters(rows, chains.unionByName(stars), "id", "kind")
+    wrong = out.where(F.col("cluster") != F.when(F.col("id") < 50000, F.col("id") - F.col("id") % 500).otherwise(F.col("id") - F.col("id") % 1000))
+    assert out.count() == n and wrong.isEmpty()

@@ -3,6 +3,7 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.__main__ import _parser, main
 from tracewell.plans import packs, reports
@@ -28,7 +29,7 @@ def host(spark, tmp_path):
         (skills / name / "SKILL.md").write_text(f"---\nname: {name}\n---\n")
         if ours:
             (skills / name / ".mark.json").write_text(json.dumps({"installed_by": "x", "installed_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(1_700_000_500))}))
-    drafts = spark.createDataFrame([(f"s{k}", f"# check tests of parsers {k}" if k < 2 else "# deploy", f"2026-01-0{k + 1}", 1, ["ship", "check", "deploy"][k]) for k in range(3)], "session_key string, md string, created_at string, format int, name string")
+    drafts = spark.createDataFrame([(f"s{k}", f"---\ndescription: check tests of parsers {k}\n---\n# body {k}" if k < 2 else "# deploy", f"2026-01-0{k + 1}", 1, ["ship", "check", "deploy"][k]) for k in range(3)], "session_key string, md string, created_at string, format int, name string")
     stores.put_proposals(spark, drafts, str(tmp_path / "store"))
     return str(logs), str(skills), str(tmp_path / "store")
 
@@ -52,6 +53,49 @@ def test_proposals_are_listed_shown_and_grouped(spark, host):
     assert [(r["size"], r.outcome, r.merged_from, r.session_ids) for r in groups] == [(2, "originals", ["ship", "check"], ["s0", "s1"]), (1, "kept", ["deploy"], ["s2"])]
 
 
+def test_ordinary_reads_and_writes_never_lose_a_record(spark, tmp_path):
+    store = tmp_path / "store"
+    draft = lambda n, at, **more: spark.createDataFrame([(f"s{n}", f"# {n}", at, 1, f"n{n}")], "session_key string, md string, created_at string, format int, name string")
+    for n in range(4):
+        stores.put_proposals(spark, draft(n, f"2026-01-0{n + 1}"), str(store))
+    (store / "new.json").write_text(json.dumps({"format": 9, "id": "future", "session_key": "s", "md": "later"}, indent=1))
+    (store / "broken.json").write_text('{"format": 1, "id": "x')
+    mixed = [{"format": 1, "id": "old-1", "session_key": "a", "md": "# a", "created_at": "2025-01-01"}, {"format": 9, "id": "future-2", "md": "kept\nas it is"}]
+    (store / "mixed.json").write_text(json.dumps(mixed, indent=2))
+    held = lambda: sorted(p.name for p in store.iterdir() if p.is_file())
+    rows = stores.put_proposals(spark, draft(9, "2026-02-01"), str(store)).collect()
+    assert [r["name"] or r.id for r in rows] == ["n9", "n3", "n2", "n1", "n0", "old-1"] and held() == ["broken.json", "mixed.json", "new.json"]
+    # what is stored again is there once, as it was stored last
+    again = stores.put_proposals(spark, draft(9, "2026-02-02"), str(store)).collect()
+    assert [(r["name"], r.created_at) for r in again][:2] == [("n9", "2026-02-02"), ("n3", "2026-01-04")] and len(again) == 6
+    # only what prune names goes, and from the files too
+    kept = stores.prune_proposals(spark, str(store), 2).collect()
+    assert [r["name"] for r in kept] == ["n9", "n3"] and held() == ["broken.json", "new.json"]
+    raw = "".join(f.read_text() for f in store.rglob("*") if f.suffix in (".json", ".txt"))
+    assert "future-2" in raw and "kept\\nas it is" in raw and '"later"' in raw and "old-1" not in raw and "# 0" not in raw and "# 3" in raw
+    assert len(stores.prune_proposals(spark, str(store), 50).collect()) == 2
+
+
+def test_a_write_that_dies_leaves_the_store_as_it_was(spark, tmp_path):
+    store = str(tmp_path / "store")
+    stores.put_proposals(spark, spark.createDataFrame([("s", "# a", "2026-01-01", 1)], "session_key string, md string, created_at string, format int"), store)
+    boom = spark.createDataFrame([("t", "# b", "2026-01-02", 1)], "session_key string, md string, created_at string, format int").withColumn("name", F.raise_error(F.lit("died")).cast("string"))
+    with pytest.raises(Exception, match="died"):
+        stores.put_proposals(spark, boom, store)
+    assert [r.session_key for r in stores.read_proposals(spark, store).collect()] == ["s"]
+
+
+def test_merged_artifacts_have_to_pass_the_gate(spark, host):
+    _, _, store = host
+    outcomes = lambda merge, bar: [(r["size"], r.outcome, r.merged_from) for r in reports.consolidation(spark, store, merge=merge, bar=bar).collect()]
+    weak = lambda rows: rows.groupBy("cluster").agg(F.lit("does stuff").alias("md"))
+    alone = (1, "kept", ["deploy"])
+    assert outcomes(weak, 0.99) == [(2, "originals", ["ship", "check"]), alone]
+    assert outcomes(weak, 0.01) == [(2, "merged", ["ship", "check"]), alone]
+    assert outcomes(lambda rows: rows.where("false").select("cluster", "md"), None) == [(2, "error", ["ship", "check"]), alone]
+    assert [r.composite is None for r in reports.consolidation(spark, store).collect()] == [True, True]
+
+
 def test_verbs_print(spark, host, capsys):
     logs, skills, store = host
     main(["scan", logs, "--pack", "python"])

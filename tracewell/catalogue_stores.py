@@ -175,6 +175,47 @@ def greedy_clusters(spark, d):
     return similar.greedy_clusters(rows, similar.similar_pairs(rows, "id", "p_brand", "tokens", 0.5), "id", "p_brand")
 
 
+GREEDY_SQL = """f AS (SELECT kind, 0::BIGINT AS i, []::STRUCT(id VARCHAR, c BIGINT)[] AS done FROM (SELECT DISTINCT kind FROM n) UNION ALL
+  SELECT f.kind, n.i, list_append(f.done, {'id': n.id, 'c': coalesce(list_min(list_transform(list_filter(f.done, lambda x: list_contains(n.near, x.id)), lambda x: x.c)), n.i)::BIGINT}) FROM f JOIN n ON n.kind = f.kind AND n.i = f.i + 1),
+l AS (SELECT kind, arg_max(done, i) AS done FROM f GROUP BY kind), g AS (SELECT kind, unnest(done) AS x FROM l)"""
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'skill' ELSE 'hook' END AS kind, lpad(CAST(s_suppkey * 7919 % 1000 AS VARCHAR), 4, '0') AS at,
+  list_distinct(list_filter(regexp_split_to_array(lower('of ' || n_name || ' ' || s_name || ' ' || s_nationkey % 3 || ' tries'), '[^a-z0-9]+'), lambda x: length(x) >= 3)) AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.kind = b.kind AND (a.at, a.id) < (b.at, b.id) AND len(list_intersect(a.t, b.t)) >= 0.5 * len(list_distinct(list_concat(a.t, b.t)))),
+n AS (SELECT p.id, kind, row_number() OVER (PARTITION BY kind ORDER BY p.at, p.id) AS i, coalesce(list(e.a) FILTER (WHERE e.a IS NOT NULL), []) AS near FROM p LEFT JOIN e ON e.b = p.id GROUP BY p.id, kind, p.at),
+{GREEDY_SQL}
+SELECT x.id AS id, g.kind AS kind, n.id AS cluster FROM g JOIN n ON n.kind = g.kind AND n.i = x.c""")
+def greedy_clusters_of_two_kinds(spark, d):
+    """First-fit clusters, the oldest first: of skills and hooks, by the words of name, description and triggers."""
+    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    key = F.col("s_suppkey")
+    drafts = rows.select(
+        key.cast("string").alias("id"), F.when(key % 2 == 0, "skill").otherwise("hook").alias("kind"), F.lpad((key * 7919 % 1000).cast("string"), 4, "0").alias("at"), F.concat(F.lit("of "), "n_name").alias("name"),
+        F.col("s_name").alias("description"), F.array((F.col("s_nationkey") % 3).cast("string"), F.lit("tries")).alias("should_trigger"),
+    )
+    tokens = drafts.select("id", "kind", "at", similar.routing_tokens("name", "description", "should_trigger").alias("tokens"))
+    return similar.greedy_clusters(tokens, similar.similar_pairs(tokens, "id", "kind", "tokens", 0.5), "id", "kind", order=("at",))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT {PROPOSAL_ID} AS id, created_at FROM ({PROPOSED})), k AS (SELECT id FROM p ORDER BY created_at DESC, id DESC LIMIT 40)
+SELECT 'of format 9' AS record, count(*) AS records FROM part WHERE p_partkey % 10 = 9 UNION ALL SELECT 'broken', count(*) FROM part WHERE p_partkey % 10 = 8 UNION ALL SELECT 'proposal', count(*) FROM k""")
+def proposals_kept_unread(spark, d):
+    """Records that can't be read here, in files of their own and beside others, are still there after proposals have been stored and pruned."""
+    rows = table(spark, d, "part")
+    k = F.col("p_partkey")
+    drafts = _drafts(spark, d).withColumn("id", stores.proposal_id()).dropDuplicates(["id"])
+    known = drafts.select(F.to_json(F.struct(*drafts.columns)).alias("value"))
+    other = rows.where(k % 10 >= 8).select(F.when(k % 10 == 9, F.to_json(F.struct(F.concat(F.lit("new"), k.cast("string")).alias("id"), F.lit(9).alias("format")))).otherwise(F.concat(F.lit('{"format": 1, "id": "broken'), k.cast("string"))).alias("value"))
+    with _folder(spark) as folder:
+        known.unionByName(other).repartition(8).write.text(folder)
+        stores.put_proposals(spark, _drafts(spark, d), folder)
+        stores.prune_proposals(spark, folder, 40)
+        lines = spark.read.option("recursiveFileLookup", "true").text(folder)
+        of_kind = F.when(F.col("value").contains('"format":9'), "of format 9").when(F.col("value").contains('"id": "broken'), "broken").otherwise("proposal")
+        return cut(lines.select(of_kind.alias("record"), F.coalesce(F.get_json_object("value", "$.id"), "value").alias("id")).groupBy("record").agg(F.countDistinct("id").alias("records")))
+
+
 @query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'computed' ELSE 'reused' END AS source, CAST(floor(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS result FROM orders")
 def cached_runs(spark, d):
     """A second run over orders of which a fifth has changed: the others come from the store."""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import CLUSTER_THRESHOLD
+from ..functions.text import word_tokens
+from ..plans.session import cut, release
 
 #: Into how many parts the rows of a token are split.
 SALT = 4
@@ -40,32 +42,49 @@ def similar_pairs(rows: DataFrame, key: str, kind: str, tokens: str, least: floa
     return out.where(F.col("similarity") >= least).select(kind, F.col("_id").alias("a"), F.col("_id2").alias("b"), "similarity")
 
 
-def greedy_clusters(rows: DataFrame, pairs: DataFrame, key: str, kind: str) -> DataFrame:
-    """Clusters of rows in ascending key order: each joins the oldest cluster that holds a similar row, or opens one.
+def routing_tokens(name: Column | str, description: Column | str, triggers: Column | str | None = None) -> Column:
+    """The words by which proposals compete: of a name, a description and phrasings that should trigger it."""
+    said = [F.col(c) if isinstance(c, str) else c for c in (name, description)]
+    if triggers is not None:
+        said.append(F.array_join(F.col(triggers) if isinstance(triggers, str) else triggers, " "))
+    return word_tokens(F.concat_ws(" ", *said))
 
-    Clusters never merge later, so the order matters and a kind is folded in one task; what is
-    folded are keys and links of stored proposals, not their texts.
-    """
-    links = pairs.groupBy(F.col("b").alias(key)).agg(F.collect_list("a").alias("_near"))
-    joined = rows.select(key, kind).join(links, key, "left")
-
-    def fold(pdf):
-        pdf = pdf.sort_values(key)
-        of, opened = {}, {}
-        for row, near in zip(pdf[key], pdf["_near"], strict=True):
-            known = [of[x] for x in near if x in of] if near is not None else []
-            of[row] = min(known, key=opened.get) if known else row
-            opened.setdefault(of[row], len(opened))
-        return pdf.assign(cluster=pdf[key].map(of))[[key, kind, "cluster"]]
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return joined.groupBy(kind).applyInPandas(fold, f"{key} {kinds[key]}, {kind} {kinds[kind]}, cluster {kinds[key]}")
+def greedy_clusters(rows: DataFrame, pairs: DataFrame, key: str, kind: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Clusters of rows in ascending order (``order``, then key): each joins the oldest cluster that holds a similar row, or opens one.
 
-
-def merge_outcomes(clusters: DataFrame, passed: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """``kept`` for single rows, ``merged`` where the merged artifact passed, ``originals`` where it failed or there is none."""
+    A cluster's age is that of its first row. So the cluster of a row is the least row that can be
+    reached from it over links from later to earlier rows: the oldest of its earlier neighbours'
+    clusters, and so on. That needs no fold. Every row begins with itself, and each round takes the
+    least of its earlier neighbours' rows, and then the row that its row has; rounds end when
+    nothing changes. Rows that all link with one another take one round, chains as many as doublings
+    reach their ends; chains whose rows also link with dead ends may take one for each link.
+    Links and labels stay distributed, whatever a kind's size; ``pairs`` hold rows of one kind.
+    """
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("id"))
+    nodes = cut(rows.select(F.col(key).alias("_id"), F.col(kind).alias("_kind"), place.alias("_place")))
+    at = lambda end: nodes.select(F.col("_id").alias(end), F.col("_place").alias(f"_{end}"))
+    linked = pairs.select("a", "b").where("a <> b").join(at("a"), "a").join(at("b"), "b")
+    earlier = F.col("_a") < F.col("_b")
+    links = cut(linked.select(F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("_id"), F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("_near")).distinct())
+    labels = held = cut(nodes.select("_id", F.col("_place").alias("_least")))
+    while True:
+        of = lambda name: labels.select(F.col("_id").alias(name), F.col("_least").alias(f"_of{name}"))  # noqa: B023, E731
+        near = links.join(of("_near"), "_near").groupBy("_id").agg(F.min("_of_near").alias("_new"))
+        taken = labels.join(near, "_id", "left").select("_id", "_least", F.least("_least", "_new").alias("_new"))  # nulls are passed over
+        moved = taken.withColumn("_at", F.col("_new.id")).join(of("_at"), "_at").select("_id", F.least("_new", "_of_at").alias("_new"), "_least")
+        moved = cut(moved.select("_id", F.col("_new").alias("_least"), (F.col("_new") != F.col("_least")).alias("_moved")))
+        release(held)
+        labels, held = moved.drop("_moved"), moved
+        if moved.where("_moved").isEmpty():
+            break
+    return nodes.join(labels, "_id").select(F.col("_id").alias(key), F.col("_kind").alias(kind), F.col("_least.id").alias("cluster"))
+
+
+def merge_outcomes(clusters: DataFrame, passed: DataFrame, cluster: str = "cluster", missing: str = "originals") -> DataFrame:
+    """``kept`` for single rows, ``merged`` where the merged artifact passed, ``originals`` where it failed, and ``missing`` where there is none."""
     sizes = clusters.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
-    outcome = F.when(F.col("size") == 1, "kept").when(F.coalesce("passed", F.lit(False)), "merged").otherwise("originals")
+    outcome = F.when(F.col("size") == 1, "kept").when(F.col("passed"), "merged").when(F.col("passed").isNull(), missing).otherwise("originals")
     return sizes.join(passed, cluster, "left").select(cluster, "size", outcome.alias("outcome"))
 
 

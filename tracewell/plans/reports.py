@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import CLUSTER_THRESHOLD
-from ..functions.text import clipped, grouped_digits, padded, percent, word_tokens
+from ..functions.text import clipped, grouped_digits, padded, percent
 from ..operators import relate, similar
+from ..operators.artifacts import Artifact, score
 from ..sources import stores
 from ..sources.transcripts import read_events
 from . import scan
+from .session import cut
 
 PLAIN = "^file:/+"
 
@@ -46,14 +50,39 @@ def show(spark: SparkSession, path: str, prefix: str) -> str:
     return f"{r.name or r.id}: {r.kind}, {r.outcome}, composite {score}\n\n{r.md or ''}"
 
 
-def consolidation(spark: SparkSession, path: str, least: float = CLUSTER_THRESHOLD) -> DataFrame:
-    """Clusters of alike proposals of a kind, with what a merged one would say it came from. Nothing is merged here, so those of several stay originals."""
-    rows = stores.read_proposals(spark, path).select("id", "kind", F.coalesce("name", "id").alias("name"), "session_key", "created_at", "md")
-    tokens = rows.select("id", "kind", word_tokens(F.concat_ws(" ", "name", "md")).alias("tokens"))
-    clusters = similar.greedy_clusters(tokens, similar.similar_pairs(tokens, "id", "kind", "tokens", least), "id", "kind").join(rows.select("id", "name", "session_key", "created_at"), "id")
-    origin = similar.merged_provenance(clusters, "cluster", ["created_at", "id"], "name", "session_key")
-    outcomes = similar.merge_outcomes(clusters, clusters.select("cluster").distinct().withColumn("passed", F.lit(False)))
-    return outcomes.join(origin, "cluster").orderBy(F.desc("size"), "cluster")
+Merge = Callable[[DataFrame], DataFrame]
+
+
+def clustered(rows: DataFrame, least: float = CLUSTER_THRESHOLD) -> DataFrame:
+    """Stored proposals with ``cluster``, the id of its first one: alike in the words of name, description and triggers, of one kind, the oldest first."""
+    described = F.coalesce("description", Artifact.of("md").description())
+    tokens = rows.select("id", "kind", "created_at", similar.routing_tokens(F.coalesce("name", F.lit("")), described, F.coalesce("should_trigger", F.array().cast("array<string>"))).alias("tokens"))
+    clusters = similar.greedy_clusters(tokens, similar.similar_pairs(tokens, "id", "kind", "tokens", least), "id", "kind", order=("created_at",))
+    return rows.join(clusters.select("id", "cluster"), "id")
+
+
+def consolidation(spark: SparkSession, path: str, least: float = CLUSTER_THRESHOLD, merge: Merge | None = None, bar: float | None = None) -> DataFrame:
+    """Clusters of stored proposals, oldest first, what became of each and what a merged artifact says it came from.
+
+    ``merge`` gets the members of clusters of several (cluster, name, md, ...) and returns one
+    artifact for each that it could merge (cluster, md). It is scored, and replaces its originals
+    (``merged``) only if it passes the gate, whose bar can be set; otherwise they stay
+    (``originals``), as they do where nothing came back (``error``). Without ``merge`` nothing is
+    merged and all stay.
+    """
+    rows = cut(clustered(stores.read_proposals(spark, path).withColumn("name", F.coalesce("name", "id")), least))
+    origin = similar.merged_provenance(rows, "cluster", ["created_at", "id"], "name", "session_key")
+    begun = rows.groupBy("cluster").agg(F.min("created_at").alias("_begun"))
+    if merge is None:
+        scored, missing = rows.select("cluster").distinct().select("cluster", F.lit(None).cast("boolean").alias("passed"), F.lit(None).cast("double").alias("composite")), "originals"
+    else:
+        several = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("cluster")
+        made = merge(rows.join(several, "cluster")).select("cluster", "md").join(rows.select("cluster", "kind").distinct(), "cluster")
+        judged = [score(made.where(F.col("kind") == kind), "md", eval_set, kind=kind, threshold=bar) for kind, eval_set in (("skill", "default"), ("hook", "hook"))]
+        scored, missing = cut(judged[0].select("cluster", "passed", "composite").unionByName(judged[1].select("cluster", "passed", "composite"))), "error"
+    outcomes = similar.merge_outcomes(rows, scored.select("cluster", "passed"), missing=missing)
+    out = outcomes.join(origin, "cluster").join(begun, "cluster").join(scored.select("cluster", "composite"), "cluster", "left")
+    return out.orderBy("_begun", "cluster").drop("_begun")
 
 
 def listed(rows: DataFrame, columns: dict[str, int]) -> str:

@@ -24,6 +24,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*cuts: DataFrame) -> None:
+    """Delete the files of frames from ``cut`` that nothing reads any more."""
+    for df in cuts:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_by(df: DataFrame, key: str) -> DataFrame:
     """``cut`` of rows dealt by a key, of which Spark then knows how they are dealt: windows, aggregates and joins by the key need no exchange.
 
