@@ -133,7 +133,7 @@ def test_hook_scores(spark):
     df = rows(spark, [(1, HOOK), (2, HOOK.replace("$(cat)", "1")), (3, HOOK + "rm -rf \\\n /"), (4, HOOK + "\u200b"), (5, HOOK[1:])], "k int, sh string")
     got = {r.k: (r.composite, r.vetoed, r.passed) for r in artifacts.score(df, "sh", "hook", {"event": "PreToolUse", "matcher": "Bash", "known_events": ["PreToolUse"]}, kind="hook").collect()}
     assert got == {1: (1.0, False, True), 2: (0.85, False, False), 3: (0.6, True, False), 4: (1.0, True, False), 5: (0.85, False, False)}
-    assert artifacts.code_of("a # b\n'# c' \"#\" \\# d#e\n#x\nf \\\n  g") == "a\n'# c' \"#\" \\# d#e\nf  g"
+    assert spark.range(1).select(artifacts.code(F.lit("a # b\n'# c' \"#\" \\# d#e\n#x\nf \\\n  g"))).first()[0] == "a\n'# c' \"#\" \\# d#e\nf  g"
     checks = {n: artifacts.check(n, artifacts.Artifact.of("sh"), p) for n, p in (("unknown", {}), ("content_present", {"pattern": "("}), ("hook_pointer", {}), ("description_no_vague", {"forbidden": [42]}))}
     assert not any(df.select(*checks.values()).first())
 
@@ -274,3 +274,33 @@ def test_greedy_clusters_of_one_large_kind(spark):
     out = similar.greedy_clusters(rows, chains.unionByName(stars), "id", "kind")
     wrong = out.where(F.col("cluster") != F.when(F.col("id") < 50000, F.col("id") - F.col("id") % 500).otherwise(F.col("id") - F.col("id") % 1000))
     assert out.count() == n and wrong.isEmpty()
+
+
+def scanned(line):
+    """A shell line without its comment, sign by sign."""
+    quote, k = "", 0
+    while k < len(line):
+        sign = line[k]
+        if quote:
+            quote = "" if sign == quote else quote
+        elif sign == "\\":
+            k += 1
+        elif sign in "'\"":
+            quote = sign
+        elif sign == "#" and (k == 0 or line[k - 1] in " \t"):
+            return line[:k].rstrip()
+        k += 1
+    return line
+
+
+def test_comments_of_100_000_random_lines(spark):
+    import random
+
+    rnd = random.Random(11)
+    lines = ["".join(rnd.choice("ab#'\"\\ \t#é") for _ in range(rnd.randint(0, 14))) for _ in range(100_000)]
+    lines += ["x " * 50_000 + "'q' " * 50_000 + "# gone", "'" * 9 + " # kept", "\\", "# all"]
+    rows = spark.createDataFrame([(i, x, scanned(x)) for i, x in enumerate(lines)], "i int, line string, wanted string")
+    got = rows.select("i", "line", "wanted", artifacts.without_comment(F.col("line")).alias("got"))
+    assert got.where("got <> wanted").limit(3).collect() == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -175,3 +175,16 @@ def test_registry():
     with pytest.raises(ValueError, match="unknown format"):
         tr.read_events(None, "x", "nothing")
     assert tr.split_handle("a.db#b#c", lambda p: False) == ("a.db#b", "c") and tr.split_handle("a#b", lambda p: True) == ("a#b", None)
+
+
+def test_a_file_beyond_the_cap_is_never_opened(spark, tmp_path):
+    """One of 3 GiB, which no reader of whole files could hold, stands beside a small one."""
+    (tmp_path / "small.json").write_text('{"messages": [{"role": "user", "content": "é"}]}')
+    with (tmp_path / "large.json").open("wb") as f:
+        f.truncate(3 << 30)
+    rows = {r.path.rsplit("/", 1)[1]: (r.value, r.err) for r in tr.read_files(spark, str(tmp_path), "*.json").collect()}
+    assert rows == {"small.json": ('{"messages": [{"role": "user", "content": "é"}]}', None), "large.json": (None, "too_large")}
+    plan = tr.read_files(spark, str(tmp_path), "*.json")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length" in plan
+    events = tr.read_events(spark, str(tmp_path), "gemini").select("text", "err").collect()
+    assert sorted((r.text, r.err) for r in events if r.err is None) == [("é", None)] and [r.err for r in events if r.err] == ["too_large"]

@@ -1,8 +1,7 @@
 """Scoring of text artifacts: matchers, weighted dimensions, the gate and its veto.
 
-A matcher is a function from the artifact's parts and parameters to a boolean column. All but
-one are built-in expressions; stripping shell comments keeps track of quotes from one sign to
-the next, which needs an Arrow function.
+A matcher is a function from the artifact's parts and parameters to a boolean column, of built-in
+expressions alone.
 """
 
 from __future__ import annotations
@@ -11,10 +10,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import constants as C
 from ..functions.text import AFTER, base_name, col, filled, rounded_share, whole_words
@@ -237,42 +234,23 @@ def hook_no_format_chars(a: Artifact, p: dict) -> Column:
     return ~a.content.rlike(r"\p{Cf}") if p.get("kind") == "hook" else F.lit(True)
 
 
-def without_comment(line: str) -> str:
-    """A shell line without its trailing comment: a ``#`` outside quotes after white space or at the start."""
-    quote, k = "", 0
-    while k < len(line):
-        sign = line[k]
-        if quote:
-            quote = "" if sign == quote else quote
-        elif sign == "\\":
-            k += 1
-        elif sign in "'\"":
-            quote = sign
-        elif sign == "#" and (k == 0 or line[k - 1] in " \t"):
-            return line[:k].rstrip()
-        k += 1
-    return line
-
-
-def code_of(script: str | None) -> str | None:
-    """A script without comments, continued lines joined."""
-    if script is None:
-        return None
-    kept = [without_comment(x) for x in script.split("\n") if not x.strip().startswith("#")]
-    return re.sub(r"\\\n[ \t]*", " ", "\n".join(kept))
+#: What a shell line is made of where a ``#`` is no comment: an escaped sign, and quoted text, which may not end on its line. Then a comment.
+SHELL = r"""(?s)(\\.|'[^']*(?:'|\z)|"[^"]*(?:"|\z))|(?<![^ \t])#.*\z"""
+
 
+def without_comment(line: Column) -> Column:
+    """A shell line without its trailing comment, a ``#`` outside quotes after white space or at the start, and without the white space before that.
 
-@F.arrow_udf(StringType())
-def _quoted_code(scripts: pa.Array) -> pa.Array:
-    return pa.array([code_of(s) for s in scripts.to_pylist()], pa.string())
+    One pass of one alternation: what is quoted or escaped is put back, a comment isn't.
+    """
+    kept = F.regexp_replace(line, SHELL, "$1")
+    return F.when(F.length(kept) < F.length(line), F.regexp_replace(kept, r"(?U)\s+\z", "")).otherwise(line)
 
 
 def code(script: Column) -> Column:
-    """``code_of``: only scripts with a line that holds both a ``#`` and a quote or backslash need a scan sign by sign."""
-    tangled = script.rlike(r"""(?m)^(?=.*#)(?=.*['"\\])""")
-    kept = F.filter(_lines(script), lambda x: ~F.trim(x).startswith("#"))
-    plain = spliced(F.array_join(F.transform(kept, lambda x: F.when(x.rlike(r"(^|[ \t])#"), F.regexp_replace(x, r"\s*(?:(?<=^)|(?<=[ \t]))#.*$", "")).otherwise(x)), "\n"))
-    return F.coalesce(_quoted_code(F.when(tangled, script)), plain)
+    """A script without comments, continued lines joined."""
+    kept = F.filter(_lines(script), lambda x: ~x.rlike(r"(?U)^\s*#"))
+    return spliced(F.array_join(F.transform(kept, without_comment), "\n"))
 
 
 def hook_reads_stdin(a: Artifact, p: dict) -> Column:

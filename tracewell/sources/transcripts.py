@@ -141,11 +141,12 @@ def decoded(rows: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, glob: str, cap: int = FILE_CAP) -> DataFrame:
-    """Whole files as (path, value, err); larger ones than the cap are errors and aren't parsed."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-    rows = rows.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("_size"))
-    large = F.col("_size") > cap
-    return rows.select("path", F.when(~large, F.col("value")).alias("value"), F.when(large, "too_large").alias("err"))
+    """Whole files as (path, value, err). Larger ones than the cap are errors: a filter on the length keeps Spark from opening them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    files = files.withColumn("_path", F.col("_metadata.file_path"))
+    small = files.where(F.col("length") <= cap).select(F.col("_path").alias("path"), F.col("content").cast("string").alias("value"), none("string").alias("err"))
+    large = files.where(F.col("length") > cap).select(F.col("_path").alias("path"), none("string").alias("value"), F.lit("too_large").alias("err"))
+    return small.unionByName(large)
 
 
 def file_stamps(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
