@@ -149,3 +149,19 @@ def test_components_of_chains_and_stars(spark):
     rows = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(300, 299), (None, 5), (7, 7)]
     got = dict(components(spark.createDataFrame(rows, "a long, b long")).collect())
     assert all(got[i] == 0 for i in range(61)) and all(got[100 + i] == 100 for i in range(40)) and got[300] == 299
+
+
+@pytest.mark.parametrize("order", ["ascending", "least last", "zigzag", "random"])
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch, order):
+    from tracewell.llm import components as module
+
+    n = 4096
+    chain = {"ascending": list(range(n)), "least last": [*range(1, n), 0], "zigzag": [x for i in range(n // 2) for x in (i, n - 1 - i)], "random": [int(x) for x in np.random.default_rng(1).permutation(n)]}[order]
+    cuts = []
+    monkeypatch.setattr(module, "cut", lambda df, real=module.cut: cuts.append(real(df)) or cuts[-1])
+    out = components(spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long"))
+    assert out.count() == n and out.where("root <> 0").isEmpty() and len(cuts) - 1 <= 15
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = [df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get() for df in cuts]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert [path(f).getFileSystem(conf).exists(path(f)) for f in files] == [False] * (len(files) - 1) + [True]

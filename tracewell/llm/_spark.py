@@ -50,13 +50,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def release(spark: SparkSession, *cuts: DataFrame) -> None:
-    """Delete the files of frames from ``cut`` that nothing reads any more, and let Spark delete shuffled files that nothing refers to."""
+def forget(*cuts: DataFrame) -> None:
+    """Delete the files of frames from ``cut`` that nothing reads any more."""
     for df in cuts:
+        spark = df.sparkSession
         file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
         if file.isDefined():
             path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, *cuts: DataFrame) -> None:
+    """Delete the files of frames from ``cut`` that nothing reads any more, and let Spark delete shuffled files that nothing refers to."""
+    forget(*cuts)
     gc.collect()  # what Python doesn't hold any more, the JVM can let go
     spark._jvm.System.gc()
 
