@@ -13,6 +13,7 @@ from .catalogue_stores import _folder
 from .operators import loop, rank
 from .plans import packs, scan
 from .plans.session import cut, table
+from .sources import datasource
 from .sources import transcripts as tr
 
 _KIND = "CASE WHEN turn % 7 = 5 THEN 'undecodable' WHEN turn % 7 = 6 THEN 'not_an_object' END"
@@ -51,6 +52,32 @@ def read_capped_files(spark, d):
         return cut(tr.cline(tr.cline_rows(files)).select(F.regexp_extract("path", r"k=(\d+)", 1).cast("int").alias("k"), "err", "text"))
 
 
+@query("""SELECT CAST(conv_id AS VARCHAR) AS session, count(*) AS events, count(*) FILTER (WHERE role = 'user') AS users, CAST(sum(length(text)) AS BIGINT) AS chars, string_agg(role, ',' ORDER BY turn) AS roles
+FROM conversations GROUP BY conv_id""")
+def data_source_events(spark, d):
+    """Transcripts through the data source, long files in ranges of bytes."""
+    return _through_source(spark, d, None)
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS session, count(*) AS events, count(*) FILTER (WHERE role = 'user') AS users, CAST(sum(length(text)) AS BIGINT) AS chars, string_agg(role, ',' ORDER BY turn) AS roles
+FROM conversations WHERE conv_id % 7 IN (1, 4) GROUP BY conv_id""")
+def data_source_projects(spark, d):
+    """Transcripts of two projects: a filter on the file's folder, which reaches the source, so that no other file is opened."""
+    return _through_source(spark, d, F.col("project").isin("project=1", "project=4"))
+
+
+def _through_source(spark, d, only):
+    rows = table(spark, d, "conversations")
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message"), F.col("conv_id").cast("string").alias("sessionId")))
+    with _folder(spark) as folder:
+        lines = rows.select((F.col("conv_id") % 7).alias("project"), "conv_id", "turn", line.alias("value")).repartition("conv_id").sortWithinPartitions("project", "conv_id", "turn")
+        lines.select("project", "value").write.partitionBy("project").text(folder)
+        events = datasource.events(spark, folder, only=only, glob="*.txt", split=1 << 20)
+        roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "role"))), lambda x: x["role"]), ",")
+        out = events.groupBy(F.col("session_id").alias("session")).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("role") == "user").alias("users"), F.sum(F.length("text")).alias("chars"), roles.alias("roles"))
+        return cut(out)
+
+
 _SHAPE = "event_id % 6"
 
 
