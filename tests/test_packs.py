@@ -30,3 +30,31 @@ def test_scopes():
     assert (narrowed.root, narrowed.base, narrowed.narrowed) == ("/w/app", "/base/-w-app", True)
     lost = rank.resolve_scope("/base", "/w/other", exists=lambda p: p == "/w/other/.git")
     assert (lost.root, lost.reason) == ("/w/other", "unknown_cwd") and rank.resolve_scope("/base", "/w", everything=True) == rank.Scope()
+
+
+def test_rules_that_the_driver_decides():
+    from tracewell.operators import loop
+    from tracewell.plans import packs, scan
+    from tracewell.sources import transcripts as tr
+
+    assert [rank.split_limit(7, *x) for x in ((False, False), (True, False), (True, True))] == [(7, None), (None, 7), (7, None)]
+    assert [rank.clamp_limit(x) for x in (99, 0, None)] == [50, 1, 10] and [loop.clamp_rollouts(x) for x in (99, 0, None)] == [40, 1, 8]
+    there = {"/base/-w-app", "/w/app/.git", "/x/.git"}.__contains__
+    scopes = [rank.resolve_scope("/base", x, exists=there) for x in (None, "/w/app", "/w/app/lib/deep", "/x")]
+    assert [(s.root, s.narrowed, s.reason) for s in scopes] == [(None, False, None), ("/w/app", True, None), ("/w/app", True, None), ("/x", False, "unknown_cwd")]
+    assert rank.project_folder("/base/", "/w/my.app") == "/base/-w-my-app"
+    assert len(packs.faults({"name": "", "fingerprints": [{"type": "x", "commands": ["a"]}], "opportunities": [{"skill": "s", "when": "never"}], "globs": [1]})) == 4
+    assert [len(x) for x in scan.Pack(laws=tuple(range(20)), playbooks=tuple(range(20))).drafting()] == [12, 8]
+    assert tr.split_handle("a#b.db#s", lambda p: False) == ("a#b.db", "s")
+    with pytest.raises(ValueError, match="unknown format"):
+        tr.source("nothing")
+
+
+def test_whose_dimensions_judge():
+    from tracewell.functions import constants as C  # noqa: N812
+    from tracewell.operators import artifacts as A  # noqa: N812
+
+    own = [{"name": "a", "weight": 0.5, "checks": [{"type": "line_count", "target": 5}]}, {"name": "b", "checks": []}]
+    options = [([("x", 1.0, [])], {"mode": "vendored", "dimensions": own}), (None, {"mode": "vendored", "dimensions": own}), (None, {"mode": "vendored"}), (None, {"mode": "exec-in-place"}), (None, None)]
+    found = [(engine, len(C.EVAL_SETS[dims] if isinstance(dims, str) else dims)) for dims, engine in (A.route(*o) for o in options)]
+    assert found == [("native", 1), ("native", 2), ("native", 6), ("native:fallback", 6), ("native", 6)]

@@ -162,3 +162,47 @@ def test_session_stamps_of_a_cluster_need_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.shared_folder(Session())
+
+
+def test_stamps_of_many_files_do_not_depend_on_their_order(spark):
+    files = spark.createDataFrame([(f"f{k}", str(k)) for k in range(500)], "path string, stamp string")
+    assert tr.fingerprint(files) == tr.fingerprint(files.orderBy(F.desc("path")).repartition(7)) != tr.fingerprint(files.where("path <> 'f3'"))
+    assert tr.fingerprint(files.limit(0)).startswith("0:") and tr.fingerprint(files.union(files.limit(1))) != tr.fingerprint(files)
+
+
+def test_a_relational_store_is_read_by_ranges_with_conditions(spark, tmp_path):
+    """A database in this process: eight ranges, of numbers and of texts, and conditions that reach it."""
+    url, options = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    say = lambda k: json.dumps({"role": "user", "content": f"it's {k}"})
+    sessions = spark.createDataFrame([(k, f"s{k}", f"/p{k}", "claude" if k % 2 else "codex") for k in range(40)], "id int, session_id string, project_path string, provider string")
+    messages = spark.createDataFrame([(k, k % 40, "user", say(k), "u", None, None, 0, k) for k in range(800)], "id int, session_id int, type string, content string, uuid string, parent_uuid string, timestamp string, is_sidechain int, sequence int")
+    types = {"createTableColumnTypes": "session_id VARCHAR(20), project_path VARCHAR(20), provider VARCHAR(20)"}
+    sessions.coalesce(1).write.options(**types).jdbc(url, "sessions", properties=options)
+    messages.coalesce(1).write.jdbc(url, "messages", properties=options)
+    spark.createDataFrame([(f"m'{k:03d}", f"s{k % 3}", k, '{"role":"user"}') for k in range(90)], "id string, session_id string, time_created int, data string").coalesce(1).write.option("createTableColumnTypes", "id VARCHAR(20), session_id VARCHAR(20)").jdbc(url, "message", properties=options)
+    part = lambda k: json.dumps({"type": "text", "text": "x" * (2000 if k == 1 else 5)})
+    spark.createDataFrame([(f"p{k}", f"m'{k:03d}", k, part(k % 3)) for k in range(90)], "id string, message_id string, time_created int, data string").coalesce(1).write.option("createTableColumnTypes", "id VARCHAR(20), message_id VARCHAR(20)").jdbc(url, "part", properties=options)
+    rows = tr.relation(spark, url, "message", "id", 8, **options)
+    sizes = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert rows.count() == 90 and rows.rdd.getNumPartitions() == 8 == len(sizes) and max(r["count"] for r in sizes) <= 30
+    events = tr.read_store(spark, url, "index", parts=4, **options)
+    assert events.count() == 400 and events.where("text = 'it''s 41'").count() == 1
+    one = tr.read_store(spark, url, "index", session="s5", parts=4, **options)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == 20 and "EqualTo(provider,claude)" in plan and "EqualTo(session_id,s5)" in plan and "numPartitions=4" in plan
+    told = tr.read_store(spark, url, "opencode", parts=3, cap=1000, **options)
+    assert {(r.path, r.err): r["count"] for r in told.groupBy("path", "err").count().collect()} == {("s0", None): 30, ("s1", "too_large"): 1, ("s2", None): 30}
+    assert tr.ranges(rows.limit(0), "id", 4) == ["1 = 1"]
+
+
+def test_a_scope_on_another_file_system(spark, tmp_path):
+    from tracewell.operators import rank
+
+    (tmp_path / "-w-app").mkdir()
+    base = f"file://{tmp_path}"
+    exists = rank.folder_exists(spark, local=lambda p: p == "/w/other/.git")
+    assert rank.resolve_scope(base, "/w/app/src", exists=exists) == rank.Scope("/w/app", True, f"{base}/-w-app")
+    assert rank.resolve_scope(base, "/w/other/src", exists=exists).reason == "unknown_cwd"
+    (tmp_path / "-w-file").write_text("no folder")
+    assert not exists(f"{base}/-w-file")
+    assert spark.range(1).select(rank.project_folder_of("/base/", F.lit("/w/my.app"))).first()[0] == rank.project_folder("/base/", "/w/my.app")

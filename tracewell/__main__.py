@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from .operators.rank import Scope, resolve_scope
+from .operators.rank import Scope, folder_exists, resolve_scope
 from .plans import reports, scan
 from .plans.packs import read_pack
 from .plans.session import build_session
@@ -60,7 +60,7 @@ def main(args: list[str] | None = None) -> None:
     if a.verb in ("scan", "feedback"):
         pack = scan.PACKS[a.pack] if a.pack in scan.PACKS else read_pack(a.pack)
     if a.verb == "scan":
-        scope = resolve_scope(a.path, a.project) if a.project else Scope()
+        scope = resolve_scope(a.path, a.project, exists=folder_exists(spark)) if a.project else Scope()
         rows = scan.scan(read_events(spark, scope.base or a.path, a.format), scan.Options(pack, scope, a.min_messages, a.rank_by, not a.no_dedupe, a.limit))
         if a.json:
             for row in scan.as_json(rows).toLocalIterator():

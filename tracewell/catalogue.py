@@ -351,11 +351,11 @@ def prune_all_but_newest(spark, d):
 
 def _stamps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     current = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("stamp"))
-    stored = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("key"), F.col("l_shipdate").alias("at"))
+    stored = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_shipdate").alias("at"))
     return current, stored.join(current, "key").select("key", F.when(F.col("at") > F.col("stamp"), F.col("stamp")).otherwise(F.col("at")).alias("stamp"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS key, least(l_shipdate, o_orderdate) AS stamp FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1)
+@query("""WITH s AS (SELECT l_orderkey AS key, least(l_shipdate, o_orderdate) AS stamp FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT o_orderkey AS key, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.key = o_orderkey AND s.stamp = o_orderdate) THEN 'reused' ELSE 'computed' END AS source FROM orders""")
 def cache_semi_anti(spark, d):
     reused, fresh = relate.cache_split(*_stamps(spark, d), ["key", "stamp"])
@@ -547,9 +547,9 @@ def excerpts(spark, d):
     return table(spark, d, "documents").select("doc_id", T.excerpt("text").alias("excerpt"))
 
 
-@query("SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_extract(url, '^(.*)/[^/]*$', 1) AS dir, substr(url, 1, 8) AS short FROM pages WHERE NOT ends_with(url, '/')")
+@query("SELECT page_id, regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) AS base, regexp_extract(rtrim(url, '/'), '^(.*)/[^/]*$', 1) AS dir, substr(url, 1, 8) AS short FROM pages")
 def path_parts(spark, d):
-    rows = table(spark, d, "pages").where(~F.col("url").endswith("/"))
+    rows = table(spark, d, "pages")
     return rows.select("page_id", T.base_name("url").alias("base"), T.dir_name("url").alias("dir"), F.substring("url", 1, 8).alias("short"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .catalogue import query
 from .functions import constants as C
 from .operators import artifacts as A
-from .operators import loop
+from .operators import edits, loop, rank
 from .plans.session import spread, table
 
 #: A flag of a part, as SQL and as a column.
@@ -153,13 +153,56 @@ def structural_floor(spark, d):
     return rows.select("p_partkey", "kind", loop.sound(content, F.col("kind")).alias("sound"))
 
 
-@query("SELECT route, engine, dims FROM (VALUES ('explicit', 'native', 1), ('vendored', 'native', 2), ('vendored without', 'native', 6), ('outside', 'native:fallback', 6), ('default', 'native', 6)) t(route, engine, dims)")
+@query("""SELECT p_partkey, r AS route, CASE r WHEN 'outside' THEN 'native:fallback' ELSE 'native' END AS engine, CASE r WHEN 'explicit' THEN 1 WHEN 'vendored' THEN 2 ELSE 6 END AS dims,
+  CASE r WHEN 'explicit' THEN CAST(p_size + 1 <= 30 AS DOUBLE) WHEN 'vendored' THEN (CAST(p_size + 1 <= 20 AS INTEGER) + 1) / 2 END AS composite
+FROM (SELECT *, unnest(['explicit', 'vendored', 'outside', 'default']) AS r FROM part)""")
 def eval_routes(spark, d):
-    """Whose dimensions judge, and what the engine is called."""
-    own = [{"name": "a", "weight": 0.5, "checks": [{"type": "line_count", "target": 5}]}, {"name": "b", "checks": []}]
-    options = {"explicit": ([("x", 1.0, [])], {"mode": "vendored", "dimensions": own}), "vendored": (None, {"mode": "vendored", "dimensions": own}), "vendored without": (None, {"mode": "vendored"}), "outside": (None, {"mode": "exec-in-place"}), "default": (None, None)}
-    found = {k: A.route(*v) for k, v in options.items()}
-    return spark.createDataFrame([(k, engine, len(C.EVAL_SETS[dims] if isinstance(dims, str) else dims)) for k, (dims, engine) in found.items()], "route string, engine string, dims int")
+    """Whose dimensions judge an artifact, what the engine is called, and what the dimensions that are given say."""
+    own = [{"name": "a", "weight": 0.5, "checks": [{"type": "line_count", "target": 20, "tolerance": 0}]}, {"name": "b", "weight": 0.5, "checks": []}]
+    options = {"explicit": ([("x", 1.0, [("line_count", {"target": 30, "tolerance": 0})])], {"mode": "vendored", "dimensions": own}), "vendored": (None, {"mode": "vendored", "dimensions": own}), "outside": (None, {"mode": "exec-in-place"}), "default": (None, None)}
+    rows = table(spark, d, "part").select("p_partkey", F.repeat(F.lit("x\n"), F.col("p_size")).alias("md"))
+    out = None
+    for name, given in options.items():
+        dims, engine = A.route(*given)
+        score = A.score(rows, "md", dims).select("p_partkey", F.col("composite").alias("composite")) if given != (None, None) and name != "outside" else rows.select("p_partkey", F.lit(None).cast("double").alias("composite"))
+        one = score.select("p_partkey", F.lit(name).alias("route"), F.lit(engine).alias("engine"), F.lit(len(C.EVAL_SETS[dims] if isinstance(dims, str) else dims)).alias("dims"), "composite")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT doc_id, sha256(coalesce(text, '')) AS old, sha256(coalesce(lead(text) OVER (ORDER BY doc_id), '')) AS new FROM documents""")
+def diff_round_trip(spark, d):
+    """Line diffs of each document with the next, whole texts: both texts are read back from the script."""
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    ranked = rank.numbered(rows.select("doc_id"), ["doc_id"])[0].select("doc_id", F.col("row").alias("_n"))
+    nexts = ranked.select((F.col("_n") - 1).alias("_n"), F.col("doc_id").alias("_next"))
+    pairs = ranked.join(nexts, "_n", "left").join(rows, "doc_id").join(rows.select(F.col("doc_id").alias("_next"), F.col("text").alias("_text")), "_next", "left")
+    diff = edits.line_diff(pairs, "doc_id", "text", "_text")
+    side = lambda gone: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op") != gone, F.struct("pos", "line")))), lambda x: x["line"]), "\n").cast("binary"), 256)
+    return diff.groupBy("doc_id").agg(side("ins").alias("old"), side("del").alias("new"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size AS n, p_partkey % p_size + 1 AS c FROM part),
+l AS (SELECT p_partkey, n, c, i, CASE WHEN i < c THEN c - 1 ELSE n - c END AS run, CASE WHEN i < c THEN i ELSE i - c END AS place FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM p)),
+k AS (SELECT p_partkey, i, 0 AS j, CASE WHEN i = c THEN '- line ' || i WHEN run > 7 AND place = 4 THEN '  ⋯ ' || (run - 6) || CASE WHEN run = 7 THEN ' unchanged line' ELSE ' unchanged lines' END ELSE '  line ' || i END AS t
+  FROM l WHERE i = c OR run <= 7 OR place <= 4 OR place > run - 3 UNION ALL SELECT p_partkey, c, 1, '+ changed' FROM p)
+SELECT p_partkey, string_agg(t, chr(10) ORDER BY i, j) AS told FROM k GROUP BY p_partkey""")
+def diff_collapsed(spark, d):
+    """An artifact of which a line has changed: the diff, with what is far from the change collapsed."""
+    rows = table(spark, d, "part").select("p_partkey", F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: F.concat(F.lit("line "), i.cast("string"))).alias("lines"), (F.col("p_partkey") % F.col("p_size")).cast("int").alias("c"))
+    rows = rows.select("p_partkey", F.array_join("lines", "\n").alias("old"), F.array_join(F.transform("lines", lambda x, i: F.when(i == F.col("c"), "changed").otherwise(x)), "\n").alias("new"))
+    return edits.told(edits.collapsed(edits.line_diff(rows, "p_partkey", "old", "new"), "p_partkey"), "p_partkey").withColumnRenamed("text", "told")
+
+
+@query("""WITH b AS (SELECT p_partkey, p_brand AS body, CASE p_partkey % 3 WHEN 0 THEN '' ELSE '# ' || p_name END AS text, '<!-- TRACEWELL:BEGIN sha256:' || substr(sha256(p_brand), 1, 12) || ' -->' || chr(10) || p_brand || chr(10) || '<!-- TRACEWELL:END -->' AS block FROM part)
+SELECT p_partkey, CASE WHEN text = '' THEN block ELSE rtrim(text) || chr(10) || chr(10) || block END || chr(10) AS file, p_partkey % 4 = 1 AS tampered, p_partkey % 4 <> 1 AS in_sync, true AS mended FROM b""")
+def managed_blocks(spark, d):
+    """Blocks put into files of someone else, some changed there by hand, and put in order again."""
+    rows = table(spark, d, "part")
+    text = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("# "), "p_name"))
+    rows = rows.select("p_partkey", "p_brand", edits.upserted(text, F.concat(F.lit(" "), "p_brand", F.lit("\n"))).alias("file"))
+    rows = rows.withColumn("found", F.when(F.col("p_partkey") % 4 == 1, F.regexp_replace("file", r"(sha256:[0-9a-f]+ -->\n)", "$1by hand: ")).otherwise(F.col("file")))
+    return rows.select("p_partkey", "file", edits.tampered("found").alias("tampered"), edits.in_sync("found", "p_brand").alias("in_sync"), (edits.upserted("found", "p_brand") == F.col("file")).alias("mended"))
 
 
 @query("""SELECT p_partkey, 'Sort The ' || upper(substr(p_brand, 1, 1)) || lower(substr(p_brand, 2)) AS titled, 'a ` b' AS fenced, p_name || ' ''x''' AS quoted, '**' || p_brand || '**: do ' || p_size AS bold, CASE WHEN length(p_type) <= 6 THEN p_type ELSE substr(p_type, 1, 5) || '…' END AS clipped,

@@ -1,4 +1,4 @@
-"""Queries over readers of files, over further shapes of the dialects, and over rules that the driver decides.
+"""Queries over readers of files, over further shapes of the dialects, over scopes and JSON.
 
 Transcripts are written from the tables to the session's shared folder and read by path, as a scan does.
 """
@@ -11,7 +11,7 @@ from .catalogue import _called, _files, _lines, _summed, _tool, query
 from .catalogue_scan import FACTS_SQL, facts
 from .catalogue_stores import _folder
 from .operators import loop, rank
-from .plans import packs, scan
+from .plans import scan, shapes
 from .plans.session import cut, table
 from .sources import datasource
 from .sources import transcripts as tr
@@ -131,28 +131,62 @@ def pinned_fixtures(spark, d):
     return loop.pinned(rows, seeds, "source", ["fixtures"]).select("doc_id", "own", "fixtures")
 
 
-RULES = [
-    ("limit of a scan", "(7, None)"), ("limit of a project without narrowing", "(None, 7)"), ("limit of a narrowed project", "(7, None)"), ("clamped", "50 1 10"), ("rollouts", "40 1 8"),
-    ("scope of all", "None False None"), ("scope of a project", "/w/app True None"), ("scope within a project", "/w/app True None"), ("scope of an unknown folder", "/x False unknown_cwd"), ("folder of a project", "/base/-w-my-app"),
-    ("faults of a pack", "4"), ("laws and playbooks of a draft", "12 8"), ("handle of a store", "('a#b.db', 's')"), ("unknown format", "ValueError"),
-]
-
-
-@query("SELECT rule, result FROM (VALUES " + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in r)) for r in RULES) + ") t(rule, result)")
-def driver_rules(spark, d):
-    """What the driver decides before a plan is made."""
-    there = {"/base/-w-app", "/w/app/.git", "/x/.git"}.__contains__
-    scopes = [rank.resolve_scope("/base", *a, exists=there) for a in ((None,), ("/w/app",), ("/w/app/lib/deep",), ("/x",))]
-    told = lambda s: f"{s.root} {s.narrowed} {s.reason}"
-    wrong = packs.faults({"name": "", "fingerprints": [{"type": "x", "commands": ["a"]}], "opportunities": [{"skill": "s", "when": "never"}], "globs": [1]})
-    pack = scan.Pack(laws=tuple(range(20)), playbooks=tuple(range(20)))
-    try:
-        tr.source("nothing")
-        unknown = "known"
-    except ValueError as e:
-        unknown = type(e).__name__
-    results = [
-        rank.split_limit(7, False, False), rank.split_limit(7, True, False), rank.split_limit(7, True, True), "{} {} {}".format(*(rank.clamp_limit(x) for x in (99, 0, None))), "{} {} {}".format(*(loop.clamp_rollouts(x) for x in (99, 0, None))),
-        *map(told, scopes), rank.project_folder("/base/", "/w/my.app"), len(wrong), "{} {}".format(*map(len, pack.drafting())), tr.split_handle("a#b.db#s", lambda p: False), unknown,
-    ]
-    return spark.createDataFrame([(rule, str(x)) for (rule, _), x in zip(RULES, results, strict=True)], "rule string, result string")
+def _scoped(spark, d, folder: str):
+    """Transcripts in a folder for each project, as agents name them, and the events of the project that a scope resolves to."""
+    rows = table(spark, d, "conversations")
+    cwd = F.concat(F.lit("/w/my.app"), (F.col("conv_id") % 5).cast("string"))
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message"), F.col("conv_id").cast("string").alias("sessionId"), cwd.alias("cwd")))
+    named = F.substring_index(rank.project_folder_of("", cwd), "/", -1)
+    rows.select(named.alias("p"), "conv_id", "turn", line.alias("value")).repartition("conv_id").sortWithinPartitions("p", "conv_id", "turn").select("p", "value").write.partitionBy("p").text(folder)
+    fs = spark._jvm.org.apache.hadoop.fs
+    files = fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.globStatus(fs.Path(f"{folder}/p=*")):  # five folders
+        files.rename(status.getPath(), fs.Path(status.getPath().toString().replace("p=", "")))
+
+
+@query("""SELECT 'of the project' AS scope, '/w/my.app3' AS root, count(DISTINCT conv_id) AS sessions, count(*) AS events FROM conversations WHERE conv_id % 5 = 3 UNION ALL
+SELECT 'within the project', '/w/my.app3', count(DISTINCT conv_id), count(*) FROM conversations WHERE conv_id % 5 = 3 UNION ALL
+SELECT 'all', NULL, count(DISTINCT conv_id), count(*) FROM conversations UNION ALL SELECT 'unknown', '/x', 0, 0""")
+def scoped_events(spark, d):
+    """The events that a scope covers: only the folder of the project is listed; an unknown project's sessions are looked for by their working directory."""
+    with _folder(spark) as folder:
+        base = f"{folder}/logs"
+        _scoped(spark, d, base)
+        exists = rank.folder_exists(spark, local=lambda p: p == "/x/.git")
+        found = []
+        for name, cwd in (("of the project", "/w/my.app3"), ("within the project", "/w/my.app3/lib/deep"), ("all", None), ("unknown", "/x")):
+            scope = rank.resolve_scope(base if "://" in base or base.startswith("file:") else f"file:{base}", cwd, exists=exists)
+            events = datasource.events(spark, scope.base or base, glob="*.txt")
+            kept = events.where(scope.member("cwd"))
+            found.append(kept.agg(F.countDistinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("events")).select(F.lit(name).alias("scope"), F.lit(scope.root).cast("string").alias("root"), "sessions", "events"))
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return cut(out)
+
+
+@query("""SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'store#' || user_id ELSE 'store' END AS path, CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 3 = 1 THEN CAST(user_id AS VARCHAR) ELSE '' END AS session,
+  least(greatest(user_id % 90 - 10, 1), 50) AS most FROM (SELECT DISTINCT user_id FROM events)""")
+def handles_and_limits(spark, d):
+    """Handles of stores and of files, and limits as they are asked for: what a handle names, and what a limit is allowed to be."""
+    users = table(spark, d, "events").select("user_id").distinct()
+    handle = F.concat(F.lit("store#"), F.when(F.col("user_id") % 3 == 2, "").otherwise(F.col("user_id").cast("string")))
+    name = tr.handle_parts(handle, F.col("user_id") % 3 == 0)
+    return users.select("user_id", name["path"].alias("path"), name["session"].alias("session"), rank.clamped(F.col("user_id") % 90 - 10).cast("long").alias("most"))
+
+
+@query("""SELECT n_nationkey AS k, 'skill' || n_nationkey AS name, n_nationkey % 2 = 0 AS installed, 's' || n_nationkey AS source, n_nationkey % 10 AS composite, '# ' || n_name AS md, n_name AS feedback_skill, n_nationkey * 3 AS used FROM nation""")
+def json_shapes(spark, d):
+    """The JSON of proposals, of a shown one and of feedback, read again."""
+    rows = table(spark, d, "nation")
+    k = F.col("n_nationkey")
+    stored = rows.select(
+        k.cast("string").alias("id"), F.concat(F.lit("skill"), k.cast("string")).alias("name"), F.lit("proposed").alias("outcome"), F.lit(None).cast("string").alias("adapter"), F.lit("2026-01-01").alias("created_at"), F.array(F.concat(F.lit("s"), k.cast("string"))).alias("source_sessions"),
+        (k % 2 == 0).alias("installed"), F.struct((k % 10).cast("double").alias("composite"), F.lit(None).cast("map<string,double>").alias("dimensions")).alias("eval"), F.concat(F.lit("# "), "n_name").alias("md"),
+    )
+    report = rows.select(F.col("n_name").alias("skill"), k.alias("sessions"), (k * 3).alias("used"), F.lit(0.5).alias("usage_rate"), F.lit(None).cast("double").alias("friction_with"), F.lit(1.0).alias("friction_without"), F.concat(F.lit("v"), k.cast("string")).alias("verdict"))
+    get = lambda path, kind: F.try_variant_get(F.parse_json("json"), path, kind)
+    null = lambda path: F.is_variant_null(get(path, "variant"))
+    shown = shapes.proposals(stored, whole=True).where(null("$.adapter") & null("$.eval.engine")).select(get("$.id", "long").alias("k"), get("$.name", "string").alias("name"), get("$.installed", "boolean").alias("installed"), get("$.source_sessions[0]", "string").alias("source"), get("$.eval.composite", "long").alias("composite"), get("$.md", "string").alias("md"))
+    told = shapes.feedback(report).where(null("$.installed_at") & null("$.friction_with")).select(F.substring(get("$.verdict", "string"), 2, 9).cast("long").alias("k"), get("$.skill", "string").alias("feedback_skill"), get("$.sessions_used", "long").alias("used"))
+    return shown.join(told, "k")

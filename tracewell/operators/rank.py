@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import cut
@@ -108,6 +108,11 @@ def clamp_limit(limit: int | None, least: int = 1, most: int = 50, default: int
     return default if limit is None else max(least, min(most, int(limit)))
 
 
+def clamped(limit: Column, least: int = 1, most: int = 50, default: int = 10) -> Column:
+    """``clamp_limit`` of a column."""
+    return F.when(limit.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), limit)))
+
+
 def facets(rows: DataFrame, **wanted: str | None) -> DataFrame:
     """Rows whose columns have the wanted values; None wants anything."""
     for name, value in wanted.items():
@@ -141,8 +146,26 @@ def project_folder(base: str, cwd: str) -> str:
     return f"{base.rstrip('/')}/{re.sub('[^A-Za-z0-9]', '-', os.path.abspath(os.path.expanduser(cwd)))}"
 
 
+def project_folder_of(base: str, cwd: Column | str) -> Column:
+    """``project_folder`` of a column of absolute paths."""
+    return F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(F.col(cwd) if isinstance(cwd, str) else cwd, "[^A-Za-z0-9]", "-"))
+
+
+def folder_exists(spark: SparkSession, local=os.path.isdir):
+    """Whether a folder is there, on the file system that its path names. Working directories, without a scheme, are on this machine; their transcripts may be anywhere."""
+
+    def exists(path: str) -> bool:
+        if "://" not in path and not path.startswith("file:"):
+            return local(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return files.exists(folder) and files.getFileStatus(folder).isDirectory()
+
+    return exists
+
+
 def resolve_scope(base: str, cwd: str | None, everything: bool = False, exists=os.path.isdir) -> Scope:
-    """The project of ``cwd``: the nearest folder, up to the repository's root, that has transcripts."""
+    """The project of ``cwd``: the nearest folder, up to the repository's root, that has transcripts. Where these lie elsewhere than on this disk, ``exists`` is ``folder_exists``."""
     if everything or not cwd:
         return Scope()
     here = os.path.abspath(os.path.expanduser(cwd))

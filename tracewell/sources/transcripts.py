@@ -335,7 +335,8 @@ def opencode(messages: DataFrame, parts: DataFrame) -> DataFrame:
     each = parts.groupBy("message_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("time_created", "id", "data"))), lambda x: F.try_parse_json(x["data"])).alias("_parts"))
     rows = messages.join(each, messages["id"] == each["message_id"], "left")
     order = Window.partitionBy("session_id").orderBy("time_created", "id")
-    rows = rows.select(F.col("session_id").alias("path"), F.row_number().over(order).cast("long").alias("seq"), text_at(F.try_parse_json("data"), "$.role").alias("_role"), "_parts", none("string").alias("err"))
+    err = F.col("err") if "err" in messages.columns else none("string")
+    rows = rows.select(F.col("session_id").alias("path"), F.row_number().over(order).cast("long").alias("seq"), text_at(F.try_parse_json("data"), "$.role").alias("_role"), "_parts", err.alias("err"))
     blocks, role = F.filter("_parts", is_object), F.col("_role")
     of = lambda *t: F.filter(blocks, lambda b: F.coalesce(text_at(b, "$.type").isin(*t), F.lit(False)))
 
@@ -395,16 +396,63 @@ def distinct_in_order(column: str, order: list[str]) -> Column:
 Reader = Callable[..., DataFrame]
 
 
-def relation(spark: SparkSession, path: str, name: str, **options: str) -> DataFrame:
-    """A table of a relational store: by JDBC, where filters and columns reach the database, or from an export (Parquet, else JSON lines)."""
+def _literal(value: object) -> str:
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+def ranges(keys: DataFrame, key: str, parts: int, quoted: str | None = None) -> list[str]:
+    """SQL conditions that deal rows to about equal ranges of a key, of any type that can be ordered: the bounds are those by which Spark would deal the keys."""
+    dealt = keys.select(F.col(key).alias("k")).where("k IS NOT NULL").repartitionByRange(parts, "k")
+    bounds = sorted(r.k for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.max("k").alias("k")).collect())[:-1]
+    if not bounds:
+        return ["1 = 1"]
+    said, key = [_literal(b) for b in bounds], quoted or key
+    middle = [f"{key} > {a} AND {key} <= {b}" for a, b in zip(said, said[1:])]
+    return [f"{key} <= {said[0]} OR {key} IS NULL", *middle, f"{key} > {said[-1]}"]
+
+
+def relation(spark: SparkSession, path: str, name: str, key: str | None = None, parts: int = 1, **options: str) -> DataFrame:
+    """A table of a relational store: by JDBC, where filters and columns reach the database, or from an export (Parquet, else JSON lines).
+
+    By JDBC and with ``parts``, ranges of ``key`` are read by a task each; only keys are read to find them.
+    """
     if path.startswith("jdbc:"):
-        return spark.read.format("jdbc").options(url=path, dbtable=name, **options).load()
+        whole = spark.read.format("jdbc").options(url=path, dbtable=name, **options).load()
+        if parts <= 1 or key is None:
+            return whole
+        quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(path).quoteIdentifier(key)
+        return spark.read.jdbc(path, name, predicates=ranges(whole.select(key), key, parts, quoted), properties=options)
     file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.parquet")
     if file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file):
         return spark.read.parquet(f"{path}/{name}.parquet")
     return spark.read.json(f"{path}/{name}.json*")
 
 
+def capped(messages: DataFrame, parts: DataFrame, cap: int = FILE_CAP) -> tuple[DataFrame, DataFrame]:
+    """Messages and parts of sessions whose parts have at most ``cap`` bytes, and of larger ones the first message alone, without parts, with ``err``."""
+    sizes = parts.join(messages.select(F.col("id").alias("message_id"), F.col("session_id").alias("_s")), "message_id").groupBy("_s").agg(F.sum(F.octet_length("data")).alias("_bytes"))
+    large = sizes.where(F.col("_bytes") > cap).select(F.col("_s").alias("session_id"), F.lit(True).alias("_large"))
+    marked = messages.join(large, "session_id", "left").withColumn("_large", F.coalesce("_large", F.lit(False)))
+    first = F.row_number().over(Window.partitionBy("session_id").orderBy("time_created", "id")) == 1
+    kept = marked.withColumn("_first", first).where(~F.col("_large") | F.col("_first"))
+    out = kept.select(*messages.columns, F.when(F.col("_large"), "too_large").alias("err"))
+    return out, parts.join(out.where("err IS NULL").select(F.col("id").alias("message_id")), "message_id", "left_semi")
+
+
+def read_store(spark: SparkSession, path: str, fmt: str = "opencode", session: str | None = None, parts: int = 1, provider: str = "claude", cap: int = FILE_CAP, **options: str) -> DataFrame:
+    """Events of a relational store, of all its sessions or one: conditions on session and provider reach the database, and tables are read by ranges of their keys."""
+    of = lambda df, c: df if session is None else df.where(F.col(c) == session)
+    if fmt == "opencode":
+        messages = of(relation(spark, path, "message", "id", parts, **options), "session_id")
+        every = relation(spark, path, "part", "message_id", parts, **options)
+        every = of(every, "session_id") if "session_id" in every.columns else every
+        return opencode(*capped(messages, every, cap))
+    if fmt != "index":
+        raise ValueError(f"no relational store of format {fmt!r}")
+    sessions = of(relation(spark, path, "sessions", "id", parts, **options).where(F.col("provider") == provider), "session_id")
+    return claude(session_index(sessions, relation(spark, path, "messages", "session_id", parts, **options), provider))
+
+
 @dataclass(frozen=True)
 class Source:
     """A kind of transcripts: how its events are read, how its handles are found, and what says that one has changed."""
@@ -432,12 +480,17 @@ def _in_store(parse: Reader, name: str, key: str, label: str) -> Source:
     return Source(parse, lambda spark, path: handles(spark, path).select("handle", "label"), stamps)
 
 
+def fingerprint(files: DataFrame) -> str:
+    """One text for the stamps of any number of files, in whatever order: their number and what their hashes come to, added up in parts."""
+    h = lambda k: F.xxhash64(F.lit(k), "path", "stamp")
+    r = files.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(h(1)), F.lit(0)), F.coalesce(F.bit_xor(h(2)), F.lit(0))).first()
+    return "{}:{:016x}{:016x}".format(r[0], *(x & (1 << 64) - 1 for x in r[1:]))
+
+
 def store_stamps(handles: DataFrame, files: DataFrame | None) -> DataFrame:
-    """(handle, stamp) of a store's sessions: the stamps of all its files, also of what it has not yet merged into its main one (``-wal``), and the session's id."""
-    if files is None:
-        return handles.select("handle", F.concat(F.lit("|"), "_id").alias("stamp"))
-    whole = files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "stamp"))), lambda x: x["stamp"]), "|").alias("_stamps"))  # one row
-    return handles.join(F.broadcast(whole)).select("handle", F.concat("_stamps", F.lit("|"), "_id").alias("stamp"))
+    """(handle, stamp) of a store's sessions: the fingerprint of all its files, also of what it has not yet merged into its main one (``-wal``), and the session's id."""
+    whole = "" if files is None else fingerprint(files)
+    return handles.select("handle", F.concat(F.lit(f"{whole}|"), "_id").alias("stamp"))
 
 
 FORMATS: dict[str, Source] = {
@@ -445,8 +498,8 @@ FORMATS: dict[str, Source] = {
     "codex": _in_files(lambda spark, path: codex(read_lines(spark, path)), "*.jsonl"),
     "cline": _in_files(lambda spark, path: cline(cline_files(spark, path)), "api_conversation_history.json"),
     "gemini": _in_files(lambda spark, path: gemini(gemini_files(spark, path)), "*.json*"),
-    "opencode": _in_store(lambda spark, path: opencode(relation(spark, path, "message"), relation(spark, path, "part")), "session", "id", "directory"),
-    "index": _in_store(lambda spark, path: claude(session_index(relation(spark, path, "sessions"), relation(spark, path, "messages"))), "sessions", "session_id", "project_path"),
+    "opencode": _in_store(lambda spark, path: read_store(spark, path, "opencode"), "session", "id", "directory"),
+    "index": _in_store(lambda spark, path: read_store(spark, path, "index"), "sessions", "session_id", "project_path"),
 }
 
 
@@ -470,3 +523,12 @@ def split_handle(handle: str, exists: Callable[[str], bool]) -> tuple[str, str |
     """A store's path and the session after the last ``#``, unless the whole is a path."""
     head, mark, tail = handle.rpartition("#")
     return (handle, None) if not mark or exists(handle) else (head, tail)
+
+
+def handle_parts(handle: Column | str, is_path: Column) -> Column:
+    """``split_handle`` of a column: (path, session), where ``is_path`` says that the whole is a path."""
+    h = F.col(handle) if isinstance(handle, str) else handle
+    whole = is_path | ~F.contains(h, F.lit("#"))
+    tail = F.substring_index(h, "#", -1)
+    head = h.substr(F.lit(1), F.length(h) - F.length(tail) - 1)
+    return F.struct(F.when(whole, h).otherwise(head).alias("path"), F.when(~whole, tail).alias("session"))
