@@ -104,7 +104,15 @@ def test_verbs_print(spark, host, capsys):
     main(["feedback", skills, logs, "--pack", "python"])
     assert "100%" in capsys.readouterr().out
     main(["proposals", store, "--json"])
-    assert len(capsys.readouterr().out.strip().split("\n")) == 3
+    listed = [json.loads(x) for x in capsys.readouterr().out.strip().split("\n")]
+    assert [x["name"] for x in listed] == ["deploy", "check", "ship"] and listed[0]["eval"] == {"composite": None, "engine": None, "dimensions": {}} and listed[2]["source_sessions"] == ["s0"]
+    main(["show", store, listed[0]["id"], "--json"])
+    assert json.loads(capsys.readouterr().out)["md"] == "# deploy"
+    main(["feedback", skills, logs, "--pack", "python", "--json"])
+    assert json.loads(capsys.readouterr().out) | {"friction_with": 0} == {"skill": "ship", "installed_at": "2023-11-14T22:21:40Z", "sessions": 1, "sessions_used": 1, "usage_rate": 1.0, "friction_with": 0, "friction_without": None, "verdict": "active"}
+    main(["scan", logs, "--pack", "python", "--json"])
+    first = json.loads(capsys.readouterr().out.strip().split("\n")[0])
+    assert first["counts"]["events"] == 4 and set(first["friction"]) == {"raw", "score", "rate", "dominant_signal", "signals"} and first["opportunity"]["missed"] == []
     main(["consolidate", store])
     main(["prune", store, "--keep", "1"])
     assert capsys.readouterr().out.strip().endswith("1 kept")

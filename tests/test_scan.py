@@ -23,7 +23,7 @@ def done(call_id, bad=False):
 
 
 FRICTION = [
-    message("user", "please fix the failing build", sessionId="s1", cwd="/work/app"),
+    message("user", "fix what the nightly run broke", sessionId="s1", cwd="/work/app"),
     message("assistant", [{"type": "text", "text": "running"}, use("Bash", "a", command="mix test")]),
     message("user", [done("a", True)]),
     message("assistant", [use("Bash", "b", command="cd /work/app && mix test")]),

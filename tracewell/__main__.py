@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 
 from .operators.rank import Scope, folder_exists, resolve_scope
-from .plans import reports, scan
+from .plans import reports, scan, shapes
 from .plans.packs import read_pack
 from .plans.session import build_session
 from .sources import stores
@@ -46,10 +46,11 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
-def _print(rows, columns: dict[str, int], as_json: bool) -> None:
+def _print(rows, columns: dict[str, int], as_json: bool, shape=None) -> None:
+    """A text table, or a line of JSON for each row: in its verb's shape, where it has one."""
     if as_json:
-        for line in rows.toJSON().toLocalIterator():
-            print(line)
+        for line in (rows.toJSON() if shape is None else shape(rows).toDF("json")).toLocalIterator():
+            print(line if shape is None else line.json)
     else:
         print(reports.listed(rows, columns))
 
@@ -63,17 +64,17 @@ def main(args: list[str] | None = None) -> None:
         scope = resolve_scope(a.path, a.project, exists=folder_exists(spark)) if a.project else Scope()
         rows = scan.scan(read_events(spark, scope.base or a.path, a.format), scan.Options(pack, scope, a.min_messages, a.rank_by, not a.no_dedupe, a.limit))
         if a.json:
-            for row in scan.as_json(rows).toLocalIterator():
+            for row in shapes.sessions(rows).toLocalIterator():
                 print(row.json)
         else:
             print(scan.render(rows, scope=scope))
     elif a.verb == "feedback":
         rows = reports.feedback(spark, a.skills, a.path, a.format, scan.Options(pack, min_messages=a.min_messages, dedupe=not a.no_dedupe))
-        _print(rows, {"skill": 30, "sessions": 8, "used": 8, "usage_rate": 10, "friction_with": 13, "friction_without": 16, "verdict": 12}, a.json)
+        _print(rows, {"skill": 30, "sessions": 8, "used": 8, "usage_rate": 10, "friction_with": 13, "friction_without": 16, "verdict": 12}, a.json, shapes.feedback)
     elif a.verb == "proposals":
-        _print(reports.proposals(spark, a.store, a.skills), {"id": 25, "name": 30, "kind": 5, "outcome": 10, "composite": 9, "sources": 7, "installed": 9}, a.json)
+        _print(reports.proposals(spark, a.store, a.skills, whole=a.json), {"id": 25, "name": 30, "kind": 5, "outcome": 10, "composite": 9, "sources": 7, "installed": 9}, a.json, shapes.proposals)
     elif a.verb == "show":
-        print(reports.show(spark, a.store, a.id))
+        print(reports.show(spark, a.store, a.id, as_json=a.json))
     elif a.verb == "consolidate":
         _print(reports.consolidation(spark, a.store, a.least), {"cluster": 25, "size": 5, "outcome": 10, "merged_from": 50}, a.json)
     elif a.verb == "prune":

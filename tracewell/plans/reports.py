@@ -13,7 +13,7 @@ from ..operators import relate, similar
 from ..operators.artifacts import Artifact, score
 from ..sources import stores
 from ..sources.transcripts import read_events
-from . import scan
+from . import scan, shapes
 from .session import cut
 
 PLAIN = "^file:/+"
@@ -30,22 +30,28 @@ def feedback(spark: SparkSession, skills: str, transcripts: str, fmt: str = "cla
     facts = scan.select_sessions(scan.session_facts(read_events(spark, transcripts, fmt), options.pack), options)
     timed = facts.withColumn("path", F.regexp_replace("path", PLAIN, "/")).join(modified(spark, transcripts), "path", "left")
     ours = stores.installed_skills(spark, skills).where("ours").select("skill", "installed_at").dropDuplicates(["skill"])
-    return relate.feedback(ours, timed.select("at", "skills_used", "friction"), "skill", "installed_at", "at", "skills_used", "friction").orderBy("skill")
+    told = relate.feedback(ours, timed.select("at", "skills_used", "friction"), "skill", "installed_at", "at", "skills_used", "friction")
+    return told.join(ours, "skill", "left").orderBy("skill")
 
 
-def proposals(spark: SparkSession, path: str, skills: str | None = None) -> DataFrame:
-    """Stored proposals, newest first, and whether a skill of that name was installed from here."""
-    rows = stores.read_proposals(spark, path).select("id", "name", "kind", "outcome", F.col("eval.composite").alias("composite"), F.size("source_sessions").alias("sources"), "created_at")
+def proposals(spark: SparkSession, path: str, skills: str | None = None, whole: bool = False) -> DataFrame:
+    """Stored proposals, newest first, and whether a skill of that name was installed from here; ``whole`` with all that is stored."""
+    rows = stores.read_proposals(spark, path)
+    if not whole:
+        rows = rows.select("id", "name", "kind", "outcome", F.col("eval.composite").alias("composite"), F.size("source_sessions").alias("sources"), "created_at")
     ours = spark.createDataFrame([], "skill string") if skills is None else stores.installed_skills(spark, skills).where("ours").select("skill")
     return relate.with_installed(rows, ours, "name", "skill").orderBy(F.desc("created_at"), "id")
 
 
-def show(spark: SparkSession, path: str, prefix: str) -> str:
+def show(spark: SparkSession, path: str, prefix: str, as_json: bool = False) -> str:
     """A stored proposal; an error if the prefix of its id means none or several."""
     found = stores.find(stores.read_proposals(spark, path), prefix)
     if len(found) != 1:
         raise ValueError(f"no proposal begins with {prefix!r}" if not found else f"several proposals begin with {prefix!r}: {', '.join(found)}")
-    r = stores.read_proposals(spark, path).where(F.col("id") == found[0]).first()
+    one = stores.read_proposals(spark, path).where(F.col("id") == found[0])
+    if as_json:
+        return shapes.proposals(one.withColumn("installed", F.lit(False)), whole=True).first().json
+    r = one.first()
     score = "—" if r.eval is None or r.eval.composite is None else f"{r.eval.composite:.2f}"
     return f"{r.name or r.id}: {r.kind}, {r.outcome}, composite {score}\n\n{r.md or ''}"
 

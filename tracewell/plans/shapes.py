@@ -39,8 +39,8 @@ def proposals(rows: DataFrame, whole: bool = False) -> DataFrame:
 
 def feedback(rows: DataFrame) -> DataFrame:
     """A report for each installed skill (``relate.feedback``)."""
-    when = F.col("installed_at") if "installed_at" in rows.columns else F.lit(None).cast("string")
-    return rows.select(_text(F.col("skill"), when.cast("string").alias("installed_at"), F.col("sessions"), F.col("used").alias("sessions_used"), *[F.col(c) for c in ("usage_rate", "friction_with", "friction_without", "verdict")]).alias("json"))
+    when = F.date_format("installed_at", "yyyy-MM-dd'T'HH:mm:ssXXX") if "installed_at" in rows.columns else F.lit(None).cast("string")
+    return rows.select(_text(F.col("skill"), when.alias("installed_at"), F.col("sessions"), F.col("used").alias("sessions_used"), *[F.col(c) for c in ("usage_rate", "friction_with", "friction_without", "verdict")]).alias("json"))
 
 
 def document(rows: DataFrame, name: str, **head: str | None) -> str:
