@@ -304,3 +304,15 @@ def test_comments_of_100_000_random_lines(spark):
     assert got.where("got <> wanted").limit(3).collect() == []
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sessions_after_an_installation_equal_the_join(spark):
+    from datetime import datetime, timedelta
+
+    from tracewell.operators import relate
+
+    at = lambda h: None if h is None else datetime(2026, 1, 1) + timedelta(hours=h)
+    skills = spark.createDataFrame([("a", at(0)), ("b", at(5)), ("c", at(5)), ("d", at(99)), ("e", None)], "skill string, installed timestamp")
+    sessions = spark.createDataFrame([(at(h),) for h in [None] * 40 + [5] * 50 + list(range(12))], "time timestamp")
+    joined = skills.join(sessions, relate.after_install(F.col("time"), F.col("installed")), "left").groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
+    assert dict(relate.sessions_after(skills, sessions, "skill", "installed", "time").collect()) == dict(joined.collect())

@@ -390,8 +390,7 @@ def _skills(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT n_name, count(*) FILTER (WHERE o_orderkey IS NOT NULL) AS later_orders FROM {INSTALLS} s LEFT JOIN orders ON o_orderdate >= installed GROUP BY n_name")
 def theta_after_install(spark, d):
-    joined = _skills(spark, d).join(table(spark, d, "orders"), relate.after_install(F.col("o_orderdate"), F.col("at")), "left")
-    return joined.groupBy("n_name").agg(F.count("o_orderkey").alias("later_orders"))
+    return relate.sessions_after(_skills(spark, d), table(spark, d, "orders"), "n_name", "at", "o_orderdate", "later_orders")
 
 
 FEEDBACK = """SELECT n_name, count(o_orderkey) AS sessions, count(*) FILTER (WHERE used) AS used, CASE WHEN count(o_orderkey) > 0 THEN round(count(*) FILTER (WHERE used) / count(o_orderkey), 3) END AS usage_rate,

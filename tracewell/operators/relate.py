@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ratio
 from ..plans.session import cut
+from .rank import ranges_for
 
 
 def after_install(session_time: Column, installed_at: Column) -> Column:
@@ -30,9 +31,9 @@ def _later(skills: DataFrame, sessions: DataFrame, skill: str, installed_at: str
     rows = sessions.select(last.cast("string").alias("_skill"), at.cast("timestamp").alias("_at"), F.lit(0).alias("_mark"), F.lit(1).cast("long").alias("_n"), F.col(score).isNotNull().cast("long").alias("_c"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("_s"))
     # Sessions of unknown time are after everything, and skills of unknown installation before everything.
     both = rows.withColumn("_first", F.col("_at").isNull().cast("int")).unionByName(marks.withColumn("_first", -F.col("_at").isNull().cast("int")))
-    many = both.sparkSession.sparkContext.defaultParallelism
-    order = [F.desc("_first"), F.desc_nulls_last("_at"), F.asc("_mark")]
-    dealt = both.repartitionByRange(many, *order).sortWithinPartitions(*order)
+    # The row's number, last in the order, lets ranges part sessions of one time, or of none.
+    order = [F.desc("_first"), F.desc_nulls_last("_at"), F.asc("_mark"), F.asc("_row")]
+    dealt = both.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(ranges_for(both), *order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id()
     dealt = cut(dealt.withColumn("_part", F.shiftright(place, 33)).withColumn("_i", place))
     sums = [F.sum(c).alias(c) for c in ("_n", "_c", "_s")]
@@ -43,6 +44,12 @@ def _later(skills: DataFrame, sessions: DataFrame, skill: str, installed_at: str
     return inside.join(bases, "_part").select(F.col("_skill").alias(skill), "_at", *[(F.col(c) + F.col(f"{c}0")).alias(c) for c in ("_n", "_c", "_s")])
 
 
+def sessions_after(skills: DataFrame, sessions: DataFrame, skill: str, installed_at: str, session_time: str, alias: str = "sessions") -> DataFrame:
+    """Of each skill how many sessions came at its installation or later: the join on ``after_install`` counted by running sums, without a pair of both tables."""
+    counted = _later(skills, sessions.withColumn("_score", F.lit(None).cast("double")), skill, installed_at, session_time, "_score")
+    return counted.select(skill, F.col("_n").alias(alias))
+
+
 def feedback(skills: DataFrame, sessions: DataFrame, skill: str, installed_at: str, session_time: str, used: str, score: str) -> DataFrame:
     """For each skill the sessions since its installation, how many used it, and mean friction with and without it.
 
