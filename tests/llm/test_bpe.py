@@ -84,3 +84,24 @@ def test_cache_may_start_anew(monkeypatch, codec, library):
     monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
     for _ in range(3):
         assert [*codec.encode(["one two three four", "five"])] == [library.encode_ordinary(x) for x in ("one two three four", "five")]
+
+
+@pytest.mark.parametrize(
+    "pattern",
+    [
+        r"\p{L}+|\s+|[^\s\p{L}]+",
+        r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",
+        r"\P{L}+|\p{L}+",
+        r"\p{Lu}+|\P{Lu}+",
+        r"\d+|\D+",
+        r"\[\p{L}\]|[\[\]]|[^\[\]]+",
+    ],
+)
+def test_other_patterns_split_as_the_library_does(codec, pattern):
+    """No letter is dropped, wherever in the pattern its class stands."""
+    own, library = bpe.Codec(codec.ranks, pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    rnd = random.Random(3)
+    texts = ["hello World 12", "[a] [é]x"] + ["".join(rnd.choice("abC1 é'\n\t s٣_-.[]\x85\xa0Ä") for _ in range(rnd.randrange(20))) for _ in range(2000)]
+    texts += ["".join(c for c in t if c < "\x80") for t in texts]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids == library.encode_ordinary(text), text

@@ -50,15 +50,45 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+#: What a pattern's classes hold among ASCII characters (fixed values).
+ASCII_CLASSES = {r"\s": "".join(c for c in SPACE if c < "\x80"), r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\d": "0-9"}
+
+
+def rewritten(pattern: str, classes: dict[str, str]) -> str | None:
+    """A pattern with classes spelt out: bare within brackets, in brackets of their own elsewhere. None if it has a class that isn't known."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        sign = pattern[at]
+        if sign == "\\":
+            m = re.compile(r"\\([pP])\{(\^?)([^}]*)\}|\\(.)", re.S).match(pattern, at)
+            name = rf"\p{{{m[3]}}}" if m[1] else "\\" + m[4].lower()
+            no = (m[1] == "P") != bool(m[2]) if m[1] else m[4] in "SDW"
+            if (m[1] or m[4] in "sSdDwW") and (name not in classes or (no and inside)):
+                return None
+            known = classes.get(name, name)
+            out.append(m[0] if known == name else known if inside else f"[{'^' * no}{known}]")
+            at = m.end()
+            continue
+        if sign == "[" and not inside:
+            inside = True
+        elif sign == "]" and inside:
+            inside = False
+        out.append(sign)
+        at += 1
+    return "".join(out)
+
+
 def splitter(pattern: str):
     """A function from a text to the pattern's matches, with white space as Unicode defines it."""
     import regex
 
-    plain = pattern.replace(r"[^\s", rf"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
-    full = regex.compile(plain)
-    # For ASCII texts the classes are short, and the standard module is faster.
-    ascii_space = "".join(c for c in SPACE if c < "\x80")
-    quick = re.compile(plain.replace(SPACE, ascii_space).replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"))
+    every = {c: c for c in (r"\p{L}", r"\p{N}", r"\d")}
+    full = regex.compile(rewritten(pattern, {r"\s": SPACE} | every) or pattern)
+    # For ASCII texts the classes are short, and the standard module is faster, where it knows the pattern.
+    try:
+        quick = re.compile(rewritten(pattern, ASCII_CLASSES) or r"\p")
+    except re.error:
+        return full.findall
     return lambda text: (quick if text.isascii() else full).findall(text)
 
 
