@@ -36,8 +36,8 @@ from ._text import Words, grams, lookup, sieve, slices, spread, words
 WINDOW = 10
 #: Words of a shingle; windows of fewer words are one shingle.
 SHINGLE = 3
-#: Bytes of items up to which they are broadcast.
-PART_BYTES = 8 << 20
+#: Bytes of items up to which they are broadcast. As windows and shingles they take about a hundred times that in the driver and in each worker.
+PART_BYTES = 1 << 20
 #: Bits of the table of prefix shingles, as a power of two: 2 MB.
 SIEVE = 24
 #: Into how many parts a join key is split.
