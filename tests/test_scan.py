@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.functions.constants import STATUS_EXPLAINED
 from tracewell.operators import rank
 from tracewell.plans import scan
 from tracewell.plans.session import cut
@@ -103,7 +104,7 @@ def test_hazards_and_context(spark, tmp_path):
     ]
     (tmp_path / "h.jsonl").write_text("\n".join(map(json.dumps, rows)))
     r = named(scan.session_facts(tr.read_events(spark, str(tmp_path))))["h.jsonl"]
-    assert [(h.kind, h["count"]) for h in r.hazards] == [("pipe_masks_exit", 2)] and "reads a status" in r.hazards[0].evidence
+    assert [(h.kind, h["count"]) for h in r.hazards] == [("pipe_masks_exit", 2)] and r.hazards[0].evidence.endswith(STATUS_EXPLAINED)
     assert r.max_ctx_pct == 75.0 and r.raw == 0.0
 
 
