@@ -189,3 +189,31 @@ def test_a_file_beyond_the_cap_is_never_opened(spark, tmp_path):
     assert "LessThanOrEqual(length" in plan
     events = tr.read_events(spark, str(tmp_path), "gemini").select("text", "err").collect()
     assert sorted((r.text, r.err) for r in events if r.err is None) == [("é", None)] and [r.err for r in events if r.err] == ["too_large"]
+
+
+def test_only_changed_files_are_scored_again(spark, tmp_path, monkeypatch):
+    from datetime import datetime, timedelta
+
+    from tracewell.plans import rescan as R  # noqa: N812
+
+    logs, store, read = tmp_path / "logs", str(tmp_path / "store"), []
+    monkeypatch.setattr(R, "changed_events", lambda spark, path, fmt, keys, real=R.changed_events: read.append(sorted(r.key.rsplit("/", 1)[1] for r in keys.collect())) or real(spark, path, fmt, keys))
+    logs.mkdir()
+    write = lambda k, n: (logs / f"s {k}.jsonl").write_text("\n".join(json.dumps(message("user" if i % 2 == 0 else "assistant", f"wrong {i}", sessionId=f"s{k}", cwd="/w")) for i in range(n)))
+    for k in range(4):
+        write(k, 5 + k)
+    now = datetime(2026, 1, 1)
+    run = lambda day: R.rescan(spark, str(logs), store, now=now + timedelta(days=day))
+    counts = lambda rows: {r.session_id: (r.message_count, r.human_turns) for r in rows.collect()}
+    first, n = run(0)
+    want = {f"s{k}": (5 + k, (6 + k) // 2) for k in range(4)}
+    assert n == 4 and counts(first) == want == counts(scan.session_facts(tr.read_events(spark, str(logs))))
+    again, n = run(1)
+    assert n == 0 and counts(again) == want and set(again.columns) == set(first.columns)
+    write(2, 20)
+    write(4, 3)
+    later, n = run(2)
+    assert n == 2 and counts(later) == want | {"s2": (20, 10), "s4": (3, 2)} and read == [[f"s%20{k}.jsonl" for k in range(4)], [], ["s%202.jsonl", "s%204.jsonl"]]
+    monkeypatch.setattr(R, "NAMED", 0)
+    assert run(40)[1] == 5  # not seen for 30 days
+    assert R.rescan(spark, str(logs), store, pack=scan.PYTHON, now=now + timedelta(days=41))[1] == 5  # other rules

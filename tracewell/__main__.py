@@ -7,6 +7,7 @@ import argparse
 from .operators.rank import Scope, folder_exists, resolve_scope
 from .plans import reports, scan, shapes
 from .plans.packs import read_pack
+from .plans.rescan import rescan
 from .plans.session import build_session
 from .sources import stores
 from .sources.transcripts import FORMATS, read_events
@@ -33,6 +34,7 @@ def _parser() -> argparse.ArgumentParser:
     of_sessions(s)
     s.add_argument("--rank-by", choices=["raw", "rate"], default="raw")
     s.add_argument("--limit", type=int)
+    s.add_argument("--cache", help="a folder for what has been scored, so that only changed files are scored again")
     s.add_argument("--project", help="only sessions of this working directory")
     f = verb("feedback", "what installed skills have changed", "skills", "path")
     of_sessions(f)
@@ -62,7 +64,11 @@ def main(args: list[str] | None = None) -> None:
         pack = scan.PACKS[a.pack] if a.pack in scan.PACKS else read_pack(a.pack)
     if a.verb == "scan":
         scope = resolve_scope(a.path, a.project, exists=folder_exists(spark)) if a.project else Scope()
-        rows = scan.scan(read_events(spark, scope.base or a.path, a.format), scan.Options(pack, scope, a.min_messages, a.rank_by, not a.no_dedupe, a.limit))
+        options = scan.Options(pack, scope, a.min_messages, a.rank_by, not a.no_dedupe, a.limit)
+        if a.cache:  # all is scored or known, so a limit cuts the ranking
+            rows = scan.select_sessions(rescan(spark, scope.base or a.path, a.cache, a.format, pack)[0], options, a.limit)
+        else:
+            rows = scan.scan(read_events(spark, scope.base or a.path, a.format), options)
         if a.json:
             for row in shapes.sessions(rows).toLocalIterator():
                 print(row.json)

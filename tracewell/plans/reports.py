@@ -22,7 +22,7 @@ PLAIN = "^file:/+"
 def modified(spark: SparkSession, path: str) -> DataFrame:
     """(path, at) of every file below a path."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return rows.select(F.regexp_replace("path", PLAIN, "/").alias("path"), F.col("modificationTime").alias("at"))
+    return rows.select(F.regexp_replace(F.col("_metadata.file_path"), PLAIN, "/").alias("path"), F.col("modificationTime").alias("at"))
 
 
 def feedback(spark: SparkSession, skills: str, transcripts: str, fmt: str = "claude", options: scan.Options = scan.Options()) -> DataFrame:

@@ -152,7 +152,7 @@ def read_files(spark: SparkSession, path: str, glob: str, cap: int = FILE_CAP) -
 def file_stamps(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, stamp) of every file: its time and size."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return rows.select("path", F.concat_ws(":", F.unix_micros("modificationTime").cast("string"), F.col("length").cast("string")).alias("stamp"))
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.concat_ws(":", F.unix_micros("modificationTime").cast("string"), F.col("length").cast("string")).alias("stamp"))
 
 
 def _messages(files: DataFrame, listed: Column, **more: Column) -> DataFrame:

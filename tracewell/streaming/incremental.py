@@ -34,6 +34,10 @@ class Store:
         found = [f"{self.folder}/{kind}/{f.getPath().getName()}" for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
         return sorted(f for f in found if self._fs.exists(self._path(f"{f}/_SUCCESS")))
 
+    def runs(self) -> int:
+        """How many folders there are."""
+        return len(self._finished("runs")) + len(self._finished("seen"))
+
     def load(self, now, days: int = CACHE_DAYS) -> DataFrame | None:
         """What was computed, or seen again, in the last days, of each key the latest."""
         runs, seen = self._finished("runs"), self._finished("seen")
