@@ -5,6 +5,8 @@ Transcripts are written from the tables to the session's shared folder and read
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from .catalogue import _called, _files, _lines, _summed, _tool, query
@@ -12,6 +14,7 @@ from .catalogue_scan import FACTS_SQL, facts
 from .catalogue_stores import _folder
 from .operators import loop, rank
 from .plans import scan, shapes
+from .plans.rescan import rescan
 from .plans.session import cut, table
 from .sources import datasource
 from .sources import transcripts as tr
@@ -131,6 +134,34 @@ def pinned_fixtures(spark, d):
     return loop.pinned(rows, seeds, "source", ["fixtures"]).select("doc_id", "own", "fixtures")
 
 
+@query("""WITH f AS (SELECT conv_id % 40 AS k, count(*) FILTER (WHERE role IN ('user', 'assistant')) AS n FROM conversations GROUP BY 1)
+SELECT k, n + CAST(k % 5 = 0 AS INTEGER) AS message_count, (SELECT count(*) FROM f WHERE k % 5 = 0) AS scored FROM f""")
+def rescanned_sessions(spark, d):
+    """A second scan of forty long transcripts, of which a fifth has one more message: only these are read and scored again."""
+    rows = table(spark, d, "conversations")
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    lines = rows.select((F.col("conv_id") % 40).alias("k"), "conv_id", "turn", line.alias("value"))
+    one = lines.select("k").distinct().select("k", F.lit(1 << 40).alias("conv_id"), F.lit(0).alias("turn"), F.lit('{"type": "user", "message": {"role": "user", "content": "one more"}}').alias("value"))
+    fs = spark._jvm.org.apache.hadoop.fs
+
+    def write(df, folder: str, there: str) -> None:
+        df.repartition("k").sortWithinPartitions("k", "conv_id", "turn").select("k", "value").write.partitionBy("k").text(folder)
+        files = fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(fs.Path(there))
+        for status in files.globStatus(fs.Path(f"{folder}/k=*/*.txt")):  # forty files
+            to = fs.Path(f"{there}/{status.getPath().getParent().getName()}.jsonl")
+            files.delete(to, False)
+            files.rename(status.getPath(), to)
+
+    with _folder(spark) as folder:
+        logs = f"{folder}/logs"
+        write(lines, f"{folder}/first", logs)
+        rescan(spark, logs, f"{folder}/store", now=datetime(2026, 1, 1))
+        write(lines.unionByName(one).where("k % 5 = 0"), f"{folder}/later", logs)
+        facts, n = rescan(spark, logs, f"{folder}/store", now=datetime(2026, 1, 2))
+        return cut(facts.select(F.regexp_extract("path", r"k=(\d+)", 1).cast("long").alias("k"), "message_count", F.lit(n).cast("long").alias("scored")))
+
+
 def _scoped(spark, d, folder: str):
     """Transcripts in a folder for each project, as agents name them, and the events of the project that a scope resolves to."""
     rows = table(spark, d, "conversations")
