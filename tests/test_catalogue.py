@@ -32,7 +32,7 @@ def test_scans_of_short_sessions_and_shares_between_two_digits(spark, tmp_path):
     """Three checks of two stacks, fewer of each; and one error in 80 calls, with which 1.025 is a little less than it says."""
     spark.createDataFrame([(1, 2, "user", "hello")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     write_events(spark, tmp_path, [(4, "click", 1), (4, "error", 1), (4, "error", 1), *[(7, "signup", 70 if k == 3 else 1) for k in range(80)], *[(1, "signup", 70 if k == 3 else 1) for k in range(80)]])
-    for name in ("scan_sessions",):
+    for name in ("scan_sessions", "scan_summary_of_project"):
         assert differing(spark, tmp_path, name) == ([], []), name
 
 

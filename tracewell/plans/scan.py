@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import base_name, clipped, dir_name, glob_pattern, grouped_digits, is_correction, ratio
+from ..functions.text import base_name, clipped, dir_name, glob_pattern, grouped_digits, is_correction, ratio, rounded
 from ..operators import classify, rank, signals
 from ..sources.transcripts import distinct_in_order, first_known
 from .session import cut_by
@@ -184,7 +184,7 @@ def project(cwd: Column | str, path: Column | str) -> Column:
 
 def summary(rows: DataFrame) -> DataFrame:
     """Aggregates of sessions that hold no content: what may leave the host."""
-    two = lambda c: F.round(c, 2).alias(c)
+    two = lambda c: rounded(c, 2).alias(c)
     return rows.select(
         project("cwd", "path").alias("project"), F.substring("session_id", 1, 8).alias("session"), two("friction"), two("raw"), two("rate"), "dominant_signal", "fingerprint", two("fingerprint_confidence"), two("opportunity"),
         "missed", "tool_count", "error_count", "message_count", "human_turns", "max_ctx_pct", "tier2", F.transform("hazards", lambda h: F.struct(h["kind"].alias("kind"), h["count"].alias("count"))).alias("hazards"),
