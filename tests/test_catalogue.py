@@ -43,3 +43,13 @@ def test_rounding_follows_the_double(spark):
 
     row = spark.range(1).select(rounded(F.lit(16.025), 2).alias("a"), rounded(F.lit(0.375), 2).alias("b"), rounded(F.lit(None).cast("double"), 2).alias("c")).first()
     assert tuple(row) == (16.02, 0.38, None)
+
+
+def test_no_filter_repeats_the_parser(spark, tmp_path):
+    """A filter that Spark infers from an explode and moves below the parser writes its steps out over and over."""
+    write_events(spark, tmp_path, [(k % 3, kind, 70 if k % 4 else 1) for k, kind in enumerate(["view", "click", "error", "signup"] * 9)])
+    for name in ("parse_dialect_b_calls", "parse_dialect_b_patches", "parse_dialect_b_tools"):
+        plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") == 2 and "parseJson" in plan, name
+        assert not [line for line in plan.split("\n") if line.strip(" :+-").startswith("Filter") and "parseJson" in line], name
+        assert differing(spark, tmp_path, name) == ([], []), name

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import base_name, clipped, dir_name, glob_pattern, grouped_digits, is_correction, ratio, rounded
 from ..operators import classify, rank, signals
-from ..sources.transcripts import distinct_in_order, first_known
+from ..sources.transcripts import CALL, distinct_in_order, first_known
 from .session import cut_by
 
 
@@ -80,8 +80,26 @@ class Options:
 
 def tool_calls(events: DataFrame) -> DataFrame:
     """One row for each tool call, with its place in the session."""
-    rows = events.select("session_key", "seq", F.posexplode("tool_uses").alias("pos", "_c"))
-    return rows.select("session_key", "seq", "pos", "_c.*")
+    return exploded(events, "tool_uses", "session_key", "seq").select("session_key", "seq", "pos", "_c.*")
+
+
+def exploded(events: DataFrame, calls: str, *columns: str) -> DataFrame:
+    """One row (columns, pos, _c) for each element of a list that a parser made.
+
+    Of a plain ``posexplode`` Spark infers a filter on the list's size and moves it below the parser, where the
+    steps of parsing are written out again for each place that uses them. The outer form infers none.
+    """
+    return events.select(*columns, F.posexplode_outer(calls).alias("pos", "_c")).where("pos IS NOT NULL")
+
+
+def checked_calls(events: DataFrame) -> DataFrame:
+    """Tool calls with whether any result of their id is an error, of events that are parsed only once for both."""
+    calls = F.transform("tool_uses", lambda c: F.struct(c["id"].alias("id"), F.lit(None).cast("boolean").alias("bad"), c.alias("call"), F.lit(True).alias("is_call")))
+    results = F.transform("tool_results", lambda r: F.struct(r["tool_use_id"].alias("id"), r["is_error"].alias("bad"), F.lit(None).cast(CALL).alias("call"), F.lit(False).alias("is_call")))
+    rows = exploded(events.select("session_key", F.concat(calls, results).alias("_both")), "_both", "session_key")
+    bad = F.bool_or("_c.bad").over(Window.partitionBy("session_key", "_c.id"))
+    rows = rows.withColumn("errored", F.coalesce(F.col("_c.id").isNotNull() & bad, F.lit(False)))
+    return rows.where("_c.is_call").select("session_key", "_c.call.*", "errored")
 
 
 FACTS = (
@@ -98,7 +116,7 @@ def session_facts(events: DataFrame, pack: Pack = Pack()) -> DataFrame:
     """
     key, order = "session_key", ["seq", "pos"]
     events = cut_by(events.select(*FACTS), key)
-    results = events.select(key, F.explode("tool_results").alias("_r")).select(key, F.col("_r.tool_use_id").alias("id"), F.col("_r.is_error").alias("is_error"))
+    results = exploded(events, "tool_results", key).select(key, F.col("_c.tool_use_id").alias("id"), F.col("_c.is_error").alias("is_error"))
     calls = cut_by(signals.errored_calls(tool_calls(events), results, key, "id", "is_error"), key)
     human = signals.human_turn("type", "text", F.col("is_meta"), F.col("synthetic"))
     fine = F.col("err").isNull()
@@ -224,4 +242,4 @@ def render(rows: DataFrame, most: int = 20, scope: rank.Scope = rank.Scope(), wi
     return "\n".join([f"scope: {covered}", *lines, f"{n.sessions} sessions in {n.projects} projects, {n.tier2} of the second tier", LEGEND])
 
 
-__all__ = ["ELIXIR", "PACKS", "PYTHON", "Options", "Pack", "as_json", "project", "render", "scan", "select_sessions", "session_facts", "summary", "tool_calls", "totals"]
+__all__ = ["ELIXIR", "PACKS", "PYTHON", "Options", "Pack", "as_json", "checked_calls", "exploded", "project", "render", "scan", "select_sessions", "session_facts", "summary", "tool_calls", "totals"]
