@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
 from tracewell.operators import artifacts, classify, loop, rank, relate, signals, similar
+from tracewell.plans.session import cut
 from tracewell.sources import stores
 from tracewell.streaming.incremental import Store, tool_counts
 
@@ -263,6 +264,40 @@ def test_greedy_clusters_in_rounds_equal_the_fold(spark):
     assert similar.greedy_clusters(df.limit(0), links.limit(0), "id", "kind").count() == 0
 
 
+def test_clusters_from_fewer_pairs_are_the_same(spark):
+    """Copies, sets that differ by words of their own, sets whose like don't link with one another, empty ones: pairs between classes give the clusters of all pairs."""
+    import random
+
+    from tracewell.operators import similar
+
+    rnd = random.Random(5)
+    for least in (0.3, 0.5, 0.8):
+        rows = []
+        for i in range(240):
+            words = rnd.sample("abcdefgh", rnd.randint(0, 4)) + [f"own{i}-{j}" for j in range(rnd.choice([0, 0, 1, 2]))]
+            rows.append((f"r{i:03}", "xy"[i % 2], rnd.randint(0, 40), words))
+        df = spark.createDataFrame(rows, "id string, kind string, made int, tokens array<string>")
+        near, every = {}, set()
+        for a in rows:
+            for b in rows:
+                x, y = set(a[3]), set(b[3])
+                if a[0] != b[0] and a[1] == b[1] and x | y and len(x & y) / len(x | y) >= least:
+                    near.setdefault(a[0], []).append(b[0])
+                    every.add((a[0], b[0]))
+        pairs = cut(similar.reaching_pairs(df, "id", "kind", "tokens", least, ("made",)))
+        assert {(r.a, r.b) for r in pairs.collect()} <= every
+        out = {r.id: r.cluster for r in similar.greedy_clusters(df, pairs, "id", "kind", ("made",)).collect()}
+        assert out == folded([r[0] for r in sorted(rows, key=lambda r: (r[2], r[0]))], near)
+
+
+def test_copies_need_pairs_in_proportion_to_their_number(spark):
+    from tracewell.operators import similar
+
+    rows = spark.range(3000).select("id", F.lit("k").alias("kind"), F.array(F.lit("alpha"), F.lit("beta"), F.concat(F.lit("own"), (F.col("id") % 1500).cast("string"))).alias("tokens"))
+    pairs = cut(similar.reaching_pairs(rows.withColumn("tokens", F.slice("tokens", 1, F.when(F.col("id") < 1500, 3).otherwise(2))), "id", "kind", "tokens", 0.5))
+    assert 0 < pairs.count() < 4 * 3000  # all pairs are four and a half million
+
+
 def test_greedy_clusters_of_one_large_kind(spark):
     """100,000 rows of one kind: chains of 500 rows, each linked with the one before, and groups that all link with one row."""
     from tracewell.operators import similar

@@ -195,7 +195,7 @@ def greedy_clusters_of_two_kinds(spark, d):
         F.col("s_name").alias("description"), F.array((F.col("s_nationkey") % 3).cast("string"), F.lit("tries")).alias("should_trigger"),
     )
     tokens = drafts.select("id", "kind", "at", similar.routing_tokens("name", "description", "should_trigger").alias("tokens"))
-    return similar.greedy_clusters(tokens, similar.similar_pairs(tokens, "id", "kind", "tokens", 0.5), "id", "kind", order=("at",))
+    return similar.greedy_clusters(tokens, similar.reaching_pairs(tokens, "id", "kind", "tokens", 0.5, order=("at",)), "id", "kind", order=("at",))
 
 
 @query(f"""WITH p AS (SELECT DISTINCT {PROPOSAL_ID} AS id, created_at FROM ({PROPOSED})), k AS (SELECT id FROM p ORDER BY created_at DESC, id DESC LIMIT 40)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import CLUSTER_THRESHOLD
@@ -42,6 +42,43 @@ def similar_pairs(rows: DataFrame, key: str, kind: str, tokens: str, least: floa
     return out.where(F.col("similarity") >= least).select(kind, F.col("_id").alias("a"), F.col("_id2").alias("b"), "similarity")
 
 
+def reaching_pairs(rows: DataFrame, key: str, kind: str, tokens: str, least: float = CLUSTER_THRESHOLD, order: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of ``similar_pairs`` (a, b) from which every row reaches over earlier rows all that it reaches over all of them: what ``greedy_clusters`` needs.
+
+    Rows that have the same tokens but for ones that no other row of the kind has are one class: how
+    similar two rows are depends on their classes alone, so only classes are compared. Where rows of a
+    class are similar to one another, a row that is similar to them needs just the last one before it,
+    from which the others are reached, and gets the first as well, which mostly ends the search at
+    once. Of classes whose rows are not similar to one another it needs every earlier row.
+    """
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("id"))
+    held = rows.select(F.col(key).alias("_id"), F.col(kind).alias("_kind"), place.alias("_place"), F.array_distinct(tokens).alias("_set"))
+    each = held.select("_id", "_kind", F.explode("_set").alias("_t"))
+    shared = each.groupBy("_kind", "_t").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
+    cores = each.join(shared, ["_kind", "_t"]).groupBy("_id").agg(F.array_sort(F.collect_list("_t")).alias("_core"))
+    core = F.coalesce("_core", F.array().cast("array<string>"))
+    members = held.join(cores, "_id", "left").select("_id", "_kind", "_place", core.alias("_core"), F.size("_set").alias("_n"))
+    members = cut(members.withColumn("_class", F.sha2(F.to_json(F.struct("_kind", "_core", "_n")).cast("binary"), 256)))
+    classes = members.select("_class", "_kind", "_core", "_n").dropDuplicates(["_class"])
+    k, n = F.size("_core"), F.col("_n")
+    own = F.when(k < n, F.transform(F.sequence(F.lit(1), n - k), lambda i: F.concat("_class", F.lit("#"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    tight = (n > 0) & ((k == n) | (k.cast("double") / F.nullif(2 * n - k, F.lit(0)) >= least))
+    classes = cut(classes.select("_class", "_kind", F.concat("_core", own).alias("_tokens"), F.coalesce(tight, F.lit(False)).alias("_tight")))
+    alike = similar_pairs(classes, "_class", "_kind", "_tokens", least)
+    ways = alike.select(F.col("a").alias("_x"), F.col("b").alias("_y")).unionByName(alike.select(F.col("b").alias("_x"), F.col("a").alias("_y")))
+    ways = ways.unionByName(classes.where("_tight").select(F.col("_class").alias("_x"), F.col("_class").alias("_y")))
+    ways = cut(ways.join(classes.select(F.col("_class").alias("_y"), "_tight"), "_y"))
+    of = lambda end, id_: members.select(F.col("_class").alias(end), F.col("_place").alias(f"_at{end}"), F.col("_id").alias(id_))
+    close, far = ways.where("_tight").select("_x", "_y"), ways.where("NOT _tight").select("_x", "_y")
+    asked = close.join(of("_x", "a"), "_x").select("_x", "_y", F.col("_at_x").alias("_at"), F.lit(0).alias("_role"), "a", F.lit(None).cast(members.schema["_id"].dataType).alias("b"))
+    there = close.join(of("_y", "b"), "_y").select("_x", "_y", F.col("_at_y").alias("_at"), F.lit(1).alias("_role"), F.lit(None).cast(members.schema["_id"].dataType).alias("a"), "b")
+    before = Window.partitionBy("_x", "_y").orderBy("_at", "_role").rowsBetween(Window.unboundedPreceding, -1)
+    ends = asked.unionByName(there).select("a", F.array(F.first("b", ignorenulls=True).over(before), F.last("b", ignorenulls=True).over(before)).alias("_ends"))
+    near = ends.where("a IS NOT NULL").select("a", F.explode(F.array_distinct("_ends")).alias("b")).where("b IS NOT NULL")
+    every = far.join(of("_x", "a"), "_x").join(of("_y", "b"), "_y").where(F.col("_at_y") < F.col("_at_x")).select("a", "b")
+    return near.unionByName(every)
+
+
 def routing_tokens(name: Column | str, description: Column | str, triggers: Column | str | None = None) -> Column:
     """The words by which proposals compete: of a name, a description and phrasings that should trigger it."""
     said = [F.col(c) if isinstance(c, str) else c for c in (name, description)]
@@ -59,7 +96,8 @@ def greedy_clusters(rows: DataFrame, pairs: DataFrame, key: str, kind: str, orde
     least of its earlier neighbours' rows, and then the row that its row has; rounds end when
     nothing changes. Rows that all link with one another take one round, chains as many as doublings
     reach their ends; chains whose rows also link with dead ends may take one for each link.
-    Links and labels stay distributed, whatever a kind's size; ``pairs`` hold rows of one kind.
+    Links and labels stay distributed, whatever a kind's size; ``pairs`` hold rows of one kind: all
+    similar ones, or those of ``reaching_pairs``.
     """
     place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("id"))
     nodes = cut(rows.select(F.col(key).alias("_id"), F.col(kind).alias("_kind"), place.alias("_place")))
