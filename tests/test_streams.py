@@ -1,11 +1,11 @@
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tracewell.operators import signals
 from tracewell.sources.transcripts import forward_fill
-from tracewell.streaming import stateful
+from tracewell.streaming import sessions, stateful
 from tracewell.streaming.incremental import Store
 
 
@@ -131,3 +131,54 @@ def test_time_to_live_by_the_clock(spark, tmp_path):
         rows = stateful.drained(spark, sessions.aged_stamps(stream, days, by_clock=True), "append", str(tmp_path / f"out{days}")).orderBy(F.desc("_batch"))
         seen.append(rows.first().decision)
     assert seen == ["computed", "reused", "computed", "computed"]
+
+
+def test_a_batch_reads_and_writes_each_source_once():
+    """Calls to the state are in proportion to sources, not to rows; one timer stands for all sources and forgets each when it is due."""
+    from pyspark.sql import Row
+
+    calls, state, timers = [], {}, []
+
+    class Seen:
+        def getValue(self, key):  # noqa: N802
+            calls.append("get")
+            return state.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            calls.append("update")
+            state[key] = value
+
+        def removeKey(self, key):  # noqa: N802
+            del state[key]
+
+        def iterator(self):
+            return iter(list(state.items()))
+
+    class Handle:
+        def getMapState(self, *_):  # noqa: N802
+            return Seen()
+
+        def registerTimer(self, at):  # noqa: N802
+            timers.append(at)
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.at
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+    aging = sessions.Aging(1, False)
+    aging.init(Handle())
+    start, day = datetime(2024, 1, 1), 86_400_000
+    rows = [Row(host="h", source="ab"[k % 2], stamp="s", at=start + timedelta(hours=k)) for k in range(20)]
+    out = list(aging.handleInputRows(("h",), iter(rows), None))
+    assert [r.decision for r in out] == ["computed"] * 2 + ["reused"] * 18
+    assert sorted(calls) == ["get"] * 2 + ["update"] * 2 and len(timers) == 1
+    last = {k[0]: v[1] for k, v in state.items()}
+    assert timers == [last["a"] + day + 1]
+    assert [(r.source, r.decision) for r in aging.handleExpiredTimer(("h",), Now(timers[-1]), Now(timers[-1]))] == [("a", "forgotten")]
+    assert timers[1:] == [last["b"] + day + 1]
+    assert [r.source for r in aging.handleExpiredTimer(("h",), Now(timers[-1]), Now(timers[-1]))] == ["b"] and not state and len(timers) == 2
